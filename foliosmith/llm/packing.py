@@ -16,8 +16,9 @@ partition * 2**40 + a count, so it is stable as long as the input partitions are
 from __future__ import annotations
 
 import re
-import unicodedata
+import struct
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ class WordTokenizer:
     Chunks of plain Latin letters, digits and signs go straight to the vocabulary's merges; all others to the full tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
@@ -58,16 +59,18 @@ class WordTokenizer:
         if found is None:
             if len(self.words) >= self.limit:
                 self.words.clear()
-            mapped = "".join([self.alphabet[b] for b in word.encode()])
-            found = self.words[word] = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
+            tokens = self.model.tokenize(word if word.isascii() else "".join([self.alphabet[b] for b in word.encode()]))
+            found = self.words[word] = _packed(len(tokens)).pack(*[t.id for t in tokens])
         return found
 
     def chunk(self, raw: bytes) -> bytes:
         """Little-endian 32-bit ids of one chunk without ASCII white space."""
         text = raw.decode()
-        if _SIMPLE.match(text) and not any(s in text for s in self.special):
-            return b"".join([self._word(w) for w in _PIECES.findall(text.lower())])
-        return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if _SIMPLE.match(text) and ("<" not in text or not any(s in text for s in self.special)):
+            text = text.lower()
+            return self._word(text) if text.isalpha() else b"".join([self._word(w) for w in _PIECES.findall(text)])
+        ids = self.full.encode(text, add_special_tokens=False).ids
+        return _packed(len(ids)).pack(*ids)
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a whole text."""
@@ -83,6 +86,11 @@ class WordTokenizer:
             return b"".join([known[p] for p in parts])
 
 
+@cache
+def _packed(n: int) -> struct.Struct:
+    return struct.Struct(f"<{n}I")
+
+
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
