@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import capfilters, chat, decontam, htmltext, langid, licences, packing, pii
+from . import capfilters, chat, decontam, htmltext, langid, licences, ngramjoin, packing, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,10 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.select("conv_id", "formatted", "loss_spans").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html_extraction": op7_html_extraction,
     "op8_pii": op8_pii,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 _ESCAPE = r"regexp_replace(regexp_replace({0}, '<(\\*)(\|im_start\|>|\|im_end\|>|\|(?:image|audio|document|attachment)_\d+\|>|/?s>|</?SYS>>|/SYS>>|<SYS>>)', '<\\\1\2', 'g'), '\[(\\*)(/?INST\])', '[\\\1\2', 'g')"
