@@ -8,15 +8,15 @@ A text's set is the distinct ``n``-word shingles of its words (A-Z folded); with
 2. Each text becomes (id, set size, digest of the set, prefix); equal digests form a class, classes with equal size and prefix form a group.
    With an overlap of at least o = ceil(percent * size / 100), prefixes of size - o + ELL shingles share ELL shingles.
 3. Pairs of groups (and a group with itself) that share ELL prefix shingles and fit in size and position are expanded to their classes.
-   A shingle that more than ``longest`` classes have in their prefix goes another way: its classes are dealt into blocks by
-   a hash, and each pair of blocks is verified in one task, of which only a spanning forest of its links comes back.
+   A shingle that more than ``longest`` groups have in their prefix, or a group of very many classes, goes another way: its classes are
+   dealt into blocks by a hash, and each pair of blocks is verified in one task, of which only a spanning forest of its links comes back.
 4. Pairs are verified on the whole sets, computed anew for the classes that need it; components follow from the links.
 
 So no pair of equal texts is made, nothing is dropped, and no task holds more than two blocks of a shingle's texts.
 Shingles are compared by 64-bit hashes.
 
 Defined results: null, empty and blank texts have an empty set, size 0, and link with nothing, as do rows with a null id; repeated
-rows are in one class; an empty input gives an empty output; extra columns are ignored.
+rows are in one class (an id names one text); an empty input gives an empty output; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from .storage import written
 from .words import gram_hashes, word_chunks, word_hashes
 
 ELL = 3
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -64,7 +65,7 @@ def hot_shingles(docs: DataFrame, n: int, percent: int, hot: int, most_hot: int,
 
         for batch in batches:
             for found in shingle_sets(batch.column(0), n):
-                held.append(found[: 2 * prefix_length(len(found), percent)])
+                held.append(found[: prefix_length(len(found), percent)])
                 size += len(held[-1])
                 if size > 1_000_000:
                     yield out()
@@ -82,26 +83,27 @@ def hot_shingles(docs: DataFrame, n: int, percent: int, hot: int, most_hot: int,
 
 
 def described(docs: DataFrame, n: int, percent: int, hot: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, size, digest, prefix) of every row; digest is null where the row links with nothing."""
+    """(doc_id, size, digest, mark, prefix) of every row; mark stands for the prefix; digest is null where the row links with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                sizes, digests, prefixes = [], [], []
+                sizes, digests, marks, prefixes = [], [], [], []
                 for key, found in zip(part.column(0), shingle_sets(part.column(1), n)):
                     sizes.append(len(found))
                     if not len(found) or not key.is_valid:
-                        digests.append(None)
-                        prefixes.append(None)
+                        for column in (digests, marks, prefixes):
+                            column.append(None)
                         continue
                     digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                     at = np.searchsorted(hot, found)
                     late = (at < len(hot)) & (hot[np.minimum(at, len(hot) - 1)] == found) if len(hot) else np.zeros(len(found), bool)
                     prefixes.append(np.concatenate([found[~late], found[late]])[: prefix_length(len(found), percent)].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "size", "digest", "prefix"])
+                    marks.append(hashlib.blake2b(prefixes[-1].tobytes(), digest_size=16).digest())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(marks, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "size", "digest", "mark", "prefix"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, size long, digest binary, prefix array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, size long, digest binary, mark binary, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -113,17 +115,76 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: s
                 part = batch.slice(lo, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), n)], pa.binary())], names=["class_id", "shingles"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("class_id"), F.col(text_col).alias("__text")).join(wanted, "class_id", "left_semi")
+    rows = docs.select(F.col(id_col).cast("long").alias("class_id"), F.col(text_col).alias("__text")).join(small_or_not(wanted), "class_id", "left_semi")
     return rows.select("class_id", "__text").mapInArrow(run, "class_id long, shingles binary")
 
 
-def group_pairs(groups: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
+def small_or_not(frame: DataFrame) -> DataFrame:
+    """Marked for broadcast if it is small: at most ``BROADCAST_ROWS`` rows, counted; a plain join otherwise."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+
+
+def shingle_lists(postings: DataFrame, longest: int) -> DataFrame:
+    """(shingle, group_id, info, long) of the shingles that several groups have, or one group of several classes.
+
+    Sorted streams: a list is held only up to ``longest`` rows; from then on its rows pass through, marked long.
+    """
+    names = ["shingle", "group_id", "info", "long"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, mark, passed = [], None, False
+
+        def out(parts: list, flag: bool) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_arrays([*whole.columns, pa.array(np.full(whole.num_rows, flag))], names=names)
+
+        def lone(part: pa.RecordBatch) -> np.ndarray:
+            return (part.column(2).to_numpy() & 1) == 0
+
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            low, high = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
+            if mark is not None and keys[0] != mark:
+                if held and (sum(p.num_rows for p in held) > 1 or not lone(held[0]).all()):
+                    yield out(held, False)
+                held, passed = [], False
+            ends = high - low
+            inner = np.ones(len(low), dtype=bool)
+            inner[-1] = False
+            if held or passed:
+                inner[0] = False
+            lists = inner & (ends <= longest) & ((ends > 1) | ~lone(batch)[low])
+            far = inner & (ends > longest)
+            for which, flag in ((lists, False), (far, True)):
+                if which.any():
+                    yield out([batch.filter(pa.array(np.repeat(which, ends)))], flag)
+            for k in sorted({0, len(low) - 1} - set(np.flatnonzero(inner).tolist())):
+                if mark is not None and keys[low[k]] != mark:
+                    if held and (sum(p.num_rows for p in held) > 1 or not lone(held[0]).all()):
+                        yield out(held, False)
+                    held, passed = [], False
+                mark = keys[low[k]]
+                held.append(batch.slice(int(low[k]), int(ends[k])))
+                if passed or sum(p.num_rows for p in held) > longest:
+                    yield out(held, True)
+                    held, passed = [], True
+            mark = keys[-1]
+        if held and (sum(p.num_rows for p in held) > 1 or not lone(held[0]).all()):
+            yield out(held, False)
+
+    count = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return postings.select(*names[:3]).repartition(count, "shingle").sortWithinPartitions("shingle").mapInArrow(run, "shingle long, group_id long, info long, long boolean")
+
+
+def group_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """(a, b) group ids that share ELL prefix shingles and whose sizes and positions allow a link; a = b for a group of several classes."""
-    side = lambda s: postings.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("group_id", "size", "at", "members")])
+    parts = lists.select("shingle", "group_id", F.shiftright("info", 32).alias("size"), F.shiftright("info", 1).bitwiseAND(F.lit((1 << 31) - 1)).alias("at"), F.col("info").bitwiseAND(F.lit(1)).alias("several"))
+    side = lambda s: parts.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("group_id", "size", "at", "several")])
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     need = F.ceil(F.lit(percent) * (F.col("size_a") + F.col("size_b")) / F.lit(100.0 + percent))
     bound = F.least("at_a", "at_b") + 1 + F.least(F.col("size_a") - F.col("at_a") - 1, F.col("size_b") - F.col("at_b") - 1)
-    ordered = (F.col("group_id_a") < F.col("group_id_b")) | ((F.col("group_id_a") == F.col("group_id_b")) & (F.col("members_a") > 1))
+    ordered = (F.col("group_id_a") < F.col("group_id_b")) | ((F.col("group_id_a") == F.col("group_id_b")) & (F.col("several_a") > 0))
     met = side("a").join(side("b"), "shingle").filter(ordered & (F.lit(100) * small >= F.lit(percent) * large) & (bound >= need))
     counted = met.groupBy(F.col("group_id_a").alias("a"), F.col("group_id_b").alias("b")).agg(F.count("*").alias("shared"), F.min(need).alias("need"))
     return counted.filter(F.col("shared") >= F.least(F.lit(ELL), F.col("need"))).select("a", "b")
@@ -215,22 +276,30 @@ def _verify_blocks(percent: int):
 
 def links(docs: DataFrame, rows: DataFrame, n: int, percent: int, longest: int, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(classes with their digests, links between classes that keep the components)."""
-    classes = written(rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min("size").alias("size"), F.first("prefix").alias("prefix")), "classes")
-    keyed = classes.select("class_id", "digest", "size", "prefix", F.xxhash64("size", "prefix").alias("mark"))
-    groups = keyed.groupBy("mark", "size").agg(F.min("class_id").alias("group_id"), F.count("*").alias("members"), F.first("prefix").alias("prefix"))
-    members = keyed.join(groups.select("mark", "size", "group_id"), ["mark", "size"]).select("group_id", "class_id")
-    postings = written(groups.select("group_id", "size", "members", F.posexplode("prefix").alias("at", "shingle")), "postings")
-    lists = postings.groupBy("shingle").agg(F.sum("members").alias("texts")).filter("texts > 1")
-    listed = written(postings.join(lists, "shingle"), "lists")
-    pairs = group_pairs(groups, listed.filter(F.col("texts") <= longest), percent)
+    classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min("size").alias("size"), F.min("mark").alias("mark"))
+    classes = written(classes, "classes")
+    groups = written(classes.groupBy("mark", "size").agg(F.min("class_id").alias("group_id"), F.count("*").alias("members")), "groups")
+    members = written(classes.join(groups.select("mark", "size", "group_id"), ["mark", "size"]).select("group_id", "class_id"), "members")
+    prefixes = rows.filter("digest is not null").select(F.col("doc_id").alias("group_id"), "size", "prefix").join(small_or_not(groups.select("group_id", "members")), "group_id")
+    large = F.col("members") > longest // 2
+    info = F.shiftleft(F.col("size"), 32).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 1)).bitwiseOR((F.col("members") > 1).cast("long"))
+    exploded = prefixes.select("group_id", "size", "members", F.posexplode("prefix").alias("at", "shingle"))
+    listed = written(shingle_lists(exploded.select("shingle", "group_id", info.alias("info")), longest), "lists")
+    big = groups.filter(large).select("group_id")
+    short = listed.filter("not long").join(big, "group_id", "left_anti")
+    pairs = group_pairs(short, percent)
     member = lambda s: members.select(F.col("group_id").alias(s), F.col("class_id").alias(f"class_{s}"))
     pairs = pairs.join(member("a"), "a").join(member("b"), "b").filter((F.col("a") != F.col("b")) | (F.col("class_a") < F.col("class_b"))).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
     pairs = written(pairs, "pairs")
-    long_lists = listed.filter(F.col("texts") > longest).join(members, "group_id").select("shingle", "texts", "class_id")
+    touched = listed.filter("not long").join(big, "group_id").select("shingle").distinct()
+    far = listed.filter("long").unionByName(listed.filter("not long").join(touched, "shingle", "left_semi"))
+    long_lists = written(far.select("shingle", "group_id").join(members, "group_id").select("shingle", "class_id"), "long")
+    counts = long_lists.groupBy("shingle").agg(F.count("*").alias("texts"))
     blocks = F.ceil(F.col("texts") / block).cast("int")
     own = F.pmod(F.xxhash64("class_id"), blocks).cast("int")
-    dealt = written(long_lists.select("class_id", "shingle", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select("class_id", F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("cell")), "dealt")
+    dealt = written(long_lists.join(counts, "shingle").select("class_id", "shingle", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select("class_id", F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("cell")), "dealt")
     wanted = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).unionByName(dealt.select("class_id")).distinct()
+    wanted = written(wanted, "wanted")
     sets = written(sets_of(docs, wanted, n, id_col, text_col).groupBy("class_id").agg(F.first("shingles").alias("shingles")), "sets")
     side = lambda s: sets.select(F.col("class_id").alias(s), F.col("shingles").alias(f"shingles_{s}"))
     by_pair = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_verify_pairs(percent), "a long, b long")
