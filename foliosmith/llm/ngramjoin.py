@@ -10,7 +10,8 @@ A text's set is the distinct ``n``-word shingles of its words (A-Z folded); with
 3. Pairs of groups (and a group with itself) that share ELL prefix shingles and fit in size and position are expanded to their classes.
    A shingle that more than ``longest`` groups have in their prefix, or a group of very many classes, goes another way: its classes are
    dealt into blocks by a hash, and each pair of blocks is verified in one task, of which only a spanning forest of its links comes back.
-4. Pairs are verified on the whole sets, computed anew for the classes that need it; components follow from the links.
+4. Pairs are verified on the whole sets, computed anew for the classes that need it: first each class with its least partner and each
+   long list with its least class, then what those links have not joined yet, as the rest can't change a component.
 
 So no pair of equal texts is made, nothing is dropped, and no task holds more than two blocks of a shingle's texts.
 Shingles are compared by 64-bit hashes.
@@ -34,6 +35,7 @@ from .words import gram_hashes, word_chunks, word_hashes
 
 ELL = 3
 BROADCAST_ROWS = 1_000_000
+BLOCK_HASHES = 1_000_000
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -106,14 +108,25 @@ def described(docs: DataFrame, n: int, percent: int, hot: np.ndarray, id_col: st
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, size long, digest binary, mark binary, prefix array<long>")
 
 
+def pack(found: np.ndarray) -> bytes:
+    """Sorted 64-bit hashes cut to their upper 40 bits, for shipping; within a pair of sets of n shingles these collide by chance of n * n / 2**40."""
+    return (found >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpack(raw: pa.Buffer) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+    wide[:, :5] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
+    return wide.view(np.uint64).ravel()
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(class_id, shingles as little-endian 64-bit binary) of the wanted ids; a repeated id counts once."""
+    """(class_id, packed shingles) of the wanted ids; a row for each row of a repeated id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), n)], pa.binary())], names=["class_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack(s) for s in shingle_sets(part.column(1), n)], pa.binary())], names=["class_id", "shingles"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("class_id"), F.col(text_col).alias("__text")).join(small_or_not(wanted), "class_id", "left_semi")
     return rows.select("class_id", "__text").mapInArrow(run, "class_id long, shingles binary")
@@ -195,8 +208,8 @@ def _verify_pairs(percent: int):
         for batch in batches:
             good = np.zeros(batch.num_rows, dtype=bool)
             for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                inter = len(x) + len(y) - len(np.union1d(x, y))
+                x, y = unpack(x.as_buffer()), unpack(y.as_buffer())
+                inter = len(np.intersect1d(x, y, assume_unique=True))
                 good[k] = 100 * inter >= percent * (len(x) + len(y) - inter)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
@@ -244,7 +257,7 @@ def _verify_blocks(percent: int):
         if len(ids) < 2:
             return []
         column = rows.column("shingles").combine_chunks()
-        sets = [np.frombuffer(column[int(k)].as_buffer(), dtype=np.uint64) for k in at]
+        sets = [unpack(column[int(k)].as_buffer()) for k in at]
         inter, sizes = intersections(sets), np.array([len(s) for s in sets])
         linked = 100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)
         return list(_forest(ids, linked))
@@ -293,22 +306,28 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int, longest: int,
     pairs = written(pairs, "pairs")
     touched = listed.filter("not long").join(big, "group_id").select("shingle").distinct()
     far = listed.filter("long").unionByName(listed.filter("not long").join(touched, "shingle", "left_semi"))
-    long_lists = written(far.select("shingle", "group_id").join(members, "group_id").select("shingle", "class_id"), "long")
-    counts = long_lists.groupBy("shingle").agg(F.count("*").alias("texts"))
-    blocks = F.ceil(F.col("texts") / block).cast("int")
-    own = F.pmod(F.xxhash64("class_id"), blocks).cast("int")
-    dealt = written(long_lists.join(counts, "shingle").select("class_id", "shingle", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select("class_id", F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("cell")), "dealt")
-    wanted = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).unionByName(dealt.select("class_id")).distinct()
-    wanted = written(wanted, "wanted")
-    sets = written(sets_of(docs, wanted, n, id_col, text_col).groupBy("class_id").agg(F.first("shingles").alias("shingles")), "sets")
+    long_lists = written(far.select("shingle", "group_id", F.shiftright("info", 32).alias("size")).join(members, "group_id").select("shingle", "class_id", "size"), "long")
+    centres = long_lists.groupBy("shingle").agg(F.min("class_id").alias("a"))
+    star = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(long_lists.join(centres, "shingle").filter("a < class_id").select("a", F.col("class_id").alias("b"))).distinct()
+    wanted = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).unionByName(long_lists.select("class_id")).distinct()
+    sets = written(sets_of(docs, written(wanted, "wanted"), n, id_col, text_col), "sets")
     side = lambda s: sets.select(F.col("class_id").alias(s), F.col("shingles").alias(f"shingles_{s}"))
-    by_pair = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_verify_pairs(percent), "a long, b long")
+    verified = lambda some: some.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_verify_pairs(percent), "a long, b long")
+    near = written(verified(star), "near")
+    roots = connected_components(docs.sparkSession, near)
+    root = lambda s: roots.select(F.col("id").alias(s), F.col("root").alias(f"root_{s}"))
+    apart = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    rooted = long_lists.join(root("class_id"), "class_id", "left").withColumn("root", F.coalesce("root_class_id", "class_id"))
+    counts = rooted.groupBy("shingle").agg(F.count("*").alias("texts"), F.sum("size").alias("hashes"), (F.min("root") < F.max("root")).alias("open")).filter("open")
+    blocks = F.ceil(F.greatest(F.col("texts") / block, F.col("hashes") / BLOCK_HASHES)).cast("int")
+    own = F.pmod(F.xxhash64("class_id"), blocks).cast("int")
+    dealt = long_lists.join(counts, "shingle").select("class_id", "shingle", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select("class_id", F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_block = dealt.join(sets, "class_id").repartition(count, "cell").sortWithinPartitions("cell", "class_id").select("cell", "class_id", "shingles").mapInArrow(_verify_blocks(percent), "a long, b long")
-    return classes.select("digest", "class_id"), written(by_pair.unionByName(by_block), "links")
+    return classes.select("digest", "class_id"), written(near.unionByName(verified(apart)).unionByName(by_block), "links")
 
 
-def components(docs: DataFrame, n: int = 5, percent: int = 80, hot: int = 32, most_hot: int = 500_000, longest: int = 128, block: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, n: int = 5, percent: int = 80, hot: int = 32, most_hot: int = 500_000, longest: int = 128, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
     common = hot_shingles(docs, n, percent, hot, most_hot, text_col)
@@ -323,4 +342,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents without those whose component has a smaller id; rows with a null id stay."""
     found = components(docs, id_col=id_col, **options)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return docs.join(small_or_not(written(gone, "gone")), id_col, "left_anti").select(*docs.columns)

@@ -43,7 +43,7 @@ class WordTokenizer:
     Chunks of plain Latin letters, digits and signs go straight to the vocabulary's merges; all others to the full tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
