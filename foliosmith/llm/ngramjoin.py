@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .components import connected_components
 from .storage import written
@@ -287,6 +287,18 @@ def _verify_blocks(percent: int):
     return run
 
 
+def cells(spark: SparkSession, lists: DataFrame, centres: DataFrame) -> DataFrame:
+    """(key, class_id, size): the groups within which all pairs are verified.
+
+    Lists that share classes overlap, so where the classes that lists join have fewer pairs than those lists together, they are one group; else each list is.
+    """
+    joined = connected_components(spark, lists.join(centres, "shingle").select("a", F.col("class_id").alias("b"))).select(F.col("id").alias("class_id"), F.col("root").alias("whole"))
+    rows = lists.join(joined, "class_id")
+    work = rows.groupBy("shingle", "whole").agg(F.count("*").alias("n")).groupBy("whole").agg(F.sum(F.col("n") * F.col("n")).alias("by_lists"))
+    better = joined.groupBy("whole").agg(F.count("*").alias("n")).join(work, "whole").select("whole", (F.col("n") * F.col("n") <= F.col("by_lists")).alias("merge"))
+    return rows.join(better, "whole").select(F.when(F.col("merge"), F.xxhash64(F.lit(1), "whole")).otherwise(F.xxhash64(F.lit(0), "shingle")).alias("key"), "class_id", "size").distinct()
+
+
 def links(docs: DataFrame, rows: DataFrame, n: int, percent: int, longest: int, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(classes with their digests, links between classes that keep the components)."""
     classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min("size").alias("size"), F.min("mark").alias("mark"))
@@ -319,9 +331,11 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int, longest: int,
     apart = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     rooted = long_lists.join(root("class_id"), "class_id", "left").withColumn("root", F.coalesce("root_class_id", "class_id"))
     counts = rooted.groupBy("shingle").agg(F.count("*").alias("texts"), F.sum("size").alias("hashes"), (F.min("root") < F.max("root")).alias("open")).filter("open")
+    keyed = written(cells(docs.sparkSession, long_lists.join(counts.select("shingle"), "shingle"), centres), "cells")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("texts"), F.sum("size").alias("hashes"))
     blocks = F.ceil(F.greatest(F.col("texts") / block, F.col("hashes") / BLOCK_HASHES)).cast("int")
     own = F.pmod(F.xxhash64("class_id"), blocks).cast("int")
-    dealt = long_lists.join(counts, "shingle").select("class_id", "shingle", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select("class_id", F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
+    dealt = keyed.join(sizes, "key").select("class_id", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select("class_id", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_block = dealt.join(sets, "class_id").repartition(count, "cell").sortWithinPartitions("cell", "class_id").select("cell", "class_id", "shingles").mapInArrow(_verify_blocks(percent), "a long, b long")
     return classes.select("digest", "class_id"), written(near.unionByName(verified(apart)).unionByName(by_block), "links")
