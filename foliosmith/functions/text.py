@@ -189,6 +189,16 @@ def was_truncated(finish_reason: Column) -> Column:
     return F.coalesce(finish_reason != "stop", F.lit(False))
 
 
+def build_number(version: Column) -> Column:
+    """The build in a server's version text (``version: 9587`` or ``b9587``), null where there is none."""
+    return F.coalesce(F.nullif(F.regexp_extract(version, r"version:\s*(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(version, r"\Ab(\d+)\b", 1), F.lit(""))).cast("int")
+
+
+def bundle_name(base: Column) -> Column:
+    """The folder of a document's page bundle."""
+    return F.concat(base, F.lit(".pages"))
+
+
 def base_name(name: Column) -> Column:
     """A safe output stem."""
     safe = F.regexp_replace(F.regexp_replace(name, r"(?U)[^\w\-]+", "_"), r"\A_+|_+\z", "")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import citations as C, layout as L, sections as S, tables as T, text as X, urls as U
 from ..operators import cite as cite_op, figures as figures_op, memo as memo_op, pages as pages_op, parts as parts_op, tables as tables_op
+from ..sources import files
+from . import config, transcribe
 
 TABLES = ("documents", "conversations", "pages", "lineitem", "orders", "events")
 NL = "chr(10)"
@@ -287,10 +289,26 @@ def join_splits(spark, sf_dir):
     return done.select("base", digest(F.col("full")).alias("full_sha256"), F.length("full").alias("n_chars"))
 
 
+def transcribe_documents(spark, sf_dir):
+    """A whole run over documents of four pages, with the stub backend and an empty memo."""
+    pages = frame(spark, sf_dir, RAW).select(
+        F.floor(F.col("doc_id") / 4).cast("string").alias("doc_id"), (F.col("doc_id") % 4 + 1).cast("int").alias("page_number"), F.col("width_px").cast("int").alias("width_px"), F.col("height_px").cast("int").alias("height_px"),
+        digest(F.col("raw")).alias("raster_sha256"), "raw", F.lit("stop").alias("finish_reason"))
+    documents, _ = transcribe.run(pages, spark.createDataFrame([], files.MEMO))
+    return documents.select("doc_id", digest(F.col("markdown")).alias("markdown_sha256"), F.length("markdown").alias("n_chars"))
+
+
+def output_parts(spark, sf_dir):
+    """The part files of documents with a citation and a notice each."""
+    documents = frame(spark, sf_dir, DOCS).select("doc_id", F.concat("content", F.lit("\n")).alias("markdown"), F.when(F.col("doc_id") % 2 == 0, F.lit("@misc{k,\n}")).alias("bibtex"))
+    parts = transcribe.outputs(documents, config.resolve({"bibtex": {"append_to_document": True}}))
+    return parts.select("doc_id", "part", digest(F.col("content")).alias("content_sha256"), F.length("content").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         section_split, section_boundaries, layout_blocks, page_markdown, pixel_boxes, figure_inject, stitch, stitch_numbered, running_chrome, strip_chrome, clean_text, table_guard, table_blobs, table_splice, match_table_regions,
-        notice_flags, description_spacing, url_route, probe_parse, citation_entry, title_match, source_chain, memo_hits_misses, prompts, page_ranges, base_names, join_splits,
+        notice_flags, description_spacing, url_route, probe_parse, citation_entry, title_match, source_chain, memo_hits_misses, prompts, page_ranges, base_names, join_splits, transcribe_documents, output_parts,
     )
 }
 
