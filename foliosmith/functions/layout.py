@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import constants as K
-from .text import present, strip, token_of
+from .text import let, present, strip, token_of
+
+#: Entered only where a label starts, with possessive runs, so that plain words cost one try each.
+MARKER = r"(?<![A-Za-z_])([A-Za-z_][A-Za-z_0-9]*+)\s*+\[\[\s*+(\d++\s*+,\s*+\d++\s*+,\s*+\d++\s*+,\s*+\d++)\s*+\]\]"
 
-MARKER = r"([A-Za-z_][A-Za-z_0-9]*)\s*\[\[\s*(\d+\s*,\s*\d+\s*,\s*\d+\s*,\s*\d+)\s*\]\]"
 
 
 def grid_to_norm(grid: Column) -> Column:
@@ -21,12 +23,13 @@ def bbox(grid: Column) -> Column:
 
 def parse_blocks(raw: Column) -> Column:
     """array of (label, grid, bbox, text); text before the first marker is dropped; no marker: an empty array."""
-    texts = F.split(raw, MARKER, -1)
-    parts = F.arrays_zip(
-        F.regexp_extract_all(raw, F.lit(MARKER), F.lit(1)).alias("label"), F.regexp_extract_all(raw, F.lit(MARKER), F.lit(2)).alias("coords"), F.slice(texts, F.lit(2), F.size(texts)).alias("text")
-    )
-    grid = lambda p: F.transform(F.split(p["coords"], r"\s*,\s*"), lambda g: strip(g).cast("bigint"))
-    return F.transform(parts, lambda p: F.struct(p["label"].alias("label"), grid(p).alias("grid"), bbox(grid(p)).alias("bbox"), strip(p["text"]).alias("text")))
+    parts = F.arrays_zip(F.regexp_extract_all(raw, F.lit(MARKER), F.lit(0)).alias("mark"), let(F.split(raw, MARKER, -1), lambda texts: F.slice(texts, F.lit(2), F.size(texts))).alias("text"))
+
+    def block(p: Column) -> Column:
+        grid = F.transform(F.split(F.regexp_extract(p["mark"], MARKER, 2), r"\s*,\s*"), lambda g: strip(g).cast("bigint"))
+        return let(grid, lambda g: F.struct(F.regexp_extract(p["mark"], MARKER, 1).alias("label"), g.alias("grid"), bbox(g).alias("bbox"), strip(p["text"]).alias("text")))
+
+    return F.transform(parts, block)
 
 
 def is_figure(label: Column) -> Column:

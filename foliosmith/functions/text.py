@@ -16,20 +16,24 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
+#: The code points that count as white space.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+\z", "")
+    return F.rtrim(text, F.lit(BLANKS))
 
 
 def lstrip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\A\s+", "")
+    return F.ltrim(text, F.lit(BLANKS))
 
 
 def strip_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, r"\A\n+|\n+\z", "")
+    return F.btrim(text, F.lit("\n"))
 
 
 def present(text: Column) -> Column:

@@ -80,7 +80,11 @@ def outputs(documents: DataFrame, config: RunConfig = RunConfig()) -> DataFrame:
 
 
 def run(pages: DataFrame, memo: DataFrame, config: RunConfig = RunConfig()) -> tuple[DataFrame, DataFrame]:
-    """(documents (doc_id, markdown), new memo entries) of raw pages (doc_id, page_number, width_px, height_px, raster_sha256, raw, finish_reason)."""
-    refined, table_entries = refine_tables(ocr_pass(pages, config), memo, config)
+    """(documents (doc_id, markdown), new memo entries) of raw pages (doc_id, page_number, width_px, height_px, raster_sha256, raw, finish_reason).
+
+    Parsed and refined pages are read several times, so they are persisted; clear the session's cache after use.
+    """
+    refined, table_entries = refine_tables(ocr_pass(pages, config).persist(), memo, config)
+    refined = refined.persist()
     described, figure_entries = describe_figures(refined, memo, config)
     return assemble(refined, described, config), table_entries.unionByName(figure_entries)
