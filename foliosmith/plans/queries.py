@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import citations as C, layout as L, sections as S, tables as T, text as X, urls as U
-from ..operators import cite as cite_op, figures as figures_op, memo as memo_op, pages as pages_op, parts as parts_op, tables as tables_op
+from ..operators import cite as cite_op, figures as figures_op, memo as memo_op, pages as pages_op, parts as parts_op, tables as tables_op, titles as titles_op
 from ..sources import files
 from . import config, transcribe
 
@@ -236,12 +236,17 @@ def citation_entry(spark, sf_dir):
 
 
 def title_match(spark, sf_dir):
-    """Pairs of documents whose texts begin alike, blocked on that beginning."""
+    """Every pair a < b of documents with the same first 60 characters, and whether it matches: a sample of ``title_links``, quadratic in such a group."""
     rows = frame(spark, sf_dir, "SELECT doc_id, text, left(text, 60) AS head FROM {documents}")
     a, b = rows.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"), "head"), rows.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"), "head")
     return a.join(b, "head").filter("a < b").select("a", "b", C.titles_match(F.col("ta"), F.col("tb")).alias("matches"))
 
 
+def title_links(spark, sf_dir):
+    """All matches of whole texts in both directions: classes of equal normalised text, and pairs between their representatives."""
+    return titles_op.title_links(frame(spark, sf_dir, "SELECT doc_id, text FROM {documents}"))
+
+
 def source_chain(spark, sf_dir):
     docs = frame(spark, sf_dir, CITED).withColumn("url", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://arxiv.org/abs/2301."), (F.col("doc_id") + 10000).cast("string"))).otherwise(F.lit("file.pdf")))
     probe = F.when(F.col("doc_id") % 5 != 4, F.struct((F.col("doc_id") % 3 != 0).alias("citable"), F.when(F.col("doc_id") % 7 != 0, F.col("title")).alias("title"), F.array("author").alias("authors"), F.col("year"), F.col("venue")))
@@ -308,7 +313,7 @@ def output_parts(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         section_split, section_boundaries, layout_blocks, page_markdown, pixel_boxes, figure_inject, stitch, stitch_numbered, running_chrome, strip_chrome, clean_text, table_guard, table_blobs, table_splice, match_table_regions,
-        notice_flags, description_spacing, url_route, probe_parse, citation_entry, title_match, source_chain, memo_hits_misses, prompts, page_ranges, base_names, join_splits, transcribe_documents, output_parts,
+        notice_flags, description_spacing, url_route, probe_parse, citation_entry, title_match, title_links, source_chain, memo_hits_misses, prompts, page_ranges, base_names, join_splits, transcribe_documents, output_parts,
     )
 }
 
