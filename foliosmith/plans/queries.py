@@ -274,6 +274,17 @@ def prompts(spark, sf_dir):
     return rows.select("doc_id", digest(context).alias("context_sha256"), F.length(X.truncated(X.strip(F.col("text")), 3000)).alias("probe_chars"), X.mark_truncated(X.description_from_tags(answer), F.col("doc_id") % 5 == 0).alias("description"))
 
 
+WHOLE = f"SELECT doc_id, text, 'The Study of ' || replace(text, {NL}, ' ') AS title, 'Jane Q. ' || source AS author, CAST(1990 + doc_id % 35 AS STRING) AS year, lang || ' & co_' AS venue FROM {{documents}}"
+
+
+def whole_texts(spark, sf_dir):
+    """Description, output stem and citation entry of whole texts of many lines, of which ``prompts``, ``base_names`` and ``citation_entry`` take the beginning."""
+    answer = F.concat(F.lit("ok "), F.when(F.col("doc_id") % 3 != 0, F.lit("<img_desc> ")).otherwise(""), "text", F.when(F.col("doc_id") % 2 == 0, F.lit(" </img_desc> rest")).otherwise(""))
+    rows = frame(spark, sf_dir, WHOLE).withColumn("description", X.mark_truncated(X.description_from_tags(answer), F.col("doc_id") % 5 == 0)).withColumn("base", X.base_name(F.col("text")))
+    rows = rows.withColumn("bibtex", C.best_effort_entry(F.col("title"), F.array("author"), F.col("year"), F.col("venue"), "2024"))
+    return rows.select("doc_id", *[c for name in ("description", "base", "bibtex") for c in (digest(F.col(name)).alias(f"{name}_sha256"), F.length(name).alias(f"{name}_chars"))])
+
+
 def page_ranges(spark, sf_dir):
     rows = frame(spark, sf_dir, "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'all' WHEN 1 THEN '3' WHEN 2 THEN '2-' WHEN 3 THEN '-4' WHEN 4 THEN '9-5' ELSE '3-100' END AS spec, CAST(o_orderkey % 12 AS BIGINT) AS total FROM {orders}")
     return rows.select("o_orderkey", F.array_join(X.page_numbers(F.col("spec"), F.col("total")).cast("array<string>"), ",").alias("pages"))
@@ -313,7 +324,7 @@ def output_parts(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         section_split, section_boundaries, layout_blocks, page_markdown, pixel_boxes, figure_inject, stitch, stitch_numbered, running_chrome, strip_chrome, clean_text, table_guard, table_blobs, table_splice, match_table_regions,
-        notice_flags, description_spacing, url_route, probe_parse, citation_entry, title_match, title_links, source_chain, memo_hits_misses, prompts, page_ranges, base_names, join_splits, transcribe_documents, output_parts,
+        notice_flags, description_spacing, url_route, probe_parse, citation_entry, title_match, title_links, source_chain, memo_hits_misses, prompts, whole_texts, page_ranges, base_names, join_splits, transcribe_documents, output_parts,
     )
 }
 
@@ -364,7 +375,7 @@ _FIGURE_BLOCK = """'![' || replace(replace(coalesce(text, 'fig_p' || page_number
  || CASE WHEN doc_id % 9 <> 0 THEN '> **Image description.** Line one of fig_p' || page_number || '_' || figure || chr(10) || '>' || chr(10) || '>  line two' ELSE '> **Image description.** [figure description unavailable]' END || chr(10)"""
 
 ORACLE_SQL: dict[str, str] = {
-    name: _oracle(sql, RAW=RAW, PAGES=PAGES, DOCS=DOCS, TABLE_ROWS=TABLE_ROWS, URLS=URLS, ANSWERS=ANSWERS, CITED=CITED)
+    name: _oracle(sql, RAW=RAW, PAGES=PAGES, DOCS=DOCS, TABLE_ROWS=TABLE_ROWS, URLS=URLS, ANSWERS=ANSWERS, CITED=CITED, WHOLE=WHOLE)
     for name, sql in {
         "layout_blocks": _BLOCKS + "SELECT doc_id, CAST(i - 1 AS INT) AS block_idx, label, round(x1, 9) AS x1, round(y1, 9) AS y1, round(x2, 9) AS x2, round(y2, 9) AS y2, sha256(coalesce(text, '')) AS text_sha256, CAST(length(text) AS INT) AS n_chars, figure FROM z",
         "page_markdown": _MARKDOWN + "SELECT doc_id, sha256(md) AS markdown_sha256, CAST(length(md) AS INT) AS n_chars FROM p",
@@ -408,6 +419,11 @@ ORACLE_SQL: dict[str, str] = {
         "prompts": rf"""WITH a AS (SELECT doc_id, text, CASE WHEN doc_id % 3 <> 0 THEN {_strip("CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 50) || ' ' ELSE substr(text, 1, 50) END")} ELSE {_strip("'ok ' || substr(text, 1, 50) || CASE WHEN doc_id % 2 = 0 THEN ' </img_desc> rest' ELSE '' END")} END AS t FROM documents)
             SELECT doc_id, sha256('This image appears on page ' || doc_id || '. The surrounding page content follows.' || chr(10) || chr(10) || CASE WHEN length(text) > 2000 THEN left(text, 1997) || '...' ELSE text END) AS context_sha256, CAST(least(length({_strip('text')}), 3000) AS INT) AS probe_chars,
             CASE WHEN doc_id % 5 = 0 AND t NOT LIKE '%[...]' THEN t || ' [...]' ELSE t END AS description FROM a""",
+        "whole_texts": (rf"""WITH w AS (@WHOLE@), k AS (SELECT *, {_KEY} AS cite_key, CASE WHEN doc_id % 3 <> 0 THEN {_strip('text')} ELSE {_strip("'ok ' || text || CASE WHEN doc_id % 2 = 0 THEN ' </img_desc> rest' ELSE '' END")} END AS t,
+            regexp_replace(regexp_replace(text, '[^\p{{L}}\p{{M}}\p{{N}}_\-]+', '_', 'g'), '\A_+|_+\z', '', 'g') AS s FROM w),
+            e AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND t NOT LIKE '%[...]' THEN t || ' [...]' ELSE t END AS description, CASE WHEN s = '' THEN 'paper' WHEN regexp_full_match(s, '(?i)CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9]') THEN s || '_' ELSE s END AS base,
+            '% NOTE: Best-effort entry generated from the document''s own front matter' || chr(10) || '% (no citation database was consulted). Verify before use.' || chr(10) || '%' || chr(10) || '@misc{{' || cite_key || ',' || chr(10) || '  title={{' || {_ESCAPED('title')} || '}},' || chr(10) || '  author={{' || {_ESCAPED('author')} || '}},' || chr(10) || '  year={{' || year || '}},' || chr(10) || '  note={{' || {_ESCAPED('venue')} || '}}' || chr(10) || '}}' AS bibtex FROM k)
+            SELECT doc_id, """ + ", ".join(f"sha256({c}) AS {c}_sha256, CAST(length({c}) AS INT) AS {c}_chars" for c in ("description", "base", "bibtex")) + " FROM e"),
         "page_ranges": """WITH r AS (SELECT o_orderkey, o_orderkey % 12 AS n, o_orderkey % 6 AS k FROM orders), b AS (SELECT *, CASE k WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 9 ELSE 3 END AS lo, CASE k WHEN 0 THEN n WHEN 1 THEN 3 WHEN 2 THEN n WHEN 3 THEN 4 WHEN 4 THEN 5 ELSE 100 END AS hi FROM r)
             SELECT o_orderkey, coalesce(array_to_string(range(lo, least(hi, n) + 1), ','), '') AS pages FROM b""",
         "base_names": r"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'CON_' WHEN doc_id % 10 = 1 THEN 'paper' ELSE regexp_replace(regexp_replace(left(text, 40), '[^\p{L}\p{M}\p{N}_\-]+', '_', 'g'), '\A_+|_+\z', '', 'g') END AS b FROM documents) SELECT doc_id, CASE WHEN b = '' THEN 'paper' ELSE b END AS base FROM s""",
