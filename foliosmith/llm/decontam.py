@@ -8,12 +8,13 @@ The items are a stated query set: they go to the tasks in blocks of about ``bloc
 a block, so what is sent is bounded however large the benchmark is.
 
 Defined results: items or texts that are null or empty match nothing; an item of fewer than ``exact_below`` characters
-matches only exactly and between word ends; repeated items or documents are each reported (a row for each document row and item id);
+matches only exactly and with no letter, digit, mark or underscore next to it; repeated items or documents are each reported (a row for each document row and item id);
 an empty input gives an empty output; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +27,11 @@ def fold(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def in_word(sign: str) -> bool:
+    """Whether a character (or none) is a letter, digit, underscore or combining mark."""
+    return bool(sign) and (sign.isalnum() or sign == "_" or unicodedata.category(sign)[0] == "M")
+
+
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
     """k + 1 pieces that cover the item, as (offset, piece), of lengths that differ by one at most."""
     n = min(k + 1, len(item))
@@ -96,7 +102,7 @@ class Matcher:
             for lo, hi in self._windows(sorted(diagonals[index]), m, k):
                 lo, hi = max(lo, 0), min(hi, len(text))
                 if exact:
-                    bounded = (lo == 0 or text[lo - 1] == " ") and (hi == len(text) or text[hi] == " ")
+                    bounded = not in_word(text[lo - 1 : lo]) and not in_word(text[hi : hi + 1])
                     score, end = (0, hi) if bounded and text[lo:hi] == item else (m + 1, hi)
                 else:
                     score, end = min(((s, lo + j + 1) for j, s in enumerate(distances(masks, m, text[lo:hi]))), default=(m + 1, hi))
