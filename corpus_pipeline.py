@@ -2,7 +2,7 @@
 
 1. language_id: trains on the labelled rows of its input, rejects documents without a letter or whose language is hardly likelier than chance.
 2. ngram_join: near duplicates on five-word shingles with a Jaccard similarity of 0.8 or more; the smallest id of each group stays.
-3. decontamination: removes documents that hold a benchmark item.
+3. decontamination: removes documents that hold a benchmark item, whatever their id.
 4. pii: replaces personal data by the name of its kind.
 5. packing: packs token ids into sequences.
 
@@ -38,7 +38,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.clean(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .storage import written
+
 RATE, EXACT_BELOW, BLOCK_CHARS = 0.08, 24, 2_000_000
 
 
@@ -165,6 +167,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, exac
     return out if out is not None else shown.limit(0).select(id_col, *[F.lit(None).cast("long").alias(f.name) for f in fields])
 
 
-def clean(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents without any hit."""
-    return docs.join(hits.select(F.col(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, exact_below: int = EXACT_BELOW, block_chars: int = BLOCK_CHARS, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows without any hit.  Each row is judged by its own text within the search, so its id may be null or repeated; no join.
+
+    With several blocks of items the rows left by one are written before the next, so that a task holds one block.
+    """
+    at = docs.columns.index(text_col)
+
+    def without(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(items, rate, exact_below)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.search(text.as_py()) for text in batch.column(at)], pa.bool_()))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    out = docs
+    for k, items in enumerate(blocks(benchmark, item_id, item_text, block_chars)):
+        out = without(written(out, f"clean-{k}") if k else out, items)
+    return out
