@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .words import text_bytes
 
 UND = "und"
+#: Labels that training takes; more are an error, as samples of each go to the driver.
+MOST_LANGS = 512
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -161,10 +163,12 @@ def train(samples: list[tuple[bytes, str]], window: int = 256, widths: tuple[int
     return model
 
 
-def training_windows(docs: DataFrame, allowed: Column, per_lang: int, windows: int, window: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[bytes, str]]:
-    """At most ``per_lang`` hash-chosen labelled rows a language, ``windows`` hash-placed windows of each."""
+def training_windows(docs: DataFrame, allowed: Column, per_lang: int, windows: int, window: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_langs: int = MOST_LANGS) -> list[tuple[bytes, str]]:
+    """At most ``per_lang`` hash-chosen labelled rows a language, ``windows`` hash-placed windows of each; an error for more than ``most_langs`` languages."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), allowed.alias("_ok")).filter("_ok and _lang is not null and length(_text) > 0")
-    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(512).collect()
+    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(most_langs + 1).collect()
+    if len(counts) > most_langs:
+        raise ValueError(f"more than {most_langs} languages; most_langs bounds what the driver holds")
     if not counts:
         return []
     rate = F.create_map(*[x for r in counts for x in (F.lit(r["_lang"]), F.lit(min(1.0, 1.3 * per_lang / r["count"])))])
@@ -180,9 +184,9 @@ def training_windows(docs: DataFrame, allowed: Column, per_lang: int, windows: i
     return found
 
 
-def fit(docs: DataFrame, allowed: Column, per_lang: int = 500, windows: int = 4, window: int = 256, **columns: str) -> LangModel:
-    """Trains on a bounded sample of the rows for which ``allowed`` holds."""
-    return train(training_windows(docs, allowed, per_lang, windows, window, **columns), window)
+def fit(docs: DataFrame, allowed: Column, per_lang: int = 500, windows: int = 4, window: int = 256, most_langs: int = MOST_LANGS, **columns: str) -> LangModel:
+    """Trains on a bounded sample of the rows for which ``allowed`` holds; an error for more than ``most_langs`` languages."""
+    return train(training_windows(docs, allowed, per_lang, windows, window, most_langs=most_langs, **columns), window)
 
 
 def has_letter(text: str | None) -> bool:
