@@ -1,8 +1,8 @@
 """Main text of HTML pages by composite text density.
 
 A page is read into a DOM (flat lists in page order, so nesting depth costs nothing).  What can't be main text goes
-first: scripts, styles, forms, navigation, footers, asides, page headers, and elements that call themselves adverts, menus,
-notices, comments and the like (unless they hold the article or a first heading).  For each other node i with C characters, T tags,
+first: scripts, styles, navigation, footers, asides, controls, page headers, and forms and elements that call themselves adverts, menus,
+notices, comments and the like (these two unless they hold an article, a main element or an h1).  For each other node i with C characters, T tags,
 L link characters and K link tags (a zero counts as 1), over a body with C_b and L_b,
 
     density(i) = C / T * log(C / L * T / K) / log(1 + log(C / (C - L) * L + L_b / C_b * C + e))
@@ -128,7 +128,7 @@ class Page:
                     own[node] = not self._inside_core(node)
             if name == "header" and not self._inside_core(node):
                 own[node] = True
-            if flagged and (name in NEVER or not (core[node] or titled[node])):
+            if flagged and (name in NEVER and name != "form" or not (core[node] or titled[node])):
                 own[node] = True
             if core[node] and name not in NEVER:
                 own[node] = False
