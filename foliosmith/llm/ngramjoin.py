@@ -14,7 +14,7 @@ A text's set is the distinct ``n``-word shingles of its words (A-Z folded); with
    long list with its least class, then what those links have not joined yet, as the rest can't change a component.
 
 So no pair of equal texts is made, nothing is dropped, and no task holds more than two blocks of a shingle's texts.
-Shingles are compared by 64-bit hashes.
+Shingles are compared by 64-bit hashes, in sets of less than ``WHOLE_FROM`` by 40 bits of them.
 
 Defined results: null, empty and blank texts have an empty set, size 0, and link with nothing, as do rows with a null id; repeated
 rows are in one class (an id names one text); an empty input gives an empty output; extra columns are ignored.
@@ -36,6 +36,8 @@ from .words import gram_hashes, word_chunks, word_hashes
 ELL = 3
 BROADCAST_ROWS = 1_000_000
 BLOCK_HASHES = 1_000_000
+#: Sets of as many shingles are shipped with whole hashes.
+WHOLE_FROM = 1024
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -109,16 +111,42 @@ def described(docs: DataFrame, n: int, percent: int, hot: np.ndarray, id_col: st
 
 
 def pack(found: np.ndarray) -> bytes:
-    """Sorted 64-bit hashes cut to their upper 40 bits, for shipping; within a pair of sets of n shingles these collide by chance of n * n / 2**40."""
-    return (found >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """Sorted 64-bit hashes for shipping after a mark: cut to their upper 40 bits where the set is small and the cut hashes differ, whole elsewhere.
+
+    Two small sets of n shingles, n < ``WHOLE_FROM``, have a cut hash in common by chance with a probability of n * n / 2**40, or one in a million.
+    """
+    cut = found >> np.uint64(24)
+    if len(found) < WHOLE_FROM and (cut[1:] != cut[:-1]).all():
+        return b"\x05" + cut.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return b"\x08" + found.tobytes()
+
+
+def is_whole(raw: pa.Buffer) -> bool:
+    return raw[0] == 8 or raw[0] == b"\x08"
 
 
 def unpack(raw: pa.Buffer) -> np.ndarray:
+    if is_whole(raw):
+        return np.frombuffer(raw, dtype=np.uint8)[1:].copy().view(np.uint64)
     wide = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
-    wide[:, :5] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
+    wide[:, :5] = np.frombuffer(raw, dtype=np.uint8)[1:].reshape(-1, 5)
     return wide.view(np.uint64).ravel()
 
 
+def as_cut(found: np.ndarray) -> np.ndarray:
+    """Whole hashes as cut ones, for a set that meets a cut one."""
+    return np.unique(found >> np.uint64(24))
+
+
+def shared(x: pa.Buffer, y: pa.Buffer) -> tuple[int, int, int]:
+    """Size of the intersection of two packed sets, and the size of each."""
+    a, b, wide = unpack(x), unpack(y), (is_whole(x), is_whole(y))
+    sizes = len(a), len(b)
+    if wide[0] != wide[1]:
+        a, b = as_cut(a) if wide[0] else a, as_cut(b) if wide[1] else b
+    return len(np.intersect1d(a, b, assume_unique=True)), *sizes
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(class_id, packed shingles) of the wanted ids; a row for each row of a repeated id."""
 
@@ -208,9 +236,8 @@ def _verify_pairs(percent: int):
         for batch in batches:
             good = np.zeros(batch.num_rows, dtype=bool)
             for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = unpack(x.as_buffer()), unpack(y.as_buffer())
-                inter = len(np.intersect1d(x, y, assume_unique=True))
-                good[k] = 100 * inter >= percent * (len(x) + len(y) - inter)
+                inter, left, right = shared(x.as_buffer(), y.as_buffer())
+                good[k] = 100 * inter >= percent * (left + right - inter)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
     return run
@@ -235,6 +262,18 @@ def intersections(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     return total.astype(np.int64)
 
 
+def packed_intersections(raws: list[pa.Buffer]) -> tuple[np.ndarray, np.ndarray]:
+    """``intersections`` of packed sets, and their sizes: whole hashes among whole sets, cut ones elsewhere."""
+    sets, wide = [unpack(r) for r in raws], np.array([is_whole(r) for r in raws])
+    sizes = np.array([len(s) for s in sets])
+    if wide.all() or not wide.any():
+        return intersections(sets), sizes
+    inter = intersections([as_cut(s) if w else s for s, w in zip(sets, wide)])
+    at = np.flatnonzero(wide)
+    inter[np.ix_(at, at)] = intersections([sets[k] for k in at])
+    return inter, sizes
+
+
 def _forest(ids: np.ndarray, linked: np.ndarray) -> Iterator[tuple[int, int]]:
     """A spanning forest of a symmetric link matrix."""
     todo = np.ones(len(ids), dtype=bool)
@@ -257,8 +296,7 @@ def _verify_blocks(percent: int):
         if len(ids) < 2:
             return []
         column = rows.column("shingles").combine_chunks()
-        sets = [unpack(column[int(k)].as_buffer()) for k in at]
-        inter, sizes = intersections(sets), np.array([len(s) for s in sets])
+        inter, sizes = packed_intersections([column[int(k)].as_buffer() for k in at])
         linked = 100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)
         return list(_forest(ids, linked))
 
