@@ -1,19 +1,26 @@
 """Main text of HTML pages by composite text density.
 
-A page is read into a DOM (flat lists in page order, so nesting depth costs nothing).  What can't be main text goes
-first: scripts, styles, navigation, footers, asides, controls, page headers, and forms and elements that call themselves adverts, menus,
-notices, comments and the like (these two unless they hold an article, a main element or an h1).  For each other node i with C characters, T tags,
-L link characters and K link tags (a zero counts as 1), over a body with C_b and L_b,
+A page is read into a DOM (flat lists in page order, so nesting depth costs nothing).  What can't be main text by the meaning of its element
+goes first: scripts, styles, navigation, footers, asides, controls, hidden elements, page headers, and forms and elements with such a role (these two
+unless they hold an article, a main element or an h1).  For each other node with C characters, T tags, L link characters and K link tags
+(a zero counts as 1), over a body with C_b and L_b,
 
-    density(i) = C / T * log(C / L * T / K) / log(1 + log(C / (C - L) * L + L_b / C_b * C + e))
+    density = C / T * log(C / L * T / K) / log(1 + log(C / (C - L) * L + L_b / C_b * C + e))
 
-and its sum is the densities of its children.  The node of the largest sum, lifted to the article or main element around
-it, is the text.  Without such an element, the smallest density on the path from body to that node is the threshold:
-walking down from body, each node that reaches it gives its subtree of the largest sum.
+An element whose class or id names it an advert, menu, notice, comment list and the like is no more than a weight: ``HINT`` of its characters and
+all its tags count as those of links.  A node's sum is the density of its children and of its own text, taken as a leaf.
+
+1. The container of the largest sum (of equal ones the article or main element, then the inner one) is the core.  While one container in it
+   holds nearly all of its sum, the core moves down into that.
+2. The path from body to the core gives the thresholds.  On the way up, another container beside the path joins if its density reaches the least
+   density of the path below; where it is the same element as the path's, the least of the whole path is enough (``ALIKE`` of it where their class is the same too),
+   and in one article or main element with it, any density is.  Paragraphs, lists and headings beside the path join together with such a container, or where one of them reaches that threshold, or
+   in an article or main element; an h1 or h2 before the path joins where the core has none.
+3. In what has joined, named elements below the least density of the path go, as do lists and boxes of nothing but three or more links; all else stays.
 
 Text: character references decoded, white space inside a block one space, blocks in page order joined by a newline.
 Defined results: null or empty pages and pages without text give an empty text; repeated rows are each
-answered; an empty input gives an empty output; extra columns are ignored.
+answered; an empty input gives an empty output; extra columns are ignored.  Work is in proportion to the page, however it is nested or malformed.
 """
 
 from __future__ import annotations
@@ -34,31 +41,64 @@ SPACED = {"br", "td", "th", "img"}
 NEVER = RAW | set("head nav footer aside form button select input menu dialog object audio video canvas map search".split())
 CORE = {"article", "main"}
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
+TITLES = {"h1", "h2"}
 # An open element is closed by these starts, looking up to its own kind of container.
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPE = BLOCK - {"p", "address"} | {"td", "th", "button", "object"}
+CONTAINER = set("#root html body div section article main center table tbody tr td form fieldset details".split())
+LINKED = CONTAINER | {"ul", "ol", "dl"}
+
+#: Share of the characters of a named element that count as link characters.
+HINT = 0.9
+#: The share of the path's least density that is enough for a container with the class of the path's.
+ALIKE = 0.5
+#: The core moves into a container that holds this share of its sum.
+MOST = 0.9
 
-_WORDS = "ads?|advert(?:s|isement|isements|ising|orial)?|banner|sponsor(?:ed|s)?|promo(?:s|tion|tions)?|side-?bar|menus?|nav(?:bar|igation)?|breadcrumbs?|footer|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|subscription|popup|modal|overlay|share|sharing|social|related|recommend(?:ed|ations?)?|comments?|comment-?list|discussion|disqus|replies|respond|widgets?|toolbar|pagination|pager|login|sign-?up|search"
-_UNWANTED = re.compile(rf"(?i)(?<!has[_-])(?<!with[_-])(?<!no[_-])(?<!without[_-])(?:(?<=[\s_-])|^)(?:{_WORDS})(?=$|[\s_\d-])")
-_HEADER = re.compile(r"(?i)(?:^|[\s_-])(?:header|masthead|top-?bar)(?=$|[\s_\d-])")
+# Words of class names and ids.  A name is a hint if it has one of NAMED, alone or with digits, words of BEFORE before it and words of AFTER behind it.
+NAMED = set("""ad ads adbox adsense advert adverts advertisement advertisements advertising advertorial banner banners sponsor sponsors sponsored promo promos promotion promotions sidebar sidebars
+ menu menus menubar nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert alerts newsletter subscribe subscription popup popups modal overlay
+ share sharing social related recommend recommended recommendation recommendations comment comments commentlist discussion disqus reply replies respond responses widget widgets toolbar
+ pagination pager login signup signin search""".split())
+TOPS = {"header", "masthead", "topbar"}
+BEFORE_TOP = set("site global main top sticky mobile fixed".split())
+BEFORE = set("site page main left right top bottom header footer user reader readers post article entry blog global primary secondary mobile desktop sticky fixed legal google media inline side the js".split())
+AFTER = set("""box bar block blocks list lists wrapper wrap container area section panel inner outer left right top bottom item items group row column col link links button buttons icon icons form thread
+ post posts article articles story stories news slot unit zone label title text content body holder count center layer module feed toggle large small head header area overlay media nav menu message""".split())
+_BAR = re.compile(r"(?i)(side|top|nav|menu)[_-]?bar")
+_SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "menu", "menubar"}
 _TOKEN = re.compile(r"""<!--(?:>|->)|<!--.*?(?:--!?>|\Z)|<(?:[!?]|/[^a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|=|["'])*)(>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
+def hinted(label: str) -> tuple[bool, bool]:
+    """Whether a class or id names an element that is no main text, and whether it names a page header."""
+    named = top = False
+    for name in label.split():
+        words = [w.lower() for w in _SPLIT.findall(_BAR.sub(lambda m: m[1].lower() + "bar", name))]
+        words = [w for w in words if not w.isdigit()]
+        for at, word in enumerate(words):
+            if (word in NAMED or word in TOPS) and all(w in NAMED or w in (BEFORE if word in NAMED else BEFORE_TOP) for w in words[:at]) and all(w in AFTER or w in NAMED for w in words[at + 1 :]):
+                if word in NAMED:
+                    named = True
+                else:
+                    top = True
+    return named, top
+
+
 class Page:
     """A DOM: ``tag``, ``parent`` and ``attrs`` by node in page order; ``items`` are (node, text) and (node, None) for a block edge."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.attrs, self.items = ["#root"], [-1], [""], []
         self._read(source)
-        self.kids: list[list[int]] = [[] for _ in self.tag]
-        for node in range(1, len(self.tag)):
-            self.kids[self.parent[node]].append(node)
 
     def _read(self, source: str) -> None:
         stack, at, end = [0], 0, len(source)
         tag, items = self.tag, self.items
+        opened: dict[str, list[int]] = {}
+        scopes: list[int] = []
 
         def text(lo: int, hi: int) -> None:
             if lo < hi:
@@ -66,17 +106,21 @@ class Page:
 
         def close(depth: int) -> None:
             while len(stack) > depth:
-                if tag[stack.pop()] in BLOCK:
+                name = tag[stack.pop()]
+                opened[name].pop()
+                if name in SCOPE:
+                    scopes.pop()
+                if name in BLOCK:
                     items.append((stack[-1], None))
 
-        def find(names: set, limits: set) -> int:
-            for depth in range(len(stack) - 1, 0, -1):
-                name = tag[stack[depth]]
-                if name in names:
-                    return depth
-                if name in limits:
-                    break
-            return 0
+        def deepest(names) -> int:
+            return max((found[-1] for n in names if (found := opened.get(n))), default=0)
+
+        def find(names, limits) -> int:
+            """The depth of the innermost open element of these names that no limit lies in; 0 without one."""
+            depth = deepest(names)
+            bound = (scopes[-1] if scopes else 0) if limits is SCOPE else deepest(limits)
+            return depth if depth >= bound else 0
 
         while at < end:
             found = _TOKEN.search(source, at)
@@ -89,10 +133,10 @@ class Page:
             if not name or (not found[4] and at == end):
                 continue
             if found[1]:
-                if depth := find({name}, SCOPE if name not in BLOCK else set()):
+                if depth := find((name,), () if name in BLOCK else SCOPE):
                     close(depth)
                 continue
-            if name in BLOCK and (depth := find({"p"}, SCOPE)):
+            if name in BLOCK and (depth := find(("p",), SCOPE)):
                 close(depth)
             if name in CLOSED_BY and (depth := find(*CLOSED_BY[name])):
                 close(depth)
@@ -110,113 +154,138 @@ class Page:
                 at = ends.end() if ends else end
                 continue
             if not (found[3] or "").rstrip().endswith("/") or name in BLOCK | {"a", "b", "i", "span"}:
+                opened.setdefault(name, []).append(len(stack))
+                if name in SCOPE:
+                    scopes.append(len(stack))
                 stack.append(len(tag) - 1)
 
-    def unwanted(self) -> list[bool]:
-        """Whether a node or one around it can't be main text."""
+    def marks(self) -> None:
+        """Sets by node: ``gone`` (it or one around it can't be main text), ``header`` (a page header, gone too), ``hint`` (its name is of no main text), ``within`` (an article or main element) and ``kind`` (element and class)."""
         n = len(self.tag)
-        own, core, titled = [False] * n, [False] * n, [False] * n
-        for node in range(n - 1, 0, -1):
+        flagged, named, tops, self.kind = [False] * n, [False] * n, [False] * n, list(self.tag)
+        for node in range(1, n):
             name, raw = self.tag[node], self.attrs[node]
-            flagged = name in NEVER
-            if raw and not flagged:
+            flagged[node] = name in NEVER
+            if raw and not flagged[node]:
                 attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
-                label = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-                flagged = "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in _ROLES or bool(re.search(r"display\s*:\s*none", attrs.get("style", "")))
-                flagged = flagged or name not in ("html", "body") and bool(_UNWANTED.search(label))
-                if not flagged and name not in HEADING | CORE | {"html", "body"} and _HEADER.search(label):
-                    own[node] = not self._inside_core(node)
-            if name == "header" and not self._inside_core(node):
-                own[node] = True
-            if flagged and (name in NEVER and name != "form" or not (core[node] or titled[node])):
-                own[node] = True
-            if core[node] and name not in NEVER:
-                own[node] = False
-            core[node] = core[node] or name in CORE
-            titled[node] = titled[node] or name == "h1"
-            if not own[node]:
+                self.kind[node] = f"{name}.{attrs.get('class', '')}"
+                flagged[node] = "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in _ROLES or bool(re.search(r"display\s*:\s*none", attrs.get("style", "")))
+                if name not in ("html", "body"):
+                    named[node], tops[node] = hinted(f"{attrs.get('class', '')} {attrs.get('id', '')}")
+        self.within, self.header, self.hint, self.never, core, titled = ([False] * n for _ in range(6))
+        for node in range(1, n):
+            up = self.parent[node]
+            self.within[node] = self.within[up] or self.tag[up] in CORE and not named[up]
+        for node in range(n - 1, 0, -1):
+            name = self.tag[node]
+            holds = core[node] or titled[node]
+            self.never[node] = flagged[node] and (name in NEVER and name not in ("form", "dialog") or not holds)
+            self.header[node] = name == "header" and not self.within[node] and not core[node]
+            self.hint[node] = (named[node] or tops[node] and name not in HEADING and not self.within[node]) and not holds
+            core[node] |= name in CORE and not named[node]
+            titled[node] |= name == "h1"
+            if not (self.never[node] or self.header[node]):
                 core[self.parent[node]] |= core[node]
                 titled[self.parent[node]] |= titled[node]
+        self.gone = [a or b for a, b in zip(self.never, self.header)]
         for node in range(1, n):
-            own[node] = own[node] or own[self.parent[node]]
-        return own
-
-    def _inside_core(self, node: int) -> bool:
-        while node > 0:
-            node = self.parent[node]
-            if self.tag[node] in CORE:
-                return True
-        return False
-
-    def densities(self, gone: list[bool]) -> tuple[list[float], list[float]]:
-        """Composite density of each node and the sum over its children."""
+            self.gone[node] |= self.gone[self.parent[node]]
+
+    def densities(self) -> tuple[list[float], list[float], list[float]]:
+        """Composite density of each node, of its own text as a leaf, and its sum."""
         n = len(self.tag)
-        chars, tags, linked, links = [0] * n, [0] * n, [0] * n, [0] * n
-        in_link = [False] * n
+        own, chars, tags, linked, links = [0] * n, [0] * n, [0] * n, [0.0] * n, [0] * n
+        weight, in_hint = [0.0] * n, [False] * n
         for node in range(1, n):
-            in_link[node] = in_link[self.parent[node]] or self.tag[node] == "a"
+            up = self.parent[node]
+            in_hint[node] = in_hint[up] or self.hint[node]
+            weight[node] = 1.0 if weight[up] == 1 or self.tag[node] == "a" else HINT if in_hint[node] else 0.0
         for node, text in self.items:
-            if text and not gone[node]:
-                size = len("".join(text.split()))
-                chars[node] += size
-                if in_link[node]:
-                    linked[node] += size
-        for node in range(n - 1, 0, -1):
-            if gone[node]:
+            if text and not self.gone[node]:
+                own[node] += len("".join(text.split()))
+        for node in range(n - 1, -1, -1):
+            if self.gone[node]:
                 continue
-            up = self.parent[node]
-            chars[up] += chars[node]
-            linked[up] += linked[node]
-            tags[up] += tags[node] + 1
-            links[up] += links[node] + (self.tag[node] == "a")
-        density, total = [0.0] * n, [0.0] * n
+            chars[node] += own[node]
+            linked[node] += weight[node] * own[node]
+            if node:
+                up = self.parent[node]
+                chars[up] += chars[node]
+                linked[up] += linked[node]
+                tags[up] += tags[node] + 1
+                links[up] += links[node] + (self.tag[node] == "a" or in_hint[node])
+        self.chars, self.linked, self.links, self.in_hint = chars, linked, links, in_hint
         share = linked[0] / max(chars[0], 1)
-        for node in range(n):
-            c, t, lc, lt = chars[node], max(tags[node], 1), linked[node], max(links[node], 1)
-            if c and not gone[node]:
-                inner = c / max(c - lc, 1) * lc + share * c + e
-                density[node] = c / t * log(max(c / max(lc, 1) * t / lt, 1.0)) / log(max(log(inner), 1.0) + 1.0)
+
+        def composite(c: int, t: int, lc: float, lt: int) -> float:
+            if not c:
+                return 0.0
+            inner = c / max(c - lc, 1) * lc + share * c + e
+            return c / max(t, 1) * log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0)) / log(log(inner) + 1.0)
+
+        density = [composite(chars[k], tags[k], linked[k], links[k]) for k in range(n)]
+        alone = [composite(own[k], 1, weight[k] * own[k], 0) for k in range(n)]
+        total = list(alone)
         for node in range(1, n):
             total[self.parent[node]] += density[node]
-        return density, total
+        return density, alone, total
 
-    def chosen(self, gone: list[bool]) -> list[bool]:
-        """Whether a node belongs to the main text."""
-        n = len(self.tag)
-        density, total = self.densities(gone)
-        for node in range(n):
-            if not total[node]:
-                total[node] = density[node]
-        best = [node for node in range(n)]
+    def chosen(self) -> list[bool]:
+        """Whether a node's own text belongs to the main text."""
+        self.marks()
+        n, tag = len(self.tag), self.tag
+        density, alone, total = self.densities()
+        box = [tag[k] in CONTAINER or "-" in tag[k] for k in range(n)]
+        kids: list[list[int]] = [[] for _ in range(n)]
+        last = list(range(n))
+        for node in range(1, n):
+            box[node] = box[node] and box[self.parent[node]] and not self.gone[node]
+            if self.chars[node]:
+                kids[self.parent[node]].append(node)
         for node in range(n - 1, 0, -1):
-            up = self.parent[node]
-            if not gone[node] and total[best[node]] > total[best[up]]:
-                best[up] = best[node]
-        top = best[0]
+            last[self.parent[node]] = max(last[self.parent[node]], last[node])
+        top = max((k for k in range(n) if box[k]), key=lambda k: (total[k], tag[k] in CORE, k))
+        while inner := [k for k in kids[top] if box[k] and density[k] >= MOST * total[top] > 0]:
+            top = inner[0]
+        path = [top]
+        while tag[path[-1]] != "body" and path[-1]:
+            path.append(self.parent[path[-1]])
+        least, below = min(density[k] for k in path), density[top]
+        titled = any(tag[k] in TITLES and self.chars[k] for k in range(top, last[top] + 1))
+        whole, own = [False] * n, [False] * n
+        whole[top] = True
+        for under, at in zip(path, path[1:]):
+            sealed = self.within[under]
+            others = [k for k in kids[at] if k != under]
+            boxes = [k for k in others if box[k] and (sealed or density[k] >= below or self.kind[k] == self.kind[under] and density[k] >= least * (ALIKE if "." in self.kind[k] else 1))]
+            plain = [k for k in others if not box[k]]
+            if sealed or boxes or alone[at] >= below or any(density[k] >= below for k in plain):
+                own[at] = True
+                for k in boxes + plain:
+                    whole[k] = True
+                titled = titled or any(tag[k] in TITLES for k in plain)
+            elif not titled:
+                for k in [k for k in plain if tag[k] in TITLES and k < under][-1:]:
+                    whole[k] = titled = True
+            below = min(below, density[at])
+        on_path = set(path)
         keep = [False] * n
-        lifted, node = -1, top
-        while node > 0:
-            if self.tag[node] in CORE:
-                lifted = node
-            node = self.parent[node]
-        if lifted < 0 and any(t in CORE and not gone[k] and density[k] > 0 for k, t in enumerate(self.tag)):
-            lifted = max((k for k, t in enumerate(self.tag) if t in CORE and not gone[k]), key=lambda k: density[k])
-        if lifted >= 0:
-            keep[lifted] = True
-        else:
-            least, node = density[top], top
-            while node > 0 and self.tag[node] != "body":
-                node = self.parent[node]
-                least = min(least, density[node]) if density[node] else least
-            for node in range(n):
-                if not gone[node] and density[node] >= least > 0:
-                    keep[best[node]] = True
-        for node in range(1, n):
-            keep[node] = (keep[node] or keep[self.parent[node]]) and not gone[node]
+        for node in range(n):
+            up = self.parent[node]
+            inside = node > 0 and keep[up] and (whole[up] or up not in on_path)
+            keep[node] = whole[node] or own[node] or inside
+            whole[node] = whole[node] or inside
+            if self.never[node] or self.header[node] and (tag[up] in ("#root", "html", "body") or not whole[up]):
+                keep[node] = whole[node] = False
+            elif node not in on_path and keep[node]:
+                if self.hint[node] and density[node] < density[top] and not self.in_hint[top]:
+                    keep[node] = whole[node] = False
+                elif tag[node] in LINKED and not self.within[node] and self.links[node] > 2 and self.linked[node] >= 0.98 * self.chars[node] > 0:
+                    keep[node] = whole[node] = False
         return keep
 
     def text(self) -> str:
-        keep = self.chosen(self.unwanted())
+        keep = self.chosen()
         blocks, now = [], []
         for node, text in [*self.items, (0, None)]:
             if text is None:
