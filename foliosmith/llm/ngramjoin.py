@@ -8,13 +8,14 @@ A text's set is the distinct ``n``-word shingles of its words (A-Z folded); with
 2. Each text becomes (id, set size, digest of the set, prefix); equal digests form a class, classes with equal size and prefix form a group.
    With an overlap of at least o = ceil(percent * size / 100), prefixes of size - o + ELL shingles share ELL shingles.
 3. Pairs of groups (and a group with itself) that share ELL prefix shingles and fit in size and position are expanded to their classes.
-   A shingle that more than ``longest`` groups have in their prefix, or a group of very many classes, goes another way: its classes are
-   dealt into blocks by a hash, and each pair of blocks is verified in one task, of which only a spanning forest of its links comes back.
-4. Pairs are verified on the whole sets, computed anew for the classes that need it: first each class with its least partner and each
-   long list with its least class, then what those links have not joined yet, as the rest can't change a component.
+   A shingle that more than ``longest`` groups have in their prefix, or a group of very many classes, goes another way: its list of classes.
+4. Pairs are verified on the whole sets, computed anew for the classes that need it: first each class with its least partner and each class of a
+   long list with the list's least, then only what those links have not joined yet, as the rest can't change a component.  What a long list still has apart
+   is dealt into blocks by a hash; the classes of its most frequent component meet the others only, and a block pair gives back a forest of its links.
 
-So no pair of equal texts is made, nothing is dropped, and no task holds more than two blocks of a shingle's texts.
-Shingles are compared by 64-bit hashes, in sets of less than ``WHOLE_FROM`` by 40 bits of them.
+So no pair of equal texts is made, nothing is dropped, and no task holds more than two blocks of a list.  Classes of a list that are in no
+component with its many are compared with all of the list: where texts share a rare passage but are no near copies, that work is the square of their number.
+Sets are compared by 64-bit hashes of their shingles.
 
 Defined results: null, empty and blank texts have an empty set, size 0, and link with nothing, as do rows with a null id; repeated
 rows are in one class (an id names one text); an empty input gives an empty output; extra columns are ignored.
@@ -27,17 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .components import connected_components
+from .components import connected_components, near_roots
 from .storage import written
 from .words import gram_hashes, word_chunks, word_hashes
 
 ELL = 3
 BROADCAST_ROWS = 1_000_000
 BLOCK_HASHES = 1_000_000
-#: Sets of as many shingles are shipped with whole hashes.
-WHOLE_FROM = 1024
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -110,51 +109,23 @@ def described(docs: DataFrame, n: int, percent: int, hot: np.ndarray, id_col: st
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, size long, digest binary, mark binary, prefix array<long>")
 
 
-def pack(found: np.ndarray) -> bytes:
-    """Sorted 64-bit hashes for shipping after a mark: cut to their upper 40 bits where the set is small and the cut hashes differ, whole elsewhere.
-
-    Two small sets of n shingles, n < ``WHOLE_FROM``, have a cut hash in common by chance with a probability of n * n / 2**40, or one in a million.
-    """
-    cut = found >> np.uint64(24)
-    if len(found) < WHOLE_FROM and (cut[1:] != cut[:-1]).all():
-        return b"\x05" + cut.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-    return b"\x08" + found.tobytes()
-
-
-def is_whole(raw: pa.Buffer) -> bool:
-    return raw[0] == 8 or raw[0] == b"\x08"
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets of distinct hashes."""
+    return len(np.intersect1d(a, b, assume_unique=True))
 
 
 def unpack(raw: pa.Buffer) -> np.ndarray:
-    if is_whole(raw):
-        return np.frombuffer(raw, dtype=np.uint8)[1:].copy().view(np.uint64)
-    wide = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
-    wide[:, :5] = np.frombuffer(raw, dtype=np.uint8)[1:].reshape(-1, 5)
-    return wide.view(np.uint64).ravel()
-
-
-def as_cut(found: np.ndarray) -> np.ndarray:
-    """Whole hashes as cut ones, for a set that meets a cut one."""
-    return np.unique(found >> np.uint64(24))
-
-
-def shared(x: pa.Buffer, y: pa.Buffer) -> tuple[int, int, int]:
-    """Size of the intersection of two packed sets, and the size of each."""
-    a, b, wide = unpack(x), unpack(y), (is_whole(x), is_whole(y))
-    sizes = len(a), len(b)
-    if wide[0] != wide[1]:
-        a, b = as_cut(a) if wide[0] else a, as_cut(b) if wide[1] else b
-    return len(np.intersect1d(a, b, assume_unique=True)), *sizes
+    return np.frombuffer(raw, dtype=np.uint64)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(class_id, packed shingles) of the wanted ids; a row for each row of a repeated id."""
+    """(class_id, shingles as sorted 64-bit hashes) of the wanted ids; a row for each row of a repeated id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack(s) for s in shingle_sets(part.column(1), n)], pa.binary())], names=["class_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), n)], pa.binary())], names=["class_id", "shingles"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("class_id"), F.col(text_col).alias("__text")).join(small_or_not(wanted), "class_id", "left_semi")
     return rows.select("class_id", "__text").mapInArrow(run, "class_id long, shingles binary")
@@ -236,44 +207,32 @@ def _verify_pairs(percent: int):
         for batch in batches:
             good = np.zeros(batch.num_rows, dtype=bool)
             for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                inter, left, right = shared(x.as_buffer(), y.as_buffer())
-                good[k] = 100 * inter >= percent * (left + right - inter)
+                a, b = unpack(x.as_buffer()), unpack(y.as_buffer())
+                inter = shared(a, b)
+                good[k] = 100 * inter >= percent * (len(a) + len(b) - inter)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
     return run
 
 
-def intersections(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Sizes of all intersections among a block's sets, by products of incidence matrices of ``width`` columns."""
+def intersections(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of the sets numbered ``rows`` with those numbered ``columns``, by products of incidence matrices of ``width`` hashes."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    owner, column = owner[shared], column[shared]
+    several = count[column] > 1
+    owner, column = owner[several], column[several]
     _, column = np.unique(column, return_inverse=True)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    total = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    total = np.zeros((len(rows), len(columns)), dtype=np.float64)
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, [lo, lo + width])
         part = np.zeros((len(sets), width), dtype=np.float32)
         part[owner[a:b], column[a:b] - lo] = 1
-        total += part @ part.T
-    np.fill_diagonal(total, [len(s) for s in sets])
+        total += part[rows] @ part[columns].T
     return total.astype(np.int64)
 
 
-def packed_intersections(raws: list[pa.Buffer]) -> tuple[np.ndarray, np.ndarray]:
-    """``intersections`` of packed sets, and their sizes: whole hashes among whole sets, cut ones elsewhere."""
-    sets, wide = [unpack(r) for r in raws], np.array([is_whole(r) for r in raws])
-    sizes = np.array([len(s) for s in sets])
-    if wide.all() or not wide.any():
-        return intersections(sets), sizes
-    inter = intersections([as_cut(s) if w else s for s, w in zip(sets, wide)])
-    at = np.flatnonzero(wide)
-    inter[np.ix_(at, at)] = intersections([sets[k] for k in at])
-    return inter, sizes
-
-
 def _forest(ids: np.ndarray, linked: np.ndarray) -> Iterator[tuple[int, int]]:
     """A spanning forest of a symmetric link matrix."""
     todo = np.ones(len(ids), dtype=bool)
@@ -291,14 +250,25 @@ def _forest(ids: np.ndarray, linked: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _verify_blocks(percent: int):
+    """From rows sorted by cell and class: links that join the classes of each cell as all its links do.  In a cell of both, the classes
+    marked ``joined`` are in one component, so only the others are compared, and with one of those at most one link comes back."""
+
     def one(rows: pa.Table) -> list[tuple[int, int]]:
         ids, at = np.unique(rows.column("class_id").to_numpy(), return_index=True)
         if len(ids) < 2:
             return []
+        joined = rows.column("joined").to_numpy()[at]
         column = rows.column("shingles").combine_chunks()
-        inter, sizes = packed_intersections([column[int(k)].as_buffer() for k in at])
-        linked = 100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)
-        return list(_forest(ids, linked))
+        sets = [unpack(column[int(k)].as_buffer()) for k in at]
+        sizes = np.array([len(s) for s in sets])
+        some = np.flatnonzero(~joined)
+        against = np.flatnonzero(joined) if joined.any() else some
+        inter = intersections(sets, some, against)
+        linked = 100 * inter >= percent * (sizes[some][:, None] + sizes[against][None, :] - inter)
+        if not joined.any():
+            return list(_forest(ids, linked))
+        met = np.flatnonzero(linked.any(axis=1))
+        return [(int(ids[some[k]]), int(ids[against[linked[k].argmax()]])) for k in met]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, mark = [], None
@@ -325,16 +295,49 @@ def _verify_blocks(percent: int):
     return run
 
 
-def cells(spark: SparkSession, lists: DataFrame, centres: DataFrame) -> DataFrame:
-    """(key, class_id, size): the groups within which all pairs are verified.
+def cells(lists: DataFrame) -> DataFrame:
+    """(key, class_id, size): groups that hold every pair of classes that a list holds.
 
-    Lists that share classes overlap, so where the classes that lists join have fewer pairs than those lists together, they are one group; else each list is.
+    Lists that share classes overlap.  Each list takes the least class that a list of its least class has as its own least one, and lists that agree are one
+    group, unless that group has more pairs than those lists together.
+    """
+    centre = written(lists.groupBy("shingle").agg(F.min("class_id").alias("centre")), "centres")
+    by_class = lists.join(centre, "shingle").groupBy("class_id").agg(F.min("centre").alias("first"))
+    whole = written(lists.join(written(by_class, "first"), "class_id").groupBy("shingle").agg(F.min("first").alias("whole"), F.count("*").alias("n")), "wholes")
+    rows = lists.join(whole.select("shingle", "whole"), "shingle")
+    merged = rows.select("whole", "class_id", "size").distinct()
+    merged = written(merged, "merged")
+    better = merged.groupBy("whole").agg(F.count("*").alias("m")).join(whole.groupBy("whole").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("by_lists")), "whole")
+    better = written(better.select("whole", (F.col("m").cast("double") * F.col("m") <= F.col("by_lists")).alias("merge")), "better")
+    one = merged.join(better.filter("merge"), "whole", "left_semi").select(F.xxhash64(F.lit(1), "whole").alias("key"), "class_id", "size")
+    each = rows.join(better.filter("not merge"), "whole", "left_semi").select(F.xxhash64(F.lit(0), "shingle").alias("key"), "class_id", "size")
+    return one.unionByName(each)
+
+
+def block_links(lists: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links among the classes of long lists (shingle, class_id, size) that roots (id, root) have not joined yet.
+
+    In each group that has several roots, the classes of the most frequent root are joined already: they meet the other classes only, and those meet each other.
     """
-    joined = connected_components(spark, lists.join(centres, "shingle").select("a", F.col("class_id").alias("b"))).select(F.col("id").alias("class_id"), F.col("root").alias("whole"))
-    rows = lists.join(joined, "class_id")
-    work = rows.groupBy("shingle", "whole").agg(F.count("*").alias("n")).groupBy("whole").agg(F.sum(F.col("n") * F.col("n")).alias("by_lists"))
-    better = joined.groupBy("whole").agg(F.count("*").alias("n")).join(work, "whole").select("whole", (F.col("n") * F.col("n") <= F.col("by_lists")).alias("merge"))
-    return rows.join(better, "whole").select(F.when(F.col("merge"), F.xxhash64(F.lit(1), "whole")).otherwise(F.xxhash64(F.lit(0), "shingle")).alias("key"), "class_id", "size").distinct()
+    spark = lists.sparkSession
+    keyed = written(cells(lists), "cells").join(roots.select(F.col("id").alias("class_id"), "root"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
+    keyed = written(keyed, "keyed")
+    counts = keyed.groupBy("key", "root").agg(F.count("*").alias("texts"), F.sum("size").alias("hashes"))
+    most = F.max_by(F.struct("root", "texts", "hashes"), F.struct("texts", "root")).alias("most")
+    per_key = counts.groupBy("key").agg(most, F.sum("texts").alias("texts"), F.sum("hashes").alias("hashes"), F.count("*").alias("n")).filter("n > 1")
+    blocks = lambda texts, hashes: F.greatest(F.ceil(texts / block), F.ceil(hashes / BLOCK_HASHES), F.lit(1)).cast("int")
+    plans = written(per_key.select(
+        "key", F.col("most.root").alias("bulk"), blocks(F.col("most.texts"), F.col("most.hashes")).alias("nb"),
+        blocks(F.col("texts") - F.col("most.texts"), F.col("hashes") - F.col("most.hashes")).alias("nr"),
+    ), "plans")
+    rows = keyed.join(plans, "key").withColumn("joined", F.col("root") == F.col("bulk"))
+    own = F.pmod(F.xxhash64("class_id"), F.when(F.col("joined"), F.col("nb")).otherwise(F.col("nr"))).cast("int")
+    with_bulk = F.transform(F.sequence(F.lit(0), F.when(F.col("joined"), F.col("nr")).otherwise(F.col("nb")) - 1), lambda k: F.when(F.col("joined"), F.xxhash64("key", F.lit(0), own, k)).otherwise(F.xxhash64("key", F.lit(0), k, own)))
+    among = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda k: F.xxhash64("key", F.lit(1), F.least(own, k), F.greatest(own, k)))
+    dealt = rows.select("class_id", "joined", F.explode(F.when(F.col("joined"), with_bulk).otherwise(F.concat(with_bulk, among))).alias("cell"))
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shown = dealt.join(sets, "class_id").repartition(count, "cell").sortWithinPartitions("cell", "class_id").select("cell", "class_id", "joined", "shingles")
+    return shown.mapInArrow(_verify_blocks(percent), "a long, b long")
 
 
 def links(docs: DataFrame, rows: DataFrame, n: int, percent: int, longest: int, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -348,35 +351,26 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int, longest: int,
     info = F.shiftleft(F.col("size"), 32).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 1)).bitwiseOR((F.col("members") > 1).cast("long"))
     exploded = prefixes.select("group_id", "size", "members", F.posexplode("prefix").alias("at", "shingle"))
     listed = written(shingle_lists(exploded.select("shingle", "group_id", info.alias("info")), longest), "lists")
-    big = groups.filter(large).select("group_id")
+    big = written(groups.filter(large).select("group_id"), "big")
     short = listed.filter("not long").join(big, "group_id", "left_anti")
     pairs = group_pairs(short, percent)
     member = lambda s: members.select(F.col("group_id").alias(s), F.col("class_id").alias(f"class_{s}"))
     pairs = pairs.join(member("a"), "a").join(member("b"), "b").filter((F.col("a") != F.col("b")) | (F.col("class_a") < F.col("class_b"))).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
     pairs = written(pairs, "pairs")
-    touched = listed.filter("not long").join(big, "group_id").select("shingle").distinct()
+    touched = written(listed.filter("not long").join(big, "group_id", "left_semi").select("shingle").distinct(), "touched")
     far = listed.filter("long").unionByName(listed.filter("not long").join(touched, "shingle", "left_semi"))
     long_lists = written(far.select("shingle", "group_id", F.shiftright("info", 32).alias("size")).join(members, "group_id").select("shingle", "class_id", "size"), "long")
-    centres = long_lists.groupBy("shingle").agg(F.min("class_id").alias("a"))
-    star = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(long_lists.join(centres, "shingle").filter("a < class_id").select("a", F.col("class_id").alias("b"))).distinct()
-    wanted = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).unionByName(long_lists.select("class_id")).distinct()
+    centres = written(long_lists.groupBy("shingle").agg(F.min("class_id").alias("a")), "centres")
+    star = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(long_lists.join(centres, "shingle").filter("a < class_id").select("a", F.col("class_id").alias("b")).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).unionByName(long_lists.select("class_id")).distinct()
     sets = written(sets_of(docs, written(wanted, "wanted"), n, id_col, text_col), "sets")
     side = lambda s: sets.select(F.col("class_id").alias(s), F.col("shingles").alias(f"shingles_{s}"))
     verified = lambda some: some.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_verify_pairs(percent), "a long, b long")
     near = written(verified(star), "near")
-    roots = connected_components(docs.sparkSession, near)
+    roots = near_roots(near)
     root = lambda s: roots.select(F.col("id").alias(s), F.col("root").alias(f"root_{s}"))
     apart = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    rooted = long_lists.join(root("class_id"), "class_id", "left").withColumn("root", F.coalesce("root_class_id", "class_id"))
-    counts = rooted.groupBy("shingle").agg(F.count("*").alias("texts"), F.sum("size").alias("hashes"), (F.min("root") < F.max("root")).alias("open")).filter("open")
-    keyed = written(cells(docs.sparkSession, long_lists.join(counts.select("shingle"), "shingle"), centres), "cells")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("texts"), F.sum("size").alias("hashes"))
-    blocks = F.ceil(F.greatest(F.col("texts") / block, F.col("hashes") / BLOCK_HASHES)).cast("int")
-    own = F.pmod(F.xxhash64("class_id"), blocks).cast("int")
-    dealt = keyed.join(sizes, "key").select("class_id", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select("class_id", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
-    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_block = dealt.join(sets, "class_id").repartition(count, "cell").sortWithinPartitions("cell", "class_id").select("cell", "class_id", "shingles").mapInArrow(_verify_blocks(percent), "a long, b long")
-    return classes.select("digest", "class_id"), written(near.unionByName(verified(apart)).unionByName(by_block), "links")
+    return classes.select("digest", "class_id"), written(near.unionByName(verified(apart)).unionByName(block_links(long_lists, roots, sets, percent, block)), "links")
 
 
 def components(docs: DataFrame, n: int = 5, percent: int = 80, hot: int = 32, most_hot: int = 500_000, longest: int = 128, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,27 +1,39 @@
-"""Counts on shipped hashes."""
+"""Sets are counted on whole hashes, and blocks give the components of all their links."""
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from foliosmith.llm import ngramjoin
 
 
-def packed(values):
-    return pa.py_buffer(ngramjoin.pack(np.array(sorted(values), np.uint64)))
-
-
-def test_large_sets_are_counted_on_whole_hashes():
+def test_hashes_that_agree_in_their_upper_bits_are_different():
     rng = np.random.default_rng(1)
-    base = {int(x) << 24 for x in rng.choice(1 << 39, 3000, replace=False)}
-    x, y = packed(base), packed({v + 1 for v in list(base)[:1500]} | set(list(base)[1500:]))
-    assert ngramjoin.shared(x, y) == (1500, 3000, 3000)
-    inter, sizes = ngramjoin.packed_intersections([x, y, packed(list(base)[:100])])
-    assert inter[0, 1] == 1500 and inter[0, 2] == 100 and sizes.tolist() == [3000, 3000, 100]
-    assert not next(ngramjoin._verify_pairs(90)([pa.record_batch([pa.array([1]), pa.array([2]), pa.array([x.to_pybytes()]), pa.array([y.to_pybytes()])], names=list("abxy"))])).num_rows
-
-
-def test_equal_cut_hashes_are_no_repeats():
-    x, y = packed([1 << 30, (1 << 30) + 1, 7 << 40]), packed([(1 << 30) + 2, 1 << 30, 9 << 40])
-    assert ngramjoin.shared(x, y) == (1, 3, 3)
-    assert ngramjoin.shared(x, packed([7 << 40])) == (1, 3, 1)
-    assert ngramjoin.unpack(packed([])).tolist() == []
+    base = np.unique(rng.integers(1 << 39, size=300).astype(np.uint64) << np.uint64(24))
+    other = np.sort(np.concatenate([base[:150] + np.uint64(1), base[150:]]))
+    assert ngramjoin.shared(base, other) == len(base) - 150
+    batch = pa.record_batch([pa.array([1]), pa.array([2]), pa.array([base.tobytes()]), pa.array([other.tobytes()])], names=list("abxy"))
+    assert not next(ngramjoin._verify_pairs(90)([batch])).num_rows
+    x, y = np.array([1 << 30, (1 << 30) + 1, 7 << 40], np.uint64), np.array([1 << 30, (1 << 30) + 2, 9 << 40], np.uint64)
+    assert ngramjoin.shared(x, y) == 1
+    assert ngramjoin.intersections([x, y], np.array([0]), np.array([1])).tolist() == [[1]]
+
+
+@pytest.mark.parametrize("bulk", [0, 7])
+def test_cells(bulk):
+    rng = np.random.default_rng(bulk)
+    sets = [np.unique(rng.integers(1, 30, size=20)).astype(np.uint64) for _ in range(24)]
+    joined = np.arange(24) < bulk
+    table = pa.record_batch([pa.array([5] * 24), pa.array(np.arange(24)), pa.array(joined), pa.array([s.tobytes() for s in sets])], names=["cell", "class_id", "joined", "shingles"])
+    found = [(a, b) for part in ngramjoin._verify_blocks(60)([table.slice(0, 10), table.slice(10)]) for a, b in zip(*(c.to_pylist() for c in part.columns))]
+    links = {(a, b) for a in range(24) for b in range(24) if a != b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 60 * len(np.union1d(sets[a], sets[b]))}
+    assert set(found) <= links
+
+    def roots(edges):
+        parent = list(range(24))
+        for a, b in [*edges, *([(0, k) for k in range(bulk)])]:
+            ra, rb = parent[a], parent[b]
+            parent = [ra if p == rb else p for p in parent]
+        return [parent.index(p) for p in parent]
+
+    assert roots(found) == roots([(a, b) for a, b in links if not bulk or joined[a] != joined[b]])
