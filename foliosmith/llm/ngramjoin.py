@@ -31,11 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components, near_roots
-from .storage import written
+from .storage import small_or_not, written
 from .words import gram_hashes, word_chunks, word_hashes
 
 ELL = 3
-BROADCAST_ROWS = 1_000_000
 BLOCK_HASHES = 1_000_000
 
 
@@ -131,11 +130,6 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: s
     return rows.select("class_id", "__text").mapInArrow(run, "class_id long, shingles binary")
 
 
-def small_or_not(frame: DataFrame) -> DataFrame:
-    """Marked for broadcast if it is small: at most ``BROADCAST_ROWS`` rows, counted; a plain join otherwise."""
-    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
-
-
 def shingle_lists(postings: DataFrame, longest: int) -> DataFrame:
     """(shingle, group_id, info, long) of the shingles that several groups have, or one group of several classes.
 

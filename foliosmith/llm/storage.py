@@ -1,19 +1,22 @@
-"""The shared folder for checkpoints: the one the cluster names, or a new one of this process where none is named."""
+"""The shared folder for checkpoints: the one the cluster names, or a new one of this process where none is named and Spark runs in this process alone."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Where checkpoints go; sets a temporary folder only where nothing is set, as in local tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return named or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    """Where checkpoints go; sets a temporary folder only where nothing is set and the master is local, as in tests."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named is None and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return named or context._jsc.sc().getCheckpointDir().get()
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:
@@ -22,3 +25,12 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+#: Rows of a table of ids that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_or_not(frame: DataFrame) -> DataFrame:
+    """Marked for broadcast if it is small: at most ``BROADCAST_ROWS`` rows, counted; a plain join otherwise."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame

@@ -108,7 +108,7 @@ def test_vectors(spark):
     base = rng.normal(size=(30, 16))
     rows = [(k, [float(x) for x in base[k % 30] + rng.normal(size=16) * (0.08 if k >= 30 else 0)], k % 30 % 2) for k in range(90)]
     rows += [(100, rows[0][1], 0), (101, rows[0][1], 1), (102, rows[0][1], None), (103, None, 0), (104, [0.0] * 16, 0), (105, [float("nan")] * 16, 0), (106, [None] * 16, 0), (107, [], 0)]
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in capfilters.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=3).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in capfilters.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), cell=3).collect()}
     good = {k: np.array(v) / np.linalg.norm(v) for k, v, label in rows if v and label is not None and None not in v and np.isfinite(v).all() and any(v)}
     label = {k: x for k, _, x in rows}
     links = {k: [j for j in good if j != k and label[j] == label[k] and good[j] @ good[k] >= 0.93] for k in good}
