@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
+#: Bytes that an entry of a cache takes besides its contents.
+ENTRY = 180
 _SIMPLE = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+\Z")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\sa-z\dß-öø-ÿ]+")
 
@@ -43,7 +45,8 @@ class WordTokenizer:
     Chunks of plain Latin letters, digits and signs go straight to the vocabulary's merges; all others to the full tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 96_000_000, longest: int = 64, stretch: int = 100_000):
+        """``limit``: bytes that the caches may hold, about; ``longest``: bytes of a chunk or word that is kept; ``stretch``: chunks looked up at once."""
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
@@ -51,16 +54,21 @@ class WordTokenizer:
         self.alphabet = _byte_alphabet()
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.limit = limit
+        self.limit, self.longest, self.stretch, self.held = limit, longest, stretch, 0
         self.special = tuple(t.content for t in self.full.get_added_tokens_decoder().values())
 
+    def _keep(self, cache: dict, key: bytes | str, value: bytes) -> None:
+        """Holds a value; an entry counts as its bytes and those of its objects."""
+        self.held += ENTRY + len(key) + len(value)
+        cache[key] = value
+
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) >= self.limit:
-                self.words.clear()
             tokens = self.model.tokenize(word if word.isascii() else "".join([self.alphabet[b] for b in word.encode()]))
-            found = self.words[word] = _packed(len(tokens)).pack(*[t.id for t in tokens])
+            found = _packed(len(tokens)).pack(*[t.id for t in tokens])
+            if len(word) <= self.longest:
+                self._keep(self.words, word, found)
         return found
 
     def chunk(self, raw: bytes) -> bytes:
@@ -74,16 +82,29 @@ class WordTokenizer:
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a whole text."""
-        parts, known = text.encode().split(), self.chunks
+        parts = text.encode().split()
+        if len(parts) <= self.stretch:
+            return self._ids(parts)
+        return b"".join([self._ids(parts[lo : lo + self.stretch]) for lo in range(0, len(parts), self.stretch)])
+
+    def _ids(self, parts: list[bytes]) -> bytes:
+        known = self.chunks
         try:
             return b"".join([known[p] for p in parts])
         except KeyError:
-            if len(known) >= self.limit:
-                known.clear()
-            for p in set(parts):
-                if p not in known:
-                    known[p] = self.chunk(p)
-            return b"".join([known[p] for p in parts])
+            pass
+        if self.held > self.limit:
+            self.chunks.clear()
+            self.words.clear()
+            self.held = 0
+        long: dict[bytes, bytes] = {}
+        for p in set(parts):
+            if p not in known:
+                if len(p) <= self.longest:
+                    self._keep(known, p, self.chunk(p))
+                else:
+                    long[p] = self.chunk(p)
+        return b"".join([known[p] if p in known else long[p] for p in parts]) if long else b"".join([known[p] for p in parts])
 
 
 @cache
