@@ -6,16 +6,32 @@ Positions are code points from 0: the pieces between the matches of a kind give
 
 Kinds: email, ip, card (Luhn), phone, then iban (mod 97) and secret (assigned tokens and passwords).
 Defined results: a null or empty text has no spans; repeated rows are each answered; an empty input gives an empty output;
-extra columns stay.  Spans of different kinds may overlap; ``redact`` covers the union.
+extra columns stay (one with the name of the output is replaced).  Spans of different kinds may overlap; ``redact`` covers the union.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import let
+
+# Characters of an account number by country, from the public IBAN registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """An account number of just its country's length, in groups of four with or without blanks."""
+    rest = {n: rf"(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n in IBAN_LENGTHS}
+    return r"(?<![A-Za-z0-9_])(?:" + "|".join(rf"(?:{'|'.join(IBAN_LENGTHS[n].split())})[0-9]{{2}}{rest[n]}" for n in IBAN_LENGTHS) + r")(?![A-Za-z0-9_])"
+
+
 KINDS = ("email", "ip", "card", "phone", "iban", "secret")
 
 PATTERNS = {
@@ -24,7 +40,7 @@ PATTERNS = {
     # The maximal chain of digits with single separators, entered at its first digit, if it has 16 to 19 of them.
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban(),
     "secret": r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key)\x20{0,2}[=:]\x20{0,2}[\x22']?[A-Za-z0-9_/+-]{16,}+",
 }
 #: Signs without which a text has no match of the kind, and a plainer pattern that such a text must hold.
@@ -42,20 +58,38 @@ CONTEXT = {
 AGAINST = r"(?i)\b(?:version|release|example|order|invoice|isbn|serial)\b"
 AROUND = 40
 
+BLOCK = 512
 _SPAN = "struct<start:bigint,end:bigint,text:string>"
 
 
+def walked(items: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """All outputs, in order, of a walk over items that carries a position: ``step(at, item)`` is (at, out), out being an array of ``kind``.
+
+    The walk goes block by block, so that no long array is copied at each item.
+    """
+    start = F.lit(0).cast("bigint").alias("at")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int") + F.when(F.size(items) == 0, 1).otherwise(0)), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
+
+    def one(acc: Column, item: Column) -> Column:
+        return let(step(acc["at"], item), lambda done: F.struct(done["at"].alias("at"), F.concat(acc["out"], done["out"]).alias("out")))
+
+    def block(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("out")), one)
+        return let(inner, lambda done: F.struct(done["at"].alias("at"), F.array_append(acc["out"], done["out"]).alias("out")))
+
+    return F.aggregate(blocks, F.struct(start, F.array().cast(f"array<array<{kind}>>").alias("out")), block, lambda acc: F.flatten(acc["out"]))
+
+
 def spans_of(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as (start, end, text), in code points."""
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.split(text, pattern, -1).alias("gap"))
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
+    def step(at: Column, pair: Column) -> Column:
+        start = at + F.length(pair["gap"])
         end = start + F.length(pair["hit"])
-        return F.when(pair["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("text"))).alias("out")))
+        return F.struct(end.alias("at"), F.array(F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("text"))).alias("out"))
 
-    return F.aggregate(pairs, state, step, lambda acc: acc["out"])
+    return walked(F.filter(pairs, lambda pair: pair["hit"].isNotNull()), step, _SPAN)
 
 
 def _digits(text: Column) -> Column:
@@ -120,12 +154,12 @@ def redact(docs: DataFrame, text_col: str = "text", pii_col: str = "pii", least_
     """Replaces the union of the spans by ``<KIND>`` of the span that starts first; a null text stays null."""
     text = F.col(text_col)
     spans = F.array_sort(F.transform(F.filter(F.col(pii_col), lambda s: s["score"] >= least_score), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+    def step(at: Column, s: Column) -> Column:
+        kept = F.substring(text, (at + 1).cast("int"), (s["start"] - at).cast("int"))
         tag = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(kept, tag))).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.greatest(at, s["end"]).alias("at"), F.when(s["start"] >= at, F.array(kept, tag)).otherwise(F.array().cast("array<string>")).alias("out"))
 
-    clean = F.aggregate(spans, state, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    last = F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0).cast("bigint"))
+    clean = F.concat(F.array_join(walked(spans, step, "string"), ""), F.substring(text, (last + 1).cast("int"), F.length(text)))
     return docs.withColumn(text_col, F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(clean))
