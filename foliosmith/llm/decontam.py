@@ -3,6 +3,7 @@
 Texts and items are folded to lower case with single spaces.  An item of m characters may be met with up to
 k = floor(rate * m) edits.  It is cut into k + 1 pieces, so that at least one piece of any such occurrence is exact: one
 automaton over all pieces finds the exact hits, and Myers' bit-parallel distance verifies the text around each.  No hit is capped.
+Offsets are code points of the text itself, so a hit can be cut out of it.
 
 The items are a stated query set: they go to the tasks in blocks of about ``block_chars`` characters, one pass over the documents
 a block, so what is sent is bounded however large the benchmark is.
@@ -29,6 +30,21 @@ def fold(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def places(text: str) -> list[tuple[int, int]]:
+    """For each character of ``fold(text)``, where the characters of ``text`` that it stands for begin and end."""
+    out: list[tuple[int, int]] = []
+    blank = -1
+    for k, c in enumerate(text):
+        if c.isspace():
+            blank = k if blank < 0 else blank
+            continue
+        if blank >= 0 and out:
+            out.append((blank, k))
+        blank = -1
+        out += [(k, k + 1)] * len(c.lower())
+    return out
+
+
 def in_word(sign: str) -> bool:
     """Whether a character (or none) is a letter, digit, underscore or combining mark."""
     return bool(sign) and (sign.isalnum() or sign == "_" or unicodedata.category(sign)[0] == "M")
@@ -89,8 +105,8 @@ class Matcher:
             self.automaton.make_automaton()
 
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item id, edits, start, end) in code points of the folded text: fewest edits, then the earliest end."""
-        text = fold(text)
+        """(item id, edits, start, end) in code points of the text: fewest edits, then the earliest end of the folded text."""
+        whole, text = text, fold(text)
         if not self.items or not text:
             return []
         diagonals: dict[int, set[int]] = {}
@@ -115,7 +131,10 @@ class Matcher:
                 before = text[max(0, end - m - k) : end][::-1]
                 length = next((j + 1 for j, s in enumerate(distances(back, m, before, anchored=True)) if s == score), m)
                 found.append((key, score, end - length, end))
-        return found
+        if not found:
+            return found
+        at = places(whole)
+        return [(key, score, at[lo][0], at[hi - 1][1]) for key, score, lo, hi in found]
 
     @staticmethod
     def _windows(starts: list[int], m: int, k: int) -> Iterator[tuple[int, int]]:
