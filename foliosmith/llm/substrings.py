@@ -5,13 +5,14 @@ A window is ``length`` consecutive words of one text; a word goes if a window ov
 
 1. Runs: each window belongs to the least hash among its ``GRAM``-word grams, so equal windows have equal minimizers.  Consecutive windows of one minimizer form a run.
    What repeats within a text, or as a whole run within a task's batch, is settled on the spot; only first copies go on.
-2. Sorted streams by minimizer keep the runs whose minimizer several runs have.  Where very many have it, their windows go on one by one.
+2. Sorted streams by minimizer keep the runs whose minimizer several runs have.  Where very many have it, their windows go on one by one; a minimizer that
+   a task sees very often does not enter those streams, so a passage that many texts have in differing surroundings is no hot key.
 3. The words of those runs come from the texts, as 32-bit codes, and are dealt to shards by minimizer (single windows: by their own hash).  Whole copies are settled by sorting.
 4. Each shard of about ``SHARD`` words gets a compressed FM-index: backward search over its wavelet matrix gives each window's matching statistics and
    suffix interval; a window goes if its interval holds an earlier start.  Intervals of words above the threshold go back to their texts.
 
-So a text meets only shards that can match it, and cost stays in proportion to the input.  No group is held in full: streams hold at most a shard, and hot runs are cut down
-before each shuffle to one row a task.  Defined results: null and empty texts have no words; rows with a null id lose only nothing and
+So a text meets only shards that can match it, and cost stays in proportion to the input.  No group is held in full: streams hold at most a shard, and of equal windows
+a task's batch ships the words once.  Words are told apart by 64-bit hashes, within a minimizer's or window's shard by 32 bits of them.  Defined results: null and empty texts have no words; rows with a null id lose only nothing and
 remove nothing; an id names one text (repeated rows are the same place); an empty input gives an empty output; extra columns are ignored.
 """
 
@@ -25,10 +26,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from .fmindex import FMIndex
 from .ngramjoin import shingle_lists
-from .storage import written
+from .storage import small_or_not, written
 from .words import _power, gram_hashes, gram_valid, mix, word_chunks, word_hashes
 
 GRAM, SHARD, LONGEST, MOST_RUN = 6, 150_000, 1_000, 1_000
+#: A minimizer that so many of ``STRETCH`` runs in a row have is hot.
+HOT, STRETCH = 128, 250_000
 _RUN_BASE = 0xD6E8FEB86659FD93
 _RUN_UNBASE = pow(_RUN_BASE, -1, 1 << 64)
 
@@ -110,6 +113,28 @@ def runs_of(docs: DataFrame, length: int) -> DataFrame:
     return docs.filter("doc_id is not null").mapInArrow(run, "gone boolean, minimizer long, doc_id long, start int, windows int")
 
 
+def hot_minimizers(runs: DataFrame) -> DataFrame:
+    """The minimizers that are hot in some stretch of the runs; each counts as hot for all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            value, count = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(value[count >= HOT])], names=["minimizer"])
+
+        for batch in batches:
+            held.append(batch.column(0).to_numpy())
+            size += batch.num_rows
+            if size >= STRETCH:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    return runs.filter("not gone").select("minimizer").mapInArrow(run, "minimizer long").distinct()
+
+
 def _segments(length: int):
     """From (doc_id, text, runs) rows to (key, hash, doc_id, start, windows, codes); codes is null where the run is settled: a later copy within the batch."""
 
@@ -209,7 +234,8 @@ def repeated_windows(docs: DataFrame, length: int = 20, shard: int = SHARD) -> D
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = written(runs_of(docs, length), "runs")
     live = runs.filter("not gone").select(F.col("minimizer").alias("shingle"), F.col("doc_id").alias("group_id"), F.shiftleft(F.col("start").cast("long"), 22).bitwiseOR(F.shiftleft(F.col("windows").cast("long"), 1)).alias("info"))
-    met = written(shingle_lists(live, LONGEST), "met")
+    hot = small_or_not(written(hot_minimizers(runs), "hot").withColumnRenamed("minimizer", "shingle"))
+    met = written(shingle_lists(live.join(hot, "shingle", "left_anti"), LONGEST).unionByName(live.join(hot, "shingle", "left_semi").withColumn("long", F.lit(True))), "met")
     by_doc = met.groupBy(F.col("group_id").alias("doc_id")).agg(F.collect_list(F.struct("info", "shingle", "long")).alias("runs"))
     segments = docs.join(by_doc, "doc_id").select("doc_id", "text", "runs").mapInArrow(_segments(length), "key long, hash long, doc_id long, start int, windows int, codes binary")
     found = segments.repartition(count, "key").sortWithinPartitions("key", "hash", "doc_id", "start").mapInArrow(_shards(length, shard), "doc_id long, start long, windows long")
