@@ -1,11 +1,14 @@
 """Licence scans by a trained paragraph classifier with template confirmation.
 
-A unit is a line, or a run of at most ``UNIT`` words of a longer line (half overlapping).  Its features are hashed word one-, two-
+A paragraph is what lies between blank lines.  Its units are runs of at most ``UNIT`` words, half overlapping, of the whole paragraph, so that a wrapped
+notice is judged as one, and of each of its lines, so that a notice of one line stands out among others.  A unit's features are hashed word one-, two-
 and three-grams (letters folded, ASCII punctuation as white space), its sum scaled by the square root of their number; a softmax regression trained here
 gives the probability of each licence family and of ``unknown``.  Training units are drawn from the templates below (spans, dropped and strange
-words) and, as unknown, from a bounded sample of corpus text without template runs.  The probabilities are calibrated on held-out units by a temperature.  A unit
+words) and, as unknown, from a bounded sample of corpus text without template runs.  The probabilities are calibrated by a temperature on units that training
+has not seen, of templates and of corpus text.  A unit
 whose family has ``least`` probability is confirmed if a run of its words is in that family's templates: at least ``RUN`` words, and
-at least ``COVER`` of the words from the first matched to the last.
+at least ``COVER`` of the words from the first matched to the last.  Where runs of several families overlap, the templates decide:
+the family stays that has the most words of that place.
 
 Defined results: null or empty texts give no rows; repeated rows are each answered; an empty input gives an empty output (the classifier is then trained
 on templates alone); extra columns are ignored.  All words of all texts are scored.
@@ -36,6 +39,7 @@ TEMPLATES = {
     "mit": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
         "Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the terms of the MIT license.", "SPDX-License-Identifier: MIT",
     ],
     "gpl-3.0": [
@@ -43,6 +47,10 @@ TEMPLATES = {
         "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/",
         "This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License version 3.0", "Released under the GNU GPL v3.", "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
+    "agpl-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.", "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
     "gpl-2.0": [
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "Licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only",
@@ -53,9 +61,29 @@ TEMPLATES = {
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Licensed under the BSD 3-Clause License.", "Released under the BSD License.", "SPDX-License-Identifier: BSD-3-Clause",
     ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.", "Released under the ISC License.", "SPDX-License-Identifier: ISC",
+    ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.", "Released under the zlib License.", "SPDX-License-Identifier: Zlib",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "Released under the Unlicense.", "SPDX-License-Identifier: Unlicense",
+    ],
+    "epl-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "Licensed under the Eclipse Public License, version 2.0.", "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "artistic-2.0": ["You may redistribute and modify this software under the terms of the Artistic License 2.0.", "Licensed under the Artistic License, version 2.0.", "SPDX-License-Identifier: Artistic-2.0"],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
         "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0",
@@ -198,19 +226,54 @@ def fit(docs: DataFrame, **options) -> LicenceModel:
     return train(negative_texts(docs, **options))
 
 
+def _cut(edge: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, last word + 1) of the units of each stretch of words between edges."""
+    lows, highs = np.concatenate([[0], edge]), np.concatenate([edge, [n]])
+    steps = np.maximum(1, -(-(highs - lows - UNIT) // (UNIT // 2)) + 1)
+    low = np.repeat(lows, steps) + (np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)) * (UNIT // 2)
+    return low, np.minimum(low + UNIT, np.repeat(highs, steps))
+
+
 def _units(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, last word + 1, text) of each unit."""
+    """(first word, last word + 1, text) of each unit, of paragraphs and of lines, in order."""
     breaks = np.flatnonzero(chunk.data == 10)
     line = np.searchsorted(breaks, chunk.starts)
     owner = np.searchsorted(chunk.first[1:], np.arange(len(line)), side="right")
-    edge = np.flatnonzero((np.diff(line) != 0) | (np.diff(owner) != 0)) + 1
-    lows, highs = np.concatenate([[0], edge]), np.concatenate([edge, [len(line)]])
-    steps = np.maximum(1, -(-(highs - lows - UNIT) // (UNIT // 2)) + 1)
-    low = np.repeat(lows, steps) + (np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)) * (UNIT // 2)
-    high = np.minimum(low + UNIT, np.repeat(highs, steps))
+    other, n = np.diff(owner) != 0, len(line)
+    cuts = [_cut(np.flatnonzero((np.diff(line) >= least) | other) + 1, n) for least in (1, 2)]
+    low, high = np.unique(np.concatenate([np.column_stack(c) for c in cuts]), axis=0).T
     return low, high, owner[low]
 
 
+def _settled(spans: dict[tuple[int, int], list], hashes: np.ndarray, runs: list[np.ndarray]) -> dict[tuple[int, int], list]:
+    """Of runs of several families that overlap in a text, the family whose templates have the most of all their words, over all that it matches there.
+    A run of another family stays if more than half of it lies outside."""
+    by_text: dict[int, list] = {}
+    for (text, family), found in spans.items():
+        by_text.setdefault(text, []).extend((run[0], run[1], family, run) for run in found)
+    kept: dict[tuple[int, int], list] = {}
+    for text, todo in by_text.items():
+        todo.sort(key=lambda r: r[:3])
+        while todo:
+            begin, end, n = todo[0][0], todo[0][1], 1
+            while n < len(todo) and todo[n][0] < end:
+                end, n = max(end, todo[n][1]), n + 1
+            group, todo = todo[:n], todo[n:]
+            if len({r[2] for r in group}) > 1:
+                matched = {f: np.flatnonzero(matched_words(hashes[begin:end], runs[f])) for f in {r[2] for r in group}}
+                best = max(matched, key=lambda f: (len(matched[f]), max(r[3][2] for r in group if r[2] == f), -f))
+                words = matched[best]
+                lo, hi = begin + int(words[0]), begin + int(words[-1]) + 1
+                won = [lo, hi, max(r[3][2] for r in group if r[2] == best), len(words) / (hi - lo)]
+                kept.setdefault((text, best), []).append(won)
+                rest = [r for r in group if r[2] != best and 2 * (min(r[1], hi) - max(r[0], lo)) < r[1] - r[0]]
+                todo = sorted([*rest, *todo], key=lambda r: r[:3])
+            else:
+                for r in group:
+                    kept.setdefault((text, r[2]), []).append(r[3])
+    return kept
+
+
 def scan_column(model: LicenceModel, column: pa.Array, least: float) -> list[tuple]:
     """(row, family, probability, similarity, start, end) of each licence run found; code points."""
     out, unknown = [], len(model.families) - 1
@@ -241,13 +304,14 @@ def scan_column(model: LicenceModel, column: pa.Array, least: float) -> list[tup
             found = spans.setdefault((int(owner[u]), int(best[u])), [])
             value = [int(begin), int(end), float(sure[u, best[u]]), len(words) / (words[-1] - words[0] + 1)]
             if found and begin <= found[-1][1] + RUN:
+                found[-1][0] = min(found[-1][0], value[0])
                 found[-1][1] = max(found[-1][1], value[1])
                 found[-1][2:] = [max(found[-1][2], value[2]), max(found[-1][3], value[3])]
             else:
                 found.append(value)
         if spans:
             points = np.concatenate([[0], np.cumsum((chunk.data & 0xC0) != 0x80)])
-            for (text, family), found in sorted(spans.items()):
+            for (text, family), found in sorted(_settled(spans, hashes, model.runs).items()):
                 base = points[chunk.starts[chunk.first[text]]] if chunk.first[text] < len(chunk.starts) else 0
                 lead = _lead(column, chunk.lo + text)
                 for begin, end, probability, similarity in found:
