@@ -28,9 +28,8 @@ def least_score(n_langs: int) -> float:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, F.lit(True))
-    whole = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("__row"))
-    seen = langid.predict(whole, model, keep=("__row",))
-    return seen.filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= least_score(len(model.langs)))).select("__row.*")
+    seen = langid.predict(docs, model, keep=docs.columns, names=("__lang", "__sure"))
+    return seen.filter((F.col("__lang") != langid.UND) & (F.col("__sure") >= least_score(len(model.langs)))).select(*docs.columns)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

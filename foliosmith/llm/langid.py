@@ -223,18 +223,19 @@ def predict_column(model: LangModel, column: pa.Array, tables: list[list[np.ndar
     return names, score
 
 
-def predict(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to (``id_col``, ``keep`` columns); narrow, no shuffle."""
+def predict(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and its score, under ``names``, to (``id_col``, ``keep`` columns); narrow, no shuffle, and each text is shipped once."""
     wanted = list(dict.fromkeys([id_col, *keep]))
-    shown = docs.select(*wanted, F.col(text_col).alias("__text"))
-    schema = T.StructType([*docs.select(*wanted).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    shown = docs.select(*wanted) if text_col in wanted else docs.select(*wanted, F.col(text_col).alias("__text"))
+    place = wanted.index(text_col) if text_col in wanted else len(wanted)
+    schema = T.StructType([*docs.select(*wanted).schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables()
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                names, score = predict_column(model, part.column(len(wanted)), tables)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(wanted)], pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*wanted, "lang_pred", "score"])
+                langs, score = predict_column(model, part.column(place), tables)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(wanted)], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
     return shown.mapInArrow(run, schema)
