@@ -36,6 +36,8 @@ from .words import gram_hashes, word_chunks, word_hashes
 
 ELL = 3
 BLOCK_HASHES = 1_000_000
+#: A class that is first in more pairs is a hub, and its set is shipped under so many salts.
+HUB, SALTS = 256, 64
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -334,6 +336,15 @@ def block_links(lists: DataFrame, roots: DataFrame, sets: DataFrame, percent: in
     return shown.mapInArrow(_verify_blocks(percent), "a long, b long")
 
 
+def _with_sets(some: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, shingles_a, shingles_b) of pairs of classes.  The set of a class that very many pairs have first is repeated by salt, so that its pairs are dealt out."""
+    hubs = small_or_not(written(some.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > HUB).select("a", F.lit(SALTS).alias("salts")), "hubs"))
+    first = sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("shingles_a")).join(hubs, "a", "left").select("a", "shingles_a", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    pairs = some.join(hubs, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    second = sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("shingles_b"))
+    return pairs.join(first, ["a", "salt"]).join(second, "b").select("a", "b", "shingles_a", "shingles_b")
+
+
 def links(docs: DataFrame, rows: DataFrame, n: int, percent: int, longest: int, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(classes with their digests, links between classes that keep the components)."""
     classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min("size").alias("size"), F.min("mark").alias("mark"))
@@ -358,8 +369,7 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int, longest: int,
     star = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(long_lists.join(centres, "shingle").filter("a < class_id").select("a", F.col("class_id").alias("b")).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).unionByName(long_lists.select("class_id")).distinct()
     sets = written(sets_of(docs, written(wanted, "wanted"), n, id_col, text_col), "sets")
-    side = lambda s: sets.select(F.col("class_id").alias(s), F.col("shingles").alias(f"shingles_{s}"))
-    verified = lambda some: some.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_verify_pairs(percent), "a long, b long")
+    verified = lambda some: _with_sets(written(some, "star"), sets).mapInArrow(_verify_pairs(percent), "a long, b long")
     near = written(verified(star), "near")
     roots = near_roots(near)
     root = lambda s: roots.select(F.col("id").alias(s), F.col("root").alias(f"root_{s}"))
