@@ -114,7 +114,72 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _ESCAPE = r"regexp_replace(regexp_replace({0}, '<(\\*)(\|im_start\|>|\|im_end\|>|\|(?:image|audio|document|attachment)_\d+\|>|/?s>|</?SYS>>|/SYS>>|<SYS>>)', '<\\\1\2', 'g'), '\[(\\*)(/?INST\])', '[\\\1\2', 'g')"
 
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+#: Reachability over ``links`` (a, b) of ``nodes`` (id), which both precede it.
+_REACH = """reach(id, other) AS (SELECT id, id FROM nodes UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.other = links.a)"""
+
+# The account numbers of op8 in plain words: country and length, then groups of four with or without blanks.
+_IBAN_SQL = r"\b(?:" + "|".join(
+    rf"(?:{countries})[0-9][0-9]" + r"\x20?[A-Z0-9]{4}" * ((length - 4) // 4) + (rf"\x20?[A-Z0-9]{{{length % 4}}}" if length % 4 else "")
+    for length, countries in (
+        (15, "NO"), (16, "BE"), (18, "DK|FI|FK|FO|GL|NL|SD"), (19, "MK|SI"), (20, "AT|BA|EE|KZ|LT|LU|MN|XK"), (21, "CH|CR|HR|LI|LV"), (22, "BG|BH|DE|GB|GE|IE|ME|RS|VA"), (23, "AE|GI|IL|IQ|OM|SO|TL"),
+        (24, "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG"), (25, "LY|PT|ST"), (26, "IS|TR"), (27, "BI|DJ|FR|GR|IT|MC|MR|SM"), (28, "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV"), (29, "BR|EG|PS|QA|UA"), (30, "JO|KW|MU|YE"), (31, "MT|SC"), (32, "LC"), (33, "RU"),
+    )
+) + r")\b"
+_KINDS_SQL = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(hit, '.'), lambda p: length(ltrim(p, '0')) > 3 OR length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255')) = 0"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", "length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(length(digits)), lambda i: list_extract(CASE WHEN i % 2 = 0 THEN [0, 1, 2, 3, 4, 5, 6, 7, 8, 9] ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9] END, CAST(substr(digits, length(digits) - i, 1) AS INTEGER) + 1))) % 10 = 0"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) BETWEEN 8 AND 15"),
+    ("iban", _IBAN_SQL, "CAST(regexp_replace(list_reduce(list_transform(string_split(substr(replace(hit, ' ', ''), 5) || substr(replace(hit, ' ', ''), 1, 4), ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END), lambda x, y: CAST(CAST(x || y AS BIGINT) % 97 AS VARCHAR)), '^$', '0') AS BIGINT) % 97 = 1"),
+    ("secret", r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key)\x20{0,2}[=:]\x20{0,2}[\x22'']?[A-Za-z0-9_/+-]{16,}", "true"),
+)
+
+
+def _kind_sql(place: int, kind: str, pattern: str, good: str) -> str:
+    """Matches of a kind: the lengths of what lies between and of the matches before give the places."""
+    return f"""
+        SELECT doc_id, {place} AS place, '{kind}' AS kind, s AS start, s + length(hit) AS stop FROM (
+            SELECT doc_id, hit, regexp_replace(hit, '[^0-9]', '', 'g') AS digits, CAST(list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda h: length(h))), 0) AS BIGINT) AS s FROM (
+                SELECT doc_id, hits, gaps, unnest(hits) AS hit, generate_subscripts(hits, 1) AS k FROM (
+                    SELECT doc_id, regexp_extract_all(text, '{pattern}') AS hits, string_split_regex(text, '{pattern}') AS gaps FROM documents WHERE text IS NOT NULL)))
+        WHERE {good}"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": f"""
+        WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+        windows AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 18), lambda i: {{'pos': i, 'words': array_to_string(w[i:i + 19], ' ')}}), recursive := true) FROM docs),
+        repeated AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY words ORDER BY doc_id, pos) AS nth FROM windows) WHERE nth > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM repeated),
+        words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM docs)
+        SELECT docs.doc_id, any_value(len(w)) AS n_words, count(gone.pos) AS n_removed,
+            sha256(coalesce(string_agg(word, ' ' ORDER BY words.pos) FILTER (WHERE gone.pos IS NULL), '')) AS kept_sha256
+        FROM docs LEFT JOIN words ON words.doc_id = docs.doc_id LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.pos = words.pos GROUP BY docs.doc_id""",
+    "op6_embedding_dedup": f"""
+        WITH RECURSIVE vectors AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+            WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        near AS (SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.93),
+        links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+        nodes AS (SELECT vec_id AS id FROM embeddings),
+        {_REACH}
+        SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, min(other) AS component_id, id = min(other) AS kept FROM reach GROUP BY id""",
+    "op8_pii": f"""
+        WITH spans AS ({' UNION ALL '.join(_kind_sql(k, *parts) for k, parts in enumerate(_KINDS_SQL))})
+        SELECT d.doc_id, {', '.join(f"count(CASE WHEN kind = '{kind}' THEN 1 END) AS n_{kind}" for kind in ('email', 'ip', 'card', 'phone'))},
+            sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY place, start) FILTER (WHERE place < 4), '')) AS base_sha256,
+            coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY place, start), '') AS spans
+        FROM documents d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op10_ngram_join": f"""
+        WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS w FROM documents),
+        sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM docs),
+        grams AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM sets),
+        near AS (SELECT x.doc_id AS a, y.doc_id AS b FROM grams x JOIN grams y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+        links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+        nodes AS (SELECT doc_id AS id FROM sets),
+        {_REACH}
+        SELECT id AS doc_id, (SELECT len(g) FROM sets WHERE doc_id = id) AS n_shingles, min(other) AS component_id FROM reach GROUP BY id""",
     "op9_chat_formatting": f"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

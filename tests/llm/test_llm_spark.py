@@ -46,9 +46,10 @@ def brute_windows(rows, length=20):
     return out
 
 
-@pytest.mark.parametrize("longest,shard", [(1000, 150_000), (1, 40)])
-def test_substrings(spark, monkeypatch, longest, shard):
+@pytest.mark.parametrize("longest,shard,hot", [(1000, 150_000, 128), (1, 40, 2)])
+def test_substrings(spark, monkeypatch, longest, shard, hot):
     monkeypatch.setattr(substrings, "LONGEST", longest)
+    monkeypatch.setattr(substrings, "HOT", hot)
     rows = corpus()
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.deduplicate(frame(spark, rows), shard=shard).collect()}
     assert got == brute_windows(rows)

@@ -9,6 +9,7 @@ import pytest
 
 from foliosmith.llm import capfilters, chat, decontam, htmltext, langid, licences, ngramjoin, packing, pii, substrings, words
 from foliosmith.llm.fmindex import FMIndex
+from foliosmith.llm.queries import public_vocabulary
 
 TEXTS = ["", None, "one", " two  words ", "é ü\tß\nx", "a\x0bb\x0cc", "the same the same", "x" * 3000 + " y"]
 
@@ -155,6 +156,135 @@ def test_licences():
     found = licences.scan_column(model, pa.array([text, None, "", "The licence of the poet."]), 0.5)
     assert {(r, f) for r, f, *_ in found} == {(0, "mit"), (0, "apache-2.0")}
     assert {text[a:b] for *_, a, b in found} == {"Released under the MIT License", "Licensed under the Apache License, Version 2.0"}
+    notice = licences.TEMPLATES["gpl-3.0"][0].split()
+    wrapped = "A file.\n\n" + "\n".join(" ".join(notice[k : k + 5]) for k in range(0, len(notice), 5)) + "\n\nMore."
+    ((_, family, sure, similarity, lo, hi),) = licences.scan_column(model, pa.array([wrapped]), 0.5)
+    assert family == "gpl-3.0" and sure > 0.6 and similarity == 1 and wrapped[lo:hi].split() == " ".join(notice).rstrip(".").split()
+
+
+def plain_units(text):
+    """(first word, last word + 1) of the units, and the words with their code points, by the docstring."""
+    spans = [(m.start(), m.end()) for m in re.finditer(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in text))]
+    line = [text.count("\n", 0, a) for a, _ in spans]
+    units = set()
+    for least in (1, 2):
+        cuts = [0, *[k for k in range(1, len(spans)) if line[k] - line[k - 1] >= least], len(spans)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            at = lo
+            while lo < hi:
+                units.add((at, min(at + licences.UNIT, hi)))
+                if at + licences.UNIT >= hi:
+                    break
+                at += licences.UNIT // 2
+    return spans, sorted(units)
+
+
+def test_licence_scores_against_plain_code(monkeypatch):
+    rng = random.Random(16)
+    strange = ["".join(rng.choice("abcdefgé") for _ in range(rng.randrange(2, 8))) for _ in range(200)]
+    prose = [" ".join(rng.choice(strange) for _ in range(60)) for _ in range(60)]
+    model = licences.train(prose, epochs=2)
+    texts = []
+    for _ in range(40):
+        parts = [rng.choice(prose)[: rng.randrange(200)] for _ in range(3)] + [rng.choice(rng.choice(list(licences.TEMPLATES.values()))) for _ in range(2)]
+        rng.shuffle(parts)
+        texts.append(rng.choice(["\n", "\n\n", " "]).join(parts))
+    want = []
+    for row, text in enumerate(texts):
+        spans, units = plain_units(text)
+        hashes = licences.hashes_of(text)
+        assert len(hashes) == len(spans)
+        runs = {}
+        for lo, hi in units:
+            part = hashes[lo:hi]
+            features = [f for grams in licences.grams(part) for f in grams]
+            logits = (sum(model.weights[f].astype(float) for f in features) / len(features) ** 0.5 + model.bias) / model.temperature
+            sure = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+            best = int(sure[:-1].argmax())
+            known = set(model.runs[best].tolist())
+            trigrams = [int(g) in known for g in licences.gram_hashes(part, 3)]
+            matched = [k for k in range(hi - lo) if any(trigrams[j] for j in range(max(0, k - 2), min(k + 1, len(trigrams))))]
+            if sure[best] < 0.6 or len(matched) < licences.RUN or len(matched) < licences.COVER * (matched[-1] - matched[0] + 1):
+                continue
+            found = runs.setdefault(best, [])
+            first, last = lo + matched[0], lo + matched[-1] + 1
+            if found and first <= found[-1][1] + licences.RUN:
+                found[-1] = [min(found[-1][0], first), max(found[-1][1], last), max(found[-1][2], sure[best])]
+            else:
+                found.append([first, last, sure[best]])
+        want += [(row, model.families[k], round(p, 3), spans[a][0], spans[b - 1][1]) for k, found in runs.items() for a, b, p in found]
+    monkeypatch.setattr(licences, "_settled", lambda spans, *_: spans)
+    got = [(row, family, round(p, 3), a, b) for row, family, p, _, a, b in licences.scan_column(model, pa.array(texts), 0.6)]
+    assert sorted(got) == sorted(want) and len(got) > 40
+
+
+def test_licence_probabilities_are_calibrated():
+    rng = random.Random(17)
+    strange = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    page = lambda: " ".join(rng.choice(strange) for _ in range(20))
+    model = licences.train([page() for _ in range(150)], epochs=3)
+    families = list(licences.TEMPLATES)
+    sure, right = [], []
+    for _ in range(600):
+        truth = rng.randrange(len(families) + 1)
+        words = rng.choice(licences.TEMPLATES[families[truth]]).split()[:20] if truth < len(families) else page().split()
+        words = [w for w in words if rng.random() > 0.1] or words
+        features = np.concatenate(licences.grams(licences.hashes_of(" ".join(words))))
+        p = licences._softmax((model.weights[features].sum(axis=0) / np.sqrt(len(features)) + model.bias) / model.temperature)
+        sure.append(p.max())
+        right.append(p.argmax() == truth)
+    sure, right = np.array(sure), np.array(right)
+    bins = np.minimum((sure * 10).astype(int), 9)
+    error = sum((bins == k).mean() * abs(sure[bins == k].mean() - right[bins == k].mean()) for k in range(10) if (bins == k).any())
+    assert right.mean() > 0.9 and error < 0.08
+
+
+def test_level_is_the_least_sum_of_squares():
+    rng = random.Random(18)
+    for _ in range(200):
+        packer = packing.Packer(size=16, max_open=99)
+        for level in rng.choices(range(1, 16), k=rng.randrange(30)):
+            packer._put(level, [("d", 0, b"\0" * 4 * level)])
+        s = rng.randrange(1, 16)
+        before = packer.levels.copy()
+
+        def squares(h):
+            after = before.copy()
+            if h:
+                after[h] -= 1
+            if h + s < 16:
+                after[h + s] += 1
+            return int((after[1:16] ** 2).sum())
+
+        fits = [h for h in range(16 - s + 1) if h == 0 or before[h]]
+        assert squares(packer._level_for(s)) == min(map(squares, fits))
+
+
+def test_account_numbers_have_the_length_of_their_country():
+    found = lambda t: re.compile(pii.PATTERNS["iban"].replace("++", "+")).findall(t)
+    assert found("ES9121000418450200051332 CODE") == ["ES9121000418450200051332"]
+    assert found("to ES91 2100 0418 4502 0005 1332 TEST and DE89 3704 0044 0532 0130 00.") == ["ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00"]
+    assert found("NO9386011117947, XX9386011117947, xNO9386011117947 NO93860111179470") == ["NO9386011117947"]
+    assert sorted(" ".join(pii.IBAN_LENGTHS.values()).split()) == sorted(set(" ".join(pii.IBAN_LENGTHS.values()).split()))
+
+
+def test_hits_have_offsets_of_the_text():
+    item = "the quick brown fox jumps over the lazy dog again and again"
+    text = "  İntro\tİ  " + item.upper().replace(" ", " \n ") + "  tail"
+    ((_, edits, lo, hi),) = decontam.Matcher([(1, item)]).search(text)
+    assert edits == 0 and text[lo:hi] == item.upper().replace(" ", " \n ")
+    for sample in ("", " ", "a b", "  İ x\n\ny ", "ΑΣ Σ"):
+        assert len(decontam.places(sample)) == len(decontam.fold(sample))
+
+
+def test_token_caches_are_bounded_by_bytes():
+    own = packing.WordTokenizer(public_vocabulary(), limit=20_000, stretch=50)
+    rng = random.Random(19)
+    texts = [" ".join("".join(rng.choice("abcXYZ019.,éß漢字") for _ in range(rng.choice([1, 3, 8, 200]))) for _ in range(60)) for _ in range(40)]
+    for text in texts:
+        assert np.frombuffer(own.ids(text), np.uint32).tolist() == own.full.encode(text, add_special_tokens=False).ids
+        assert own.held < 20_000 + 60 * (packing.ENTRY + 900) and not any(len(k) > 64 for k in own.chunks)
+    assert own.ids("") == own.ids(" \n ") == b""
 
 
 def test_cap_filters_recall():
@@ -173,9 +303,9 @@ def test_cap_filters_recall():
 def test_block_intersections():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(12)]
-    got = ngramjoin.intersections(sets, width=7)
-    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
-    assert ngramjoin.unpack(pa.py_buffer(ngramjoin.pack(np.array([1 << 24, 5 << 40], np.uint64)))).tolist() == [1, 5 << 16]
+    rows, columns = np.arange(5), np.arange(5, 12)
+    got = ngramjoin.intersections(sets, rows, columns, width=7)
+    assert got.tolist() == [[len(np.intersect1d(sets[x], sets[y])) for y in columns] for x in rows]
 
 
 def test_sliding_min():
