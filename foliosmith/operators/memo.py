@@ -2,46 +2,70 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.durable import durable
+
 SCHEMA = {"ocr": 1, "vlm": 2}
 
 
-def key_of(kind: str, **parts: Column) -> Column:
-    """SHA-256 of a sorted-key JSON object; the kind keeps the keys of different steps apart."""
-    fields = [F.lit(kind).alias("kind"), *[value.alias(name) for name, value in sorted(parts.items())]]
+def key_of(kind: str, identity: Mapping[str, str] | None = None, **parts: Column) -> Column:
+    """SHA-256 of a sorted-key JSON object; the kind keeps the keys of different steps apart, the identity those of different models."""
+    named = {**{name: F.lit(value) for name, value in (identity or {}).items()}, **parts}
+    fields = [F.lit(kind).alias("kind"), *[value.alias(name) for name, value in sorted(named.items())]]
     return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).cast("binary"), 256)
 
 
-def figure_key(prompt: Column, crop_sha256: Column | None = None, raster_sha256: Column | None = None, bbox: Column | None = None, padding: Column | None = None) -> Column:
+def page_key(raster_sha256: Column, prompt: Column, long_edge: int, identity: Mapping[str, str] | None = None) -> Column:
+    """A page's key: its image at its resolution."""
+    return key_of("page", identity, raster=raster_sha256, prompt=prompt, long_edge=F.lit(long_edge))
+
+
+def figure_key(prompt: Column, crop_sha256: Column | None = None, raster_sha256: Column | None = None, bbox: Column | None = None, padding: Column | None = None, identity: Mapping[str, str] | None = None) -> Column:
     """A figure's key: by its crop, or by its page raster, box and padding; exactly one of the two."""
     if (crop_sha256 is None) == (raster_sha256 is None):
         raise ValueError("a figure key takes one image identity: the crop or the raster")
     if crop_sha256 is not None:
-        return key_of("figure", prompt=prompt, crop=crop_sha256)
-    return key_of("figure", prompt=prompt, raster=raster_sha256, bbox=bbox, padding=F.coalesce(padding, F.lit(0.0)).cast("double"))
+        return key_of("figure", identity, prompt=prompt, crop=crop_sha256)
+    return key_of("figure", identity, prompt=prompt, raster=raster_sha256, bbox=bbox, padding=F.coalesce(padding, F.lit(0.0)).cast("double"))
+
+
+def table_key(prompt: Column, raster_sha256: Column, bbox: Column, padding: float, identity: Mapping[str, str] | None = None) -> Column:
+    """A table's key: its page raster, and the box and padding of its crop where it has one."""
+    return key_of("table", identity, prompt=prompt, raster=raster_sha256, bbox=bbox, padding=F.when(bbox.isNotNull(), F.lit(float(padding))))
 
 
 def split_hits(items: DataFrame, memo: DataFrame, value_schema: int, key: str = "key") -> tuple[DataFrame, DataFrame]:
-    """(hits with ``text``, misses): entries of another schema don't count; of several entries of a key the newest does."""
-    valid = memo.filter(F.col("value_schema") == value_schema).groupBy(F.col(key)).agg(F.max_by("text", F.struct("written_at", "text")).alias("text"))
+    """(hits with ``text`` and ``truncated``, misses): entries of another schema don't count; of several entries of a key the newest does."""
+    cut = F.coalesce("truncated", F.lit(False)) if "truncated" in memo.columns else F.lit(False)
+    newest = F.max_by(F.struct("text", cut.alias("truncated")), F.struct("written_at", "text")).alias("__newest")
+    valid = memo.filter(F.col("value_schema") == value_schema).groupBy(F.col(key)).agg(newest).select(key, "__newest.text", "__newest.truncated")
     return items.join(valid, key), items.join(valid, key, "left_anti")
 
 
-def memoised(items: DataFrame, memo: DataFrame, infer: Callable[[DataFrame], DataFrame], value_schema: int, key: str = "key", refresh: bool = False, enabled: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(items with ``text`` and ``error``, new memo entries): equal keys are inferred once; failures never become entries.
+def memoised(
+    items: DataFrame, memo: DataFrame, infer: Callable[[DataFrame], DataFrame], value_schema: int, key: str = "key", refresh: bool = False, enabled: bool = True,
+    settle: Callable[[Column, Column], Column] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(items with ``text``, ``truncated`` and ``error``, new memo entries): equal keys are inferred once.
 
-    ``infer`` takes distinct misses and returns (key, text, error).
+    ``infer`` takes distinct misses and returns (key, text, finish_reason, error).  Its answers are written to the shared folder at once, and both results
+    are read from there, so a model is asked once however often they are read, and what is memoised is what was used.  ``settle(text, truncated)`` makes an answer
+    what is used, or null to refuse it; it may use the columns of the items, as far as equal keys agree in them.  Failed and refused answers never become entries.
     """
     if refresh or not enabled:
-        hits, misses = items.limit(0).withColumn("text", F.lit(None).cast("string")), items
+        hits, misses = items.limit(0).withColumns({"text": F.lit(None).cast("string"), "truncated": F.lit(False)}), items
     else:
         hits, misses = split_hits(items, memo, value_schema, key)
-    fresh = infer(misses.dropDuplicates([key])).select(key, "text", "error")
-    done = misses.join(fresh, key, "left")
-    entries = fresh.filter("error is null and text is not null").select(key, F.lit(value_schema).alias("value_schema"), "text", F.current_timestamp().alias("written_at"))
+    fresh = durable(infer(misses.dropDuplicates([key])).select(key, "text", "finish_reason", "error"), "answers")
+    cut = F.coalesce(F.col("finish_reason") != "stop", F.lit(False))
+    done = misses.join(fresh, key, "left").withColumn("truncated", cut).drop("finish_reason")
+    if settle:
+        done = done.withColumn("text", settle(F.col("text"), F.col("truncated")))
+    used = done.filter("error is null and text is not null").groupBy(key).agg(F.first("text").alias("text"), F.first("truncated").alias("truncated"))
+    entries = used.select(key, F.lit(value_schema).alias("value_schema"), "text", F.current_timestamp().alias("written_at"), "truncated")
     return hits.withColumn("error", F.lit(None).cast("string")).unionByName(done), entries if enabled else entries.limit(0)
 
 

@@ -1,9 +1,13 @@
-"""Typed configuration: defaults, then a file, then per-run values; every problem is reported at once."""
+"""Typed configuration: defaults, then a file, then per-run values; every problem is reported at once.
+
+The keys are one table; the sections are built from it.
+"""
 
 from __future__ import annotations
 
+import os
 import tomllib
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import dataclass, field, fields, make_dataclass, replace
 from pathlib import Path
 from typing import Any
 
@@ -12,88 +16,62 @@ class ConfigError(ValueError):
     """All problems of a configuration, one a line."""
 
 
-@dataclass(frozen=True)
-class OcrConfig:
-    backend: str = "stub"
-    resolution: str = "gundam"
-    endpoint: str = ""
-
-
-@dataclass(frozen=True)
-class VlmConfig:
-    backend: str = "stub"
-    endpoint: str = ""
-
-
-@dataclass(frozen=True)
-class FigureConfig:
-    detect: str = "auto"
-    mode: str = "describe-only"
-    crop_padding: float = 0.02
-    context_chars: int = 2000
-
-
-@dataclass(frozen=True)
-class TableConfig:
-    refine: bool = True
-
+# Sections, keys and defaults of the configuration (backends: those of this engine).
+KEYS: dict[str, dict[str, Any]] = {
+    "llama": {"bin_dir": "", "host": "127.0.0.1", "port": 0, "server_start_timeout": 120, "ctx_size": 16384},
+    "inference": {"mode": "sequential"},
+    "ocr": {"backend": "stub", "model": "", "mmproj": "", "resolution": "gundam", "n_gpu_layers": "auto", "endpoint": ""},
+    "vlm": {"backend": "stub", "model": "", "mmproj": "", "n_gpu_layers": "auto", "endpoint": ""},
+    "figure": {"detect": "auto", "mode": "describe-only", "crop_padding": 0.02, "context_chars": 2000},
+    "table": {"refine": True},
+    "output": {"dir": ".", "name_from_bibtex": True, "full_suffix": True, "split": True, "page_numbers": False, "page_separators": False, "normalize_line_breaks": True, "clean": True, "clobber": True, "notice": True},
+    "cache": {"enabled": True, "refresh": False},
+    "workdir": {"path": "", "keep_intermediates": False},
+    "bibtex": {"mode": "auto", "append_to_document": False},
+    "net": {"offline": False},
+}
+
+# Long edge in pixels of each resolution, the values of each choice, and the ranges of numbers (least, most; None: open).
+LONG_EDGE = {"tiny": 512, "small": 640, "base": 1024, "large": 1280, "gundam": 2048}
+CHOICES = {
+    ("figure", "detect"): ("auto", "grounding", "pdf-embedded", "none"), ("figure", "mode"): ("describe-only", "describe-and-keep", "placeholder"),
+    ("inference", "mode"): ("sequential", "concurrent"), ("bibtex", "mode"): ("off", "on", "auto"), ("ocr", "resolution"): tuple(LONG_EDGE),
+}
+RANGES = {
+    ("llama", "port"): (int, 0, 65535), ("llama", "ctx_size"): (int, 1, None), ("llama", "server_start_timeout"): (int, 1, None),
+    ("figure", "crop_padding"): (float, 0, 1), ("figure", "context_chars"): (int, 0, None),
+}
 
-@dataclass(frozen=True)
-class OutputConfig:
-    dir: str = "."
-    name_from_bibtex: bool = True
-    full_suffix: bool = True
-    split: bool = True
-    page_numbers: bool = False
-    page_separators: bool = False
-    normalize_line_breaks: bool = True
-    clean: bool = True
-    clobber: bool = True
-    notice: bool = True
 
+def _section(name: str) -> type:
+    return make_dataclass(f"{name.capitalize()}Config", [(key, type(value), field(default=value)) for key, value in KEYS[name].items()], frozen=True, module=__name__)
 
-@dataclass(frozen=True)
-class CacheConfig:
-    enabled: bool = True
-    refresh: bool = False
 
+SECTIONS = {name: _section(name) for name in KEYS}
+globals().update({f"{name.capitalize()}Config": made for name, made in SECTIONS.items()})
 
-@dataclass(frozen=True)
-class BibtexConfig:
-    mode: str = "auto"
-    append_to_document: bool = False
+_RunBase = make_dataclass("_RunBase", [(name, made, field(default_factory=made)) for name, made in SECTIONS.items()], frozen=True, module=__name__)
 
 
 @dataclass(frozen=True)
-class NetConfig:
-    offline: bool = False
-
+class RunConfig(_RunBase):
+    """The whole configuration; ``pages``, ``name`` and ``command`` are per-run only."""
 
-@dataclass(frozen=True)
-class RunConfig:
-    """The whole configuration; ``pages`` and ``name`` are per-run only."""
-
-    ocr: OcrConfig = field(default_factory=OcrConfig)
-    vlm: VlmConfig = field(default_factory=VlmConfig)
-    figure: FigureConfig = field(default_factory=FigureConfig)
-    table: TableConfig = field(default_factory=TableConfig)
-    output: OutputConfig = field(default_factory=OutputConfig)
-    cache: CacheConfig = field(default_factory=CacheConfig)
-    bibtex: BibtexConfig = field(default_factory=BibtexConfig)
-    net: NetConfig = field(default_factory=NetConfig)
     pages: str | None = None
     name: str | None = None
+    command: str = "run"
 
 
-# Long edge in pixels of each resolution.
-LONG_EDGE = {"tiny": 512, "small": 640, "base": 1024, "large": 1280, "gundam": 2048}
-CHOICES = {("figure", "detect"): ("auto", "grounding", "pdf-embedded", "none"), ("figure", "mode"): ("describe-only", "describe-and-keep", "placeholder"), ("bibtex", "mode"): ("auto", "on", "off"), ("ocr", "resolution"): tuple(LONG_EDGE)}
+def default_files() -> list[Path]:
+    """Where a configuration is looked for if none is named: the working folder, then the user's."""
+    home = Path(os.environ.get("XDG_CONFIG_HOME") or Path.home() / ".config")
+    return [Path("config.toml"), home / "foliosmith" / "config.toml"]
 
 
 def load_file(path: str | None) -> dict[str, Any]:
-    """A TOML file; a named one must exist, else ``config.toml`` in the working folder if there is one."""
+    """A TOML file; a named one must exist, else the first of ``default_files`` that there is."""
     if path is None:
-        return load_file("config.toml") if Path("config.toml").is_file() else {}
+        return next((load_file(str(p)) for p in default_files() if p.is_file()), {})
     try:
         return tomllib.loads(Path(path).read_text(encoding="utf-8"))
     except OSError as e:
@@ -106,33 +84,55 @@ def resolve(*layers: dict[str, Any]) -> RunConfig:
     """Merges layers, the last winning; None means unset, unknown keys are ignored; then validates."""
     config = RunConfig()
     for layer in layers:
-        for section in fields(RunConfig):
-            value = layer.get(section.name)
-            if isinstance(value, dict):
-                own = getattr(config, section.name)
-                known = {f.name for f in fields(own)}
-                config = replace(config, **{section.name: replace(own, **{k: v for k, v in value.items() if k in known and v is not None})})
-            elif section.name in ("pages", "name") and value is not None:
-                config = replace(config, **{section.name: value})
+        for name in KEYS:
+            given = layer.get(name)
+            if isinstance(given, dict):
+                known = {k: v for k, v in given.items() if k in KEYS[name] and v is not None}
+                config = replace(config, **{name: replace(getattr(config, name), **known)})
+        config = replace(config, **{k: layer[k] for k in ("pages", "name", "command") if layer.get(k) is not None})
     if problems := validate(config):
         raise ConfigError("\n".join(problems))
     return config
 
 
+def _number_problem(kind: type, value: Any, least: float, most: float | None) -> str | None:
+    if isinstance(value, bool) or not isinstance(value, int if kind is int else (int, float)):
+        return f"must be {'a whole number' if kind is int else 'a number'}, not {value!r}"
+    if value < least or most is not None and value > most:
+        return f"{value} is outside {least} to {'any' if most is None else most}"
+    return None
+
+
 def validate(config: RunConfig) -> list[str]:
     """Every problem of a configuration."""
+    from .inference import known_backends
+
     out = []
-    for section in fields(RunConfig):
-        own = getattr(config, section.name)
-        for f in fields(own) if hasattr(own, "__dataclass_fields__") else ():
-            value, at = getattr(own, f.name), f"{section.name}.{f.name}"
-            if f.type == "bool" and not isinstance(value, bool):
-                out.append(f"{at}: {value!r} is not true or false")
-            allowed = CHOICES.get((section.name, f.name))
-            if allowed and value not in allowed:
-                out.append(f"{at}: {value!r} is none of {', '.join(allowed)}")
-    if not isinstance(config.figure.crop_padding, (int, float)) or not 0 <= config.figure.crop_padding < 0.5:
-        out.append("figure.crop_padding: must be at least 0 and below 0.5")
-    if not isinstance(config.figure.context_chars, int) or config.figure.context_chars < 0:
-        out.append("figure.context_chars: must be 0 or more")
+    for name, keys in KEYS.items():
+        own = getattr(config, name)
+        for key, default in keys.items():
+            value, at = getattr(own, key), f"{name}.{key}"
+            problem = None
+            if isinstance(default, bool):
+                problem = None if isinstance(value, bool) else f"{value!r} is not true or false"
+            elif (name, key) in CHOICES:
+                problem = None if value in CHOICES[name, key] else f"{value!r} is none of {', '.join(CHOICES[name, key])}"
+            elif (name, key) in RANGES:
+                problem = _number_problem(RANGES[name, key][0], value, *RANGES[name, key][1:])
+            elif key == "n_gpu_layers":
+                problem = None if value in ("auto", "all") else "must be 'auto', 'all' or a whole number" if isinstance(value, str) else _number_problem(int, value, 0, None)
+            elif key == "backend":
+                problem = None if value in known_backends() else f"{value!r} is none of {', '.join(known_backends())}"
+            elif not isinstance(value, str):
+                problem = f"{value!r} is no text"
+            if problem:
+                out.append(f"{at}: {problem}")
+    port = config.llama.port
+    if config.command == "run" and config.inference.mode == "concurrent" and isinstance(port, int) and port != 0:
+        out.append("llama.port: two servers at once can't share a fixed port; 0 picks free ones")
     return out
+
+
+def as_dict(config: RunConfig) -> dict[str, Any]:
+    """Sections and keys as plain values."""
+    return {name: {f.name: getattr(getattr(config, name), f.name) for f in fields(getattr(config, name))} for name in KEYS}

@@ -1,25 +1,49 @@
 """Inference steps behind a registry of backends; the engine ships a deterministic stub.
 
-A backend turns a batch of (prompt, image reference) rows into answers; ``infer`` runs it once a miss, in Arrow batches, with one
+A backend turns (prompt, image reference) requests into answers; ``infer`` asks once a row, in Arrow batches, with one
 client a Python worker, made when the first row arrives.  Failures become an ``error`` column and never raise for a row.
+What a backend answers with (its name, models, server and sampling) is its identity, which is part of every memo key.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
 class Backend(ABC):
-    """Text out of prompts and image references."""
+    """Text out of prompts and image references; an image reference names a page image, and a pixel box of it after ``#``."""
 
     name = ""
     supports_grounding = False
-    max_tokens = 8192
+    #: The least build of a server that it works with, and the most tokens of an answer; None: no such bound.
+    least_build: int | None = None
+    max_tokens: int | None = None
+
+    def __init__(self, model: str = "", projector: str = "", endpoint: str = "", server: str = ""):
+        self.model, self.projector, self.endpoint, self.server = model, projector, endpoint, server
+
+    def page_prompt(self) -> str:
+        """What a page image is sent with."""
+        return ""
+
+    def sampling(self) -> dict[str, Any]:
+        return {"temperature": 0}
+
+    def template_options(self) -> dict[str, Any] | None:
+        return None
+
+    def identity(self) -> dict[str, str]:
+        """All that decides the answer to a request; part of its key."""
+        model = f"endpoint:{self.endpoint}:{self.model}" if self.endpoint else self.model
+        settings = {"sampling": self.sampling() | ({"max_tokens": self.max_tokens} if self.max_tokens else {}), "template": self.template_options()}
+        return {"backend": self.name, "model": model, "projector": self.projector, "server": self.server, "settings": json.dumps(settings, sort_keys=True)}
 
     @abstractmethod
     def answer(self, prompt: str, image: str | None) -> tuple[str, str]:
@@ -27,20 +51,26 @@ class Backend(ABC):
 
 
 class StubBackend(Backend):
-    """A deterministic stand-in: its answer is made of the request's digest."""
+    """A deterministic stand-in: its answer is made of the request's digest, a page's a text block of it."""
 
     name = "stub"
     supports_grounding = True
 
+    def page_prompt(self) -> str:
+        return "<page>"
+
     def answer(self, prompt: str, image: str | None) -> tuple[str, str]:
         mark = hashlib.sha256(f"{image}\n{prompt}".encode()).hexdigest()[:12]
+        if prompt == self.page_prompt():
+            return f"text[[10, 10, 900, 900]]Stub page {mark}.", "stop"
         return f"<img_desc>Stub description {mark}.</img_desc>", "stop"
 
 
-_BACKENDS: dict[str, Callable[[], Backend]] = {"stub": StubBackend}
+_BACKENDS: dict[str, Callable[..., Backend]] = {"stub": StubBackend}
 
 
-def register(name: str, make: Callable[[], Backend]) -> None:
+def register(name: str, make: Callable[..., Backend]) -> None:
+    """Makes a backend known; ``make`` takes model, projector, endpoint and server."""
     _BACKENDS[name] = make
 
 
@@ -48,10 +78,10 @@ def known_backends() -> list[str]:
     return sorted(_BACKENDS)
 
 
-def get_backend(name: str) -> Backend:
+def get_backend(name: str, **options: str) -> Backend:
     if name not in _BACKENDS:
         raise ValueError(f"unknown backend {name!r}; known: {', '.join(known_backends())}")
-    return _BACKENDS[name]()
+    return _BACKENDS[name](**options)
 
 
 def infer(misses: DataFrame, make: Callable[[], Backend], key: str = "key", prompt: str = "prompt", image: str = "image") -> DataFrame:
