@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from .. import constants as K
 from .text import let, present, strip
 
-# Words a key's title part passes over.
+# Words a key's title part passes over, and the comment lines of entries.
 PASSED_OVER = ("a", "an", "the", "on", "in", "of", "for", "and", "or")
 HEADER = "% NOTE: Best-effort entry generated from the document's own front matter\n% (no citation database was consulted). Verify before use.\n%\n"
 
@@ -31,15 +31,27 @@ def normalize_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"[^a-z\s]", ""), r"\s+", " "))
 
 
-def titles_match(original: Column, cited: Column) -> Column:
-    """Whether a cited title is that of the paper; asymmetric: words of the original count as often as they occur."""
+def title_form(title: Column) -> Column:
+    """(text, words, known) of a title: normalised, its words, its distinct words; made once a title, however often it is compared."""
+    return let(normalize_title(title), lambda t: let(F.split(t, " "), lambda words: F.struct(t.alias("text"), words.alias("words"), F.array_distinct(words).alias("known"))))
+
+
+def forms_match(a: Column, b: Column) -> Column:
+    """``titles_match`` of two title forms.  Words of a that b lacks are found by hashing; they are counted only if they may be few enough."""
+    longest = F.greatest(F.size(a["words"]), F.size(b["known"]))
 
-    def compare(n: Column) -> Column:
-        words, known = F.split(n["a"], " "), F.array_distinct(F.split(n["b"], " "))
-        share = let(F.struct(words.alias("words"), known.alias("known")), lambda s: F.size(F.filter(s["words"], lambda w: F.array_contains(s["known"], w))) / F.greatest(F.size(s["words"]), F.size(s["known"])))
-        return F.when((F.length(n["a"]) < K.TITLE_FLOOR) | (F.length(n["b"]) < K.TITLE_FLOOR), n["a"] == n["b"]).otherwise(share > K.TITLE_SIMILARITY)
+    def counted(unknown: Column) -> Column:
+        most = F.size(a["words"]) - F.size(unknown)
+        shared = F.when(F.size(unknown) == 0, F.size(a["words"])).otherwise(F.size(F.filter(a["words"], lambda w: ~F.array_contains(unknown, w))))
+        return F.when(most / longest <= K.TITLE_SIMILARITY, F.lit(False)).otherwise(shared / longest > K.TITLE_SIMILARITY)
 
-    return let(F.struct(normalize_title(original).alias("a"), normalize_title(cited).alias("b")), compare)
+    short = (F.length(a["text"]) < K.TITLE_FLOOR) | (F.length(b["text"]) < K.TITLE_FLOOR)
+    return F.when(short | (a["text"] == b["text"]), (a["text"] == b["text"]) & (short | (F.size(a["words"]) / longest > K.TITLE_SIMILARITY))).otherwise(let(F.array_except(a["known"], b["known"]), counted))
+
+
+def titles_match(original: Column, cited: Column) -> Column:
+    """Whether a cited title is that of the paper; asymmetric: words of the original count as often as they occur."""
+    return let(F.struct(title_form(original).alias("a"), title_form(cited).alias("b")), lambda n: forms_match(n["a"], n["b"]))
 
 
 def _authors(authors: Column) -> Column:
@@ -81,11 +93,13 @@ def best_effort_entry(title: Column, authors: Column, year: Column, venue: Colum
 
 def mock_entry(title: Column, date: str, year: str) -> Column:
     """What stands where no source knows the paper."""
+    # The comment lines and fields of the entry.
     head = f"% WARNING: This is a fallback mock citation.\n% BibTeX generation failed to find this paper in academic databases.\n% Please replace with the correct citation if available.\n%\n% Generated: {date}\n@article{{unknownYear,\n  title={{"
     return F.concat(F.lit(head), title, F.lit(f"}},\n  author={{Unknown Author}},\n  journal={{Unknown Journal}},\n  year={{{year}}},\n  note={{This is an automatically generated fallback citation}}\n}}"))
 
 
 def mismatch_warning(original: Column, cited: Column) -> Column:
+    # The comment lines.
     return F.concat(F.lit('% WARNING: The retrieved citation title may not match the paper title.\n% Paper title: "'), original, F.lit('"\n% Citation title: "'), cited, F.lit('"\n% \n'))
 
 

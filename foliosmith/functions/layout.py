@@ -11,7 +11,6 @@ from .text import let, present, strip, token_of
 MARKER = r"(?<![A-Za-z_])([A-Za-z_][A-Za-z_0-9]*+)\s*+\[\[\s*+(\d++\s*+,\s*+\d++\s*+,\s*+\d++\s*+,\s*+\d++)\s*+\]\]"
 
 
-
 def grid_to_norm(grid: Column) -> Column:
     """A 0 to 999 grid value as a share of the page side, clamped."""
     return F.greatest(F.least(grid.cast("double") / K.GRID_MAX, F.lit(1.0)), F.lit(0.0))
@@ -46,14 +45,18 @@ def is_caption(label: Column) -> Column:
 
 def regions(blocks: Column) -> Column:
     """array of (label, bbox, text, figure): a figure's text is the caption block that follows it, ``figure`` its number on the page."""
-    count = lambda i: F.size(F.filter(F.slice(blocks, F.lit(1), i + 1), lambda b: is_figure(b["label"])))
 
-    def region(b: Column, i: Column) -> Column:
-        following = F.get(blocks, i + 1)
-        caption = F.when(is_caption(following["label"]), present(following["text"]))
-        return F.struct(b["label"].alias("label"), b["bbox"].alias("bbox"), F.when(is_figure(b["label"]), caption).otherwise(present(b["text"])).alias("text"), F.when(is_figure(b["label"]), count(i)).alias("figure"))
+    def every(found: Column, spots: Column) -> Column:
+        def region(b: Column, i: Column) -> Column:
+            following = F.get(found, i + 1)
+            caption = F.when(is_caption(following["label"]), present(following["text"]))
+            figure = is_figure(b["label"])
+            return F.struct(b["label"].alias("label"), b["bbox"].alias("bbox"), F.when(figure, caption).otherwise(present(b["text"])).alias("text"), F.when(figure, F.array_position(spots, i).cast("int")).alias("figure"))
+
+        return F.transform(found, region)
 
-    return F.transform(blocks, region)
+    spots = lambda found: F.filter(F.transform(found, lambda b, i: F.when(is_figure(b["label"]), i)), lambda i: i.isNotNull())
+    return let(blocks, lambda found: let(spots(found), lambda s: every(found, s)))
 
 
 def figure_id(page_number: Column, ordinal: Column) -> Column:
@@ -62,9 +65,13 @@ def figure_id(page_number: Column, ordinal: Column) -> Column:
 
 def page_markdown(raw: Column, blocks: Column, page_number: Column) -> Column:
     """Block texts joined by blank lines, figures as tokens; without markers the whole output, stripped."""
-    numbered = F.transform(regions(blocks), lambda r: r["figure"])
-    parts = F.transform(F.arrays_zip(blocks.alias("b"), numbered.alias("n")), lambda p: F.when(p["n"].isNotNull(), token_of(figure_id(page_number, p["n"]))).otherwise(present(p["b"]["text"])))
-    return F.when(F.size(blocks) == 0, strip(raw)).otherwise(F.array_join(F.array_compact(parts), "\n\n"))
+
+    def joined(found: Column) -> Column:
+        numbered = F.transform(regions(found), lambda r: r["figure"])
+        parts = F.transform(F.arrays_zip(found.alias("b"), numbered.alias("n")), lambda p: F.when(p["n"].isNotNull(), token_of(figure_id(page_number, p["n"]))).otherwise(present(p["b"]["text"])))
+        return F.when(F.size(found) == 0, strip(raw)).otherwise(F.array_join(F.array_compact(parts), "\n\n"))
+
+    return let(blocks, joined)
 
 
 def pixel_box(box: Column, width: Column, height: Column, padding: float | Column = 0.0) -> Column:

@@ -14,7 +14,7 @@ BACKMATTER = (
     r"Acknowledgments?\b", r"Acknowledgements?\b", r"Author\s+Contributions", r"Funding", r"Impact\s+Statement", r"Broader\s+Impact", r"Societal\s+Impact", r"Ethical\s+Considerations",
     r"(?:References|Bibliography)\b", r"Works\s+Cited\b", r"Literature\s+Cited\b", r"Citations?\b", r"References\s+and\s+Notes\b", r"References\s+Cited\b", r"Cited\s+(?:Works|Literature)\b",
 )
-APPENDIX = (r"(?:Appendix|Appendices)\b", r"(?:Supplementary|Supporting)\s+(?:Materials?|Information|Data)\b", r"Supplemental\s+", r"SI\s+", r"S\d+\.\s+")
+APPENDIX = (r"(?:Appendix|Appendices)\b", r"(?:Supplementary|Supporting)\s+(?:Materials?|Information|Data)", r"Supplemental\s+", r"SI\s+", r"S\d+\.\s+")
 GUARDED = (r"A\s+", r"A\.\s+")
 PAGE_MARKER = r"(?i)^#{3,4}\s+Page\s+\d+\s*$"
 
@@ -23,6 +23,11 @@ def heading(pattern: str) -> str:
     return r"(?imd)^#+\s+" + pattern
 
 
+def _any(patterns: tuple[str, ...]) -> str:
+    """One pattern whose first match is the earliest of all of them, as each begins in the same way."""
+    return heading("(?:" + "|".join(patterns) + ")")
+
+
 def first_match(text: Column, pattern: str) -> Column:
     """Where a pattern first matches, or null."""
     return let(F.split(text, pattern, 2), lambda cut: F.when(F.size(cut) == 2, F.length(F.get(cut, 0))))
@@ -55,7 +60,7 @@ def boundaries(text: Column) -> Column:
 
     def first(whole: Column) -> Column:
         return F.struct(
-            whole.alias("text"), _least(*[first_match(whole, heading(p)) for p in BACKMATTER]).alias("back"), _least(*[first_match(whole, heading(p)) for p in APPENDIX]).alias("plain"),
+            whole.alias("text"), first_match(whole, _any(BACKMATTER)).alias("back"), first_match(whole, _any(APPENDIX)).alias("plain"),
             *[first_match(whole, heading(p)).alias(f"guarded_{k}") for k, p in enumerate(GUARDED)],
         )
 
@@ -65,7 +70,7 @@ def boundaries(text: Column) -> Column:
 
     def ordered(s: Column) -> Column:
         again = let(F.substring(s["text"], F.lit(1), s["appendix"].cast("int")), lambda ahead: before_marker(ahead, F.coalesce(*[first_match(ahead, heading(p)) for p in BACKMATTER])))
-        return F.struct(F.when(s["back"] > s["appendix"], again).otherwise(s["back"]).alias("backmatter"), s["appendix"].alias("appendix"))
+        return F.struct(F.when(s["back"] > s["appendix"], again).otherwise(s["back"]).alias("backmatter"), s["appendix"].alias("appendix"))  # the second search is for few
 
     return let(let(let(text, first), shifted), ordered)
 

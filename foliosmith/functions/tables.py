@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from .. import constants as K
 from .layout import is_table
-from .text import lstrip, present, rstrip, strip
+from .text import lstrip, present, rstrip, strip, walk
 
 BLOB = r"(?is)<table\b[^>]*>.*?</table\s*>"
 
@@ -15,14 +15,13 @@ def find_blobs(text: Column) -> Column:
     """array of (start, end, blob) in code points, end exclusive."""
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(BLOB), F.lit(0)).alias("blob"), F.split(text, BLOB, -1).alias("gap"))
     item = "struct<start:bigint,end:bigint,blob:string>"
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{item}>").alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
+    def step(at: Column, p: Column) -> Column:
+        start = at + F.length(p["gap"])
         end = start + F.length(p["blob"])
-        return F.when(p["blob"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), p["blob"].alias("blob"))).alias("out")))
+        return F.struct(end.alias("state"), F.array(F.struct(start.alias("start"), end.alias("end"), p["blob"].alias("blob"))).alias("out"))
 
-    return F.aggregate(pairs, state, step, lambda acc: acc["out"])
+    return walk(F.filter(pairs, lambda p: p["blob"].isNotNull()), F.lit(0).cast("bigint"), step, item)["out"]
 
 
 def is_refinable(blob: Column) -> Column:

@@ -8,7 +8,10 @@ from pyspark.sql import Column, functions as F
 
 from .. import constants as K
 
+# Fixed value: how a description block begins.
 HEADER_LINE = r"^> \*\*(?:Image description|Image Description|Image)\.\*\*"
+#: Items that a walk appends to one array.
+WALK_BLOCK = 512
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -16,6 +19,25 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
+def walk(items: Column, state: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """(state, out) after a walk over items: ``step(state, item)`` is (state, out), its ``out`` an array of ``kind``; all outputs follow each other.
+
+    The walk goes block by block, so that no long array is copied at each item and its time is in proportion to the items.
+    """
+    count = F.when(F.size(items) > 0, F.floor((F.size(items) - 1) / WALK_BLOCK)).otherwise(0).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), count), lambda k: F.slice(items, k * WALK_BLOCK + 1, F.lit(WALK_BLOCK)))
+    struct = lambda state, out: F.struct(state.alias("state"), out.alias("out"))
+
+    def one(acc: Column, item: Column) -> Column:
+        return let(step(acc["state"], item), lambda done: struct(done["state"], F.concat(acc["out"], done["out"])))
+
+    def block(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, struct(acc["state"], F.array().cast(f"array<{kind}>")), one)
+        return let(inner, lambda done: struct(done["state"], F.array_append(acc["out"], done["out"])))
+
+    return F.aggregate(blocks, struct(state, F.array().cast(f"array<array<{kind}>>")), block, lambda acc: struct(acc["state"], F.flatten(acc["out"])))
+
+
 #: The code points that count as white space.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
@@ -104,28 +126,29 @@ def figure_block(fig_id: Column, description: Column, caption: Column, crop_path
 
 
 def description_spacing(text: Column) -> Column:
-    """Blank lines around description blocks and the figure captions that follow them: a fold over lines."""
+    """Blank lines around description blocks and the figure captions that follow them: a walk over lines that knows whether it is in a block, whether
+    it is after one, and the line written last (null before the first)."""
     lines = F.split(text, "\n")
-    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("inside"), F.lit(False).alias("after"))
+    state = F.struct(F.lit(False).alias("inside"), F.lit(False).alias("after"), F.lit(None).cast("string").alias("last"))
+    empty, blank = F.array().cast("array<string>"), F.lit("")
 
-    def step(acc: Column, pair: Column) -> Column:
+    def step(now: Column, pair: Column) -> Column:
         line, coming = pair["line"], pair["coming"]
-        out, inside, after = acc["out"], acc["inside"], acc["after"]
+        inside, after, last = now["inside"], now["after"], now["last"]
         header, caption = line.rlike(HEADER_LINE), line.startswith("Figure ")
-        add = lambda *more: F.concat(out, F.array(*more))
-        blank = F.lit("")
-        parted = F.when((F.size(out) > 0) & (F.element_at(F.concat(F.array(blank), out), -1) != ""), F.concat(out, F.array(blank))).otherwise(out)
-        new = lambda o, i, a: F.struct(o.alias("out"), i.alias("inside"), a.alias("after"))
+        parted = F.when(last.isNotNull() & (last != ""), F.array(blank, line)).otherwise(F.array(line))
+        new = lambda out, i, a: F.struct(F.struct(i.alias("inside"), a.alias("after"), F.coalesce(F.element_at(F.concat(F.array(last), out), -1), last).alias("last")).alias("state"), out.alias("out"))
         return (
-            F.when(~inside & header, new(F.concat(parted, F.array(line)), F.lit(True), F.lit(False)))
-            .when(inside & line.startswith(">"), new(add(line), inside, after))
-            .when(inside, new(F.when(line != "", add(blank, line)).otherwise(out), F.lit(False), F.lit(True)))
-            .when(after & caption, new(F.concat(parted, F.array(line), F.when(coming.isNotNull() & (coming != ""), F.array(blank)).otherwise(F.array().cast("array<string>"))), inside, after))
-            .otherwise(new(add(line), inside, after & ((line == "") | caption)))
+            F.when(~inside & header, new(parted, F.lit(True), F.lit(False)))
+            .when(inside & line.startswith(">"), new(F.array(line), inside, after))
+            .when(inside, new(F.when(line != "", F.array(blank, line)).otherwise(empty), F.lit(False), F.lit(True)))
+            .when(after & caption, new(F.concat(parted, F.when(coming.isNotNull() & (coming != ""), F.array(blank)).otherwise(empty)), inside, after))
+            .otherwise(new(F.array(line), inside, after & ((line == "") | caption)))
         )
 
     pairs = F.arrays_zip(lines.alias("line"), F.concat(F.slice(lines, 2, F.size(lines)), F.array(F.lit(None).cast("string"))).alias("coming"))
-    return F.aggregate(pairs, state, step, lambda acc: F.array_join(F.when(acc["inside"], F.concat(acc["out"], F.array(F.lit("")))).otherwise(acc["out"]), "\n"))
+    done = let(walk(pairs, state, step, "string"), lambda w: F.array_join(F.when(w["state"]["inside"], F.array_append(w["out"], blank)).otherwise(w["out"]), "\n"))
+    return F.when(F.contains(text, F.lit("> **Image")), done).otherwise(text)
 
 
 def notice(text: Column, vlm_tables: Column | bool = False) -> Column:

@@ -9,6 +9,22 @@ from ..functions import citations as C, text as X, urls as U
 PAPER = "title string, authors array<string>, year string, venue string, doi string, url string"
 
 
+def _one_each(papers: DataFrame, key: str) -> DataFrame:
+    """One paper a key, that of the least title, so that a catalog with repeats repeats no document."""
+    return papers.groupBy(key).agg(F.min_by("paper", F.col("paper.title")).alias("paper"))
+
+
+def first_ranked(by_title: DataFrame) -> DataFrame:
+    """(query, paper): the paper of rank 1 of each query."""
+    return _one_each(by_title.filter("rank = 1"), "query")
+
+
+def titled_entry(title: Column, paper: Column, current_year: str) -> Column:
+    """The entry of a paper found by title, with a warning in front if the titles differ."""
+    warning = F.when(C.titles_match(title, paper["title"]), F.lit("")).otherwise(C.mismatch_warning(title, paper["title"]))
+    return F.concat(warning, C.article_entry(paper["title"], paper["authors"], paper["year"], paper["venue"], paper["doi"], paper["url"], current_year))
+
+
 def cite(documents: DataFrame, by_id: DataFrame, exports: DataFrame, by_title: DataFrame, current_year: str, online: bool = True) -> DataFrame:
     """(doc_id, bibtex, source) of (doc_id, url, probe, fallback_title).
 
@@ -19,9 +35,9 @@ def cite(documents: DataFrame, by_id: DataFrame, exports: DataFrame, by_title: D
     docs = documents.withColumn("__known", U.is_citable(F.col("url"))).withColumn("__arxiv", U.arxiv_id(F.col("url")))
     docs = docs.withColumn("__title", F.coalesce(F.col("probe.title"), F.col("fallback_title")))
     if online:
-        docs = docs.join(by_id.select(F.col("arxiv_id").alias("__arxiv"), F.col("paper").alias("__p")), "__arxiv", "left")
-        docs = docs.join(exports.select(F.col("arxiv_id").alias("__arxiv"), F.struct("title", "authors", "year", "primary_class").alias("__x")), "__arxiv", "left")
-        docs = docs.join(by_title.filter("rank = 1").select(F.col("query").alias("__title"), F.col("paper").alias("__t")), "__title", "left")
+        docs = docs.join(_one_each(by_id, "arxiv_id").select(F.col("arxiv_id").alias("__arxiv"), F.col("paper").alias("__p")), "__arxiv", "left")
+        docs = docs.join(exports.groupBy(F.col("arxiv_id").alias("__arxiv")).agg(F.min_by(F.struct("title", "authors", "year", "primary_class"), "title").alias("__x")), "__arxiv", "left")
+        docs = docs.join(first_ranked(by_title).select(F.col("query").alias("__title"), F.col("paper").alias("__t")), "__title", "left")
     else:
         none = F.lit(None)
         docs = docs.withColumn("__p", none.cast(f"struct<{PAPER.replace(' ', ':').replace(',:', ',')}>")).withColumn("__t", F.col("__p"))
@@ -31,7 +47,7 @@ def cite(documents: DataFrame, by_id: DataFrame, exports: DataFrame, by_title: D
     named = F.filter(p["authors"], lambda a: a != "")
     first = F.when(C.is_preprint_venue(p["venue"]), C.preprint_entry(p["title"], named, p["year"], F.col("__arxiv"), current_year)).otherwise(article(p))
     second = C.preprint_entry(x["title"], x["authors"], x["year"], F.col("__arxiv"), current_year, x["primary_class"])
-    third = F.concat(F.when(C.titles_match(F.col("__title"), t["title"]), F.lit("")).otherwise(C.mismatch_warning(F.col("__title"), t["title"])), article(t))
+    third = titled_entry(F.col("__title"), t, current_year)
     probe = F.col("probe")
     fourth = C.best_effort_entry(probe["title"], probe["authors"], probe["year"], probe["venue"], current_year)
     allowed = F.col("__known") | F.coalesce(probe["citable"], F.lit(False))

@@ -11,7 +11,8 @@ from ..functions import text as X
 def inject_descriptions(documents: DataFrame, figures: DataFrame, doc: str, text: str = "markdown", mode: str = "describe-only") -> DataFrame:
     """Replaces each figure token of a document by the block of (doc, fig_id, description, caption, crop_path).
 
-    The figures of a document come as one map by id, so tokens are looked up in place and nothing is exploded.
+    The figures of a document come as one map by id, so tokens are looked up in place and nothing is exploded.  Of several rows
+    of one figure the greatest block (by code points) stands.
     """
     made = figures.select(doc, F.col("fig_id"), X.figure_block(F.col("fig_id"), F.col("description"), F.col("caption"), F.col("crop_path"), mode).alias("block"))
     unique = made.groupBy(doc, "fig_id").agg(F.max("block").alias("block"))
