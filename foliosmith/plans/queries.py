@@ -40,7 +40,7 @@ SELECT doc_id, '# Title of ' || CAST(doc_id AS STRING) || {NL} || text || {NL}
     WHEN 1 THEN '#### Page 3' || {NL} || {NL} || '## References' || {NL} || 'two' || {NL} || '# Appendix' || {NL} || 'proof' || {NL}
     WHEN 2 THEN '## A Method' || {NL} || 'm' || {NL} || '## Funding' || {NL} || 'f' || {NL}
     WHEN 3 THEN '## Bibliography' || {NL} || 'b' || {NL} || '## A Supplement' || {NL} || 's' || {NL}
-    WHEN 4 THEN '## Supplementary Material' || {NL} || 'x' || {NL} || '## References' || {NL} || 'late' || {NL}
+    WHEN 4 THEN CASE WHEN doc_id % 4 = 0 THEN '## Supplementary Datasets' ELSE '## Supporting  information:' END || {NL} || 'x' || {NL} || '## References' || {NL} || 'late' || {NL}
     ELSE '---' || {NL} END AS content
 FROM {{documents}}"""
 
@@ -177,8 +177,10 @@ def section_split(spark, sf_dir):
 
 
 def table_guard(spark, sf_dir):
-    return frame(spark, sf_dir, TABLE_ROWS).select(
-        "l_orderkey", "l_linenumber", T.is_refinable(F.col("blob")).alias("refinable"), T.sanitize(F.col("answer")).alias("sanitized"), T.accepted(F.col("blob"), F.col("answer")).alias("accepted"))
+    """Guards of answers, and of blobs with a table in them, with a figure in them, without any letter or digit, and sound ones."""
+    odd = F.element_at(F.array(F.lit("<table><tr><TABLE >7</table>"), F.lit("<table><td>⟦FIG:fig_p1_1⟧ 7</td></table>"), F.lit("<table 12><td>--</td></table>")), (F.col("l_partkey") % 4).cast("int"))
+    rows = frame(spark, sf_dir, TABLE_ROWS.replace(" AS answer\n", " AS answer, l_partkey\n")).withColumn("probe", F.when(F.col("l_partkey") % 4 == 0, F.col("blob")).otherwise(odd))
+    return rows.select("l_orderkey", "l_linenumber", T.is_refinable(F.col("probe")).alias("refinable"), T.sanitize(F.col("answer")).alias("sanitized"), T.accepted(F.col("blob"), F.col("answer")).alias("accepted"))
 
 
 def table_blobs(spark, sf_dir):
@@ -189,11 +191,25 @@ def table_blobs(spark, sf_dir):
 
 def table_splice(spark, sf_dir):
     rows = frame(spark, sf_dir, TABLE_ROWS).withColumn("markdown", F.concat(F.lit("before  \n"), F.col("blob"), F.lit("\n\n after")))
-    found = tables_op.page_blobs(rows, "l_orderkey", "l_linenumber", regions=None).join(rows.select("l_orderkey", "l_linenumber", "answer"), ["l_orderkey", "l_linenumber"])
+    found = tables_op.page_blobs(rows, "l_orderkey", "l_linenumber", "answer", regions=None)
     done = tables_op.splice_answers(rows.select("l_orderkey", "l_linenumber", "markdown"), found, "l_orderkey", "l_linenumber")
     return done.select("l_orderkey", "l_linenumber", "markdown", "tables_refined")
 
 
+def settled_answers(spark, sf_dir):
+    """Answers of a model, a third of them cut off, as tables and as descriptions: what is used, and what is memoised."""
+    rows = frame(spark, sf_dir, TABLE_ROWS).withColumns({"key": F.concat_ws(":", "l_orderkey", "l_linenumber"), "reason": F.when(F.col("l_linenumber") % 3 == 0, "length").otherwise("stop")})
+    none, memo = F.lit(None).cast("string"), spark.createDataFrame([], files.MEMO)
+    answered = lambda misses: misses.select("key", F.col("answer").alias("text"), F.col("reason").alias("finish_reason"), none.alias("error"))
+    ways = {"table": lambda text, cut: F.when(~cut, T.accepted(F.col("blob"), text)), "description": lambda text, cut: X.present(X.mark_truncated(X.rstrip(X.description_from_tags(text)), cut))}
+    parts = []
+    for way, settle in ways.items():
+        done, entries = memo_op.memoised(rows, memo, answered, memo_op.SCHEMA["vlm"], settle=settle)
+        kept = entries.select("key", F.col("text").alias("memoised"))
+        parts.append(done.join(kept, "key", "left").select("l_orderkey", "l_linenumber", F.lit(way).alias("way"), F.col("text").alias("used"), "memoised"))
+    return parts[0].unionByName(parts[1])
+
+
 def match_table_regions(spark, sf_dir):
     """Regions are the blobs of an order in reverse line order, each in a caption after an empty table region; equal blobs keep their order."""
     rows = frame(spark, sf_dir, TABLE_ROWS)
@@ -238,8 +254,10 @@ def citation_entry(spark, sf_dir):
 def title_match(spark, sf_dir):
     """Every pair a < b of documents with the same first 60 characters, and whether it matches: a sample of ``title_links``, quadratic in such a group."""
     rows = frame(spark, sf_dir, "SELECT doc_id, text, left(text, 60) AS head FROM {documents}")
-    a, b = rows.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"), "head"), rows.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"), "head")
-    return a.join(b, "head").filter("a < b").select("a", "b", C.titles_match(F.col("ta"), F.col("tb")).alias("matches"))
+    several = rows.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head")
+    formed = rows.join(several, "head").select("doc_id", "head", C.title_form(F.col("text")).alias("form"))
+    a, b = formed.select(F.col("doc_id").alias("a"), F.col("form").alias("fa"), "head"), formed.select(F.col("doc_id").alias("b"), F.col("form").alias("fb"), "head")
+    return a.join(b, "head").filter("a < b").select("a", "b", C.forms_match(F.col("fa"), F.col("fb")).alias("matches"))
 
 
 def title_links(spark, sf_dir):
@@ -321,10 +339,19 @@ def output_parts(spark, sf_dir):
     return parts.select("doc_id", "part", digest(F.col("content")).alias("content_sha256"), F.length("content").alias("n_chars"))
 
 
+def output_files(spark, sf_dir):
+    """Names and contents of the files of documents: stems by a citation's key or the source's name, no full suffix, no split for it."""
+    rows = frame(spark, sf_dir, "SELECT doc_id, '# T' || chr(10) || text AS markdown, 'My paper, no ' || CAST(doc_id AS STRING) AS name FROM {documents}")
+    key = F.concat(F.lit("key"), F.col("doc_id").cast("string"))
+    entries = rows.select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("@misc{"), key, F.lit(",\n}"))).alias("bibtex"), (F.col("doc_id") % 3 == 1).alias("mock"))
+    made = transcribe.finalize(rows.withColumn("tables_refined", F.lit(0)), entries, config.resolve({"output": {"full_suffix": False, "split": False, "notice": False}}))
+    return made.select("doc_id", "part", "file", digest(F.col("content")).alias("content_sha256"), F.length("content").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         section_split, section_boundaries, layout_blocks, page_markdown, pixel_boxes, figure_inject, stitch, stitch_numbered, running_chrome, strip_chrome, clean_text, table_guard, table_blobs, table_splice, match_table_regions,
-        notice_flags, description_spacing, url_route, probe_parse, citation_entry, title_match, title_links, source_chain, memo_hits_misses, prompts, whole_texts, page_ranges, base_names, join_splits, transcribe_documents, output_parts,
+        notice_flags, description_spacing, url_route, probe_parse, citation_entry, title_match, title_links, source_chain, memo_hits_misses, prompts, whole_texts, page_ranges, base_names, join_splits, transcribe_documents, output_parts, output_files, settled_answers,
     )
 }
 
@@ -345,13 +372,19 @@ _HEAD = lambda p: r"(?im)^#+\s+" + p
 _AT = lambda p, c="content": f"CASE WHEN len(string_split_regex({c}, '{_HEAD(p)}')) > 1 THEN length(string_split_regex({c}, '{_HEAD(p)}')[1]) END"
 _MARKER = r"(?i)(?:^|\n)#{3,4}\s+Page\s+\d+\s*$"
 _SHIFT = lambda c, at: rf"(CASE WHEN regexp_matches(left({c}, CAST({at} AS BIGINT)), '(?im)^#{{3,4}}[ ]+Page[ ]+\d+\s*\z') THEN length(regexp_replace(left({c}, CAST({at} AS BIGINT)), '(?im)^#{{3,4}}[ ]+Page[ ]+\d+\s*\z', '')) ELSE {at} END)"
+# The headings in order of priority, written out here so that the SQL does not share the engine's lists.
+_SQL_BACK = (
+    r"(Acknowledgments?)\b", r"(Acknowledgements?)\b", r"Author\s+(Contributions)", r"Funding", r"Impact\s+(Statement)", r"Broader\s+(Impact)", r"Societal\s+(Impact)", r"Ethical\s+(Considerations)", r"(References|Bibliography)\b",
+    r"Works\s+Cited\b", r"Literature\s+Cited\b", r"Citations?\b", r"References\s+and\s+Notes\b", r"References\s+Cited\b", r"Cited\s+(Works|Literature)\b",
+)
+_SQL_APPENDIX = (r"(Appendix|Appendices)\b", r"(Supplementary|Supporting)\s+(Material|Materials|Information|Data)", r"Supplemental\s+", r"SI\s+", r"S\d+\.\s+")
 _BOUNDS = (
-    "WITH d AS (@DOCS@), o AS (SELECT *, list_min([" + ", ".join(_AT(p) for p in S.BACKMATTER) + "]) AS back, list_min([" + ", ".join(_AT(p) for p in S.APPENDIX) + "]) AS plain, "
-    + f"{_AT(S.GUARDED[0])} AS g1, {_AT(S.GUARDED[1])} AS g2 FROM d), "
+    "WITH d AS (@DOCS@), o AS (SELECT *, list_min([" + ", ".join(_AT(p) for p in _SQL_BACK) + "]) AS back, list_min([" + ", ".join(_AT(p) for p in _SQL_APPENDIX) + "]) AS plain, "
+    + _AT(r"A\s+") + " AS g1, " + _AT(r"A\.\s+") + " AS g2 FROM d), "
     + "q AS (SELECT *, list_min([plain, CASE WHEN g1 > back THEN g1 END, CASE WHEN g2 > back THEN g2 END]) AS app FROM o), "
     + f"s AS (SELECT *, {_SHIFT('content', 'back')} AS back2, {_SHIFT('content', 'app')} AS app2 FROM q), "
     + "t AS (SELECT *, left(content, CAST(app2 AS BIGINT)) AS ahead FROM s), "
-    + "v AS (SELECT doc_id, content, CASE WHEN back2 > app2 THEN coalesce(" + ", ".join(_AT(p, "ahead") for p in S.BACKMATTER) + ") ELSE back2 END AS backmatter_start, app2 AS appendix_start FROM t)"
+    + "v AS (SELECT doc_id, content, CASE WHEN back2 > app2 THEN coalesce(" + ", ".join(_AT(p, "ahead") for p in _SQL_BACK) + ") ELSE back2 END AS backmatter_start, app2 AS appendix_start FROM t)"
 )
 _CUT = lambda x: _strip(rf"regexp_replace({x}, '---\s*\z', '')")
 _PARTS = _BOUNDS + f""", w AS (SELECT *, coalesce(appendix_start, length(content)) AS c2, coalesce(backmatter_start, appendix_start, length(content)) AS c1 FROM v),
@@ -393,7 +426,29 @@ ORACLE_SQL: dict[str, str] = {
         "section_boundaries": _BOUNDS + "SELECT doc_id, CAST(backmatter_start AS INT) AS backmatter_start, CAST(appendix_start AS INT) AS appendix_start FROM v",
         "section_split": _PARTS + """SELECT doc_id, title, sha256(main) AS main_sha256, sha256(backmatter) AS backmatter_sha256, sha256(appendix) AS appendix_sha256,
             CAST(length(concat_ws(chr(10) || chr(10), nullif(main, ''), '# ' || title || ' - Appendix' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || nullif(appendix, ''), '# ' || title || ' - Backmatter' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || nullif(backmatter, ''))) AS INT) AS n_chars FROM x""",
-        "table_guard": _SANITIZED + "SELECT l_orderkey, l_linenumber, true AS refinable, sanitized, accepted FROM b",
+        "table_guard": _SANITIZED + "SELECT l_orderkey, l_linenumber, l_partkey % 4 = 0 AS refinable, sanitized, accepted FROM (SELECT b.*, p.l_partkey FROM b JOIN (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) p USING (l_orderkey, l_linenumber))",
+        "settled_answers": _SANITIZED + r""", u AS (SELECT l_orderkey, l_linenumber, 'table' AS way, CASE WHEN l_linenumber % 3 <> 0 THEN accepted END AS used FROM b
+            UNION ALL SELECT l_orderkey, l_linenumber, 'description', CASE WHEN l_linenumber % 3 = 0 THEN bare || ' [...]' ELSE bare END FROM b)
+            SELECT l_orderkey, l_linenumber, way, used, used AS memoised FROM u""",
+        "output_files": """WITH d AS (SELECT doc_id, '# T' || chr(10) || text AS md, CASE WHEN doc_id % 3 = 2 THEN 'key' || doc_id ELSE 'My_paper_no_' || doc_id END AS base FROM documents),
+            f AS (SELECT doc_id, 'full' AS part, base || '.md' AS file, md AS content FROM d UNION ALL SELECT doc_id, 'bib', base || '.bib', '@misc{key' || doc_id || ',' || chr(10) || '}' || chr(10) FROM d WHERE doc_id % 3 <> 0)
+            SELECT doc_id, part, file, sha256(content) AS content_sha256, CAST(length(content) AS INT) AS n_chars FROM f""",
+        "output_parts": _PARTS + r""", c AS (SELECT x.*, d.content || chr(10) AS md, CASE WHEN x.doc_id % 2 = 0 THEN '```' || chr(10) || '@misc{k,' || chr(10) || '}' || chr(10) || '```' || chr(10) || chr(10) || '---' || chr(10) || chr(10) ELSE '' END AS cited FROM x JOIN d USING (doc_id)),
+            p AS (SELECT doc_id, 'full' AS part, cited || md AS t FROM c UNION ALL SELECT doc_id, 'main', cited || main FROM c
+              UNION ALL SELECT doc_id, 'appendix', '# ' || title || ' - Appendix' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || appendix FROM c WHERE appendix <> ''
+              UNION ALL SELECT doc_id, 'backmatter', '# ' || title || ' - Backmatter' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || backmatter FROM c WHERE backmatter <> ''),
+            i AS (SELECT doc_id, part, t, contains(t, '$$') OR contains(t, chr(92) || '(') OR contains(t, chr(92) || '[') AS eq FROM p),
+            n AS (SELECT doc_id, part, regexp_replace(t, '\s+\z', '') || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '*Transcribed with OCR; text' || CASE WHEN eq THEN ' and equations' ELSE '' END || ' may contain mistakes.*' || chr(10) AS t FROM i)
+            SELECT doc_id, part, sha256(t) AS content_sha256, CAST(length(t) AS INT) AS n_chars FROM n""",
+        "source_chain": (f"""WITH c AS (@CITED@), k AS (SELECT *, {_KEY} AS cite_key, '2301.' || (doc_id + 10000) AS aid, CASE WHEN doc_id % 4 = 0 THEN 'arXiv.org' ELSE venue END AS paper_venue, doc_id % 2 = 0 AS known, doc_id % 5 <> 4 AS probed, doc_id % 3 <> 0 AS citable FROM c),
+            e AS (SELECT *, '  title={{' || {_ESCAPED('title')} || '}},' || chr(10) || '  author={{' || {_ESCAPED('author')} || '}},' || chr(10) || '  year={{' || year || '}},' || chr(10) AS body, '  eprint={{' || aid || '}},' || chr(10) || '  archivePrefix={{arXiv}},' || chr(10) AS eprint, '  url={{https://arxiv.org/abs/' || aid || '}}' || chr(10) || '}}' AS tail FROM k),
+            w AS (SELECT title AS query, '@article{{' || cite_key || ',' || chr(10) || body || '  journal={{' || {_ESCAPED('paper_venue')} || '}}' || chr(10) || '}}' AS entry FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY doc_id) AS nth FROM e WHERE doc_id % 10 = 1) WHERE nth = 1),
+            j AS (SELECT e.*, w.entry AS titled, CASE WHEN NOT (known OR probed AND citable) THEN CASE WHEN probed THEN 'not-citable' ELSE 'unknown' END WHEN known AND doc_id % 8 < 4 THEN 's2-arxiv-id' WHEN known AND doc_id % 8 = 4 THEN 'arxiv-export'
+                WHEN w.entry IS NOT NULL THEN 's2-title' WHEN probed AND doc_id % 7 <> 0 THEN 'best-effort' ELSE 'no usable metadata' END AS source
+              FROM e LEFT JOIN w ON w.query = CASE WHEN probed AND doc_id % 7 <> 0 THEN title ELSE 'Untitled_Paper' END)
+            SELECT doc_id, CASE source WHEN 's2-arxiv-id' THEN CASE WHEN paper_venue = 'arXiv.org' THEN '@misc{{' || cite_key || ',' || chr(10) || body || eprint || tail ELSE '@article{{' || cite_key || ',' || chr(10) || body || '  journal={{' || {_ESCAPED('paper_venue')} || '}}' || chr(10) || '}}' END
+                WHEN 'arxiv-export' THEN '@misc{{' || cite_key || ',' || chr(10) || body || eprint || '  primaryClass={{cs.CL}},' || chr(10) || tail WHEN 's2-title' THEN titled
+                WHEN 'best-effort' THEN '% NOTE: Best-effort entry generated from the document''s own front matter' || chr(10) || '% (no citation database was consulted). Verify before use.' || chr(10) || '%' || chr(10) || '@misc{{' || cite_key || ',' || chr(10) || body || '  note={{' || {_ESCAPED('venue')} || '}}' || chr(10) || '}}' END AS bibtex, source FROM j""").replace("{{", "{").replace("}}", "}"),
         "table_blobs": """WITH t AS (@TABLE_ROWS@), n AS (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 1 END AS c FROM t), u AS (SELECT *, unnest(range(1, c + 1)) AS k FROM n)
             SELECT l_orderkey, l_linenumber, CAST(k AS INT) AS blob_idx, CAST(c AS INT) AS blobs_on_page, CAST(7 + (k - 1) * (length(blob) + 9) AS BIGINT) AS start, CAST(7 + (k - 1) * (length(blob) + 9) + length(blob) AS BIGINT) AS "end", true AS refinable,
             CASE WHEN c = 1 THEN 'This page contains a single table; reconstruct it.' ELSE 'This page contains 2 tables; reconstruct the ' || CASE k WHEN 1 THEN '1st' ELSE '2nd' END || ' table (the one whose values match the OCR text below).' END AS locator FROM u""",
