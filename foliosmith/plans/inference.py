@@ -11,6 +11,7 @@ import hashlib
 import json
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
+from functools import partial
 from typing import Any
 
 import pandas as pd
@@ -78,10 +79,15 @@ def known_backends() -> list[str]:
     return sorted(_BACKENDS)
 
 
-def get_backend(name: str, **options: str) -> Backend:
+def maker(name: str, **options: str) -> Callable[[], Backend]:
+    """What makes a backend; looked up here, so that it goes to workers that know of no registration."""
     if name not in _BACKENDS:
         raise ValueError(f"unknown backend {name!r}; known: {', '.join(known_backends())}")
-    return _BACKENDS[name](**options)
+    return partial(_BACKENDS[name], **options)
+
+
+def get_backend(name: str, **options: str) -> Backend:
+    return maker(name, **options)()
 
 
 def infer(misses: DataFrame, make: Callable[[], Backend], key: str = "key", prompt: str = "prompt", image: str = "image") -> DataFrame:

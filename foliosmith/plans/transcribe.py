@@ -23,17 +23,22 @@ CROPPED = "The image shows just this table, cut out of its page; its edges may s
 PROBE_PROMPT = 'Can this document be cited as a published work? Answer with one JSON object: {"citable": true or false, "title": text or null, "authors": [text], "year": text or null, "venue": text or null}.\n\nIts first page:\n{front}'
 
 
+def _maker(config: RunConfig, step: str):
+    own = config.ocr if step == "ocr" else config.vlm
+    return inference.maker(own.backend, model=own.model, projector=own.mmproj, endpoint=own.endpoint)
+
+
 def ocr_backend(config: RunConfig) -> inference.Backend:
-    return inference.get_backend(config.ocr.backend, model=config.ocr.model, projector=config.ocr.mmproj, endpoint=config.ocr.endpoint)
+    return _maker(config, "ocr")()
 
 
 def vlm_backend(config: RunConfig) -> inference.Backend:
-    return inference.get_backend(config.vlm.backend, model=config.vlm.model, projector=config.vlm.mmproj, endpoint=config.vlm.endpoint)
+    return _maker(config, "vlm")()
 
 
 def _asked(items: DataFrame, memo: DataFrame, config: RunConfig, step: str, settle=None) -> tuple[DataFrame, DataFrame]:
-    make = ocr_backend if step == "ocr" else vlm_backend
-    return memo_op.memoised(items, memo, lambda misses: inference.infer(misses, lambda: make(config)), memo_op.SCHEMA[step], refresh=config.cache.refresh, enabled=config.cache.enabled, settle=settle)
+    make = _maker(config, step)
+    return memo_op.memoised(items, memo, lambda misses: inference.infer(misses, make), memo_op.SCHEMA[step], refresh=config.cache.refresh, enabled=config.cache.enabled, settle=settle)
 
 
 def in_range(pages: DataFrame, config: RunConfig) -> DataFrame:
