@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .components import connected_components
-from .storage import small_or_not, written
+from .storage import frugal, small_or_not, written
 
 
 class CapFilters:
@@ -139,7 +139,7 @@ def decoded(rows: DataFrame, code: int, parts: int, fewest: int, **filters) -> D
                     ends = np.searchsorted(rows, np.arange(part.num_rows + 1))
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.int32()))], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def cell_links(classes: DataFrame, least: float = 0.93, cell: int | None = None, parts: int = 4, fewest: int = 24, **filters) -> DataFrame:
@@ -184,7 +184,7 @@ def cell_links(classes: DataFrame, least: float = 0.93, cell: int | None = None,
         if held:
             yield _verified(pa.Table.from_batches(held), least)
 
-    return shown.mapInArrow(verify, "a long, b long, links long")
+    return shown.mapInArrow(frugal(verify), "a long, b long, links long")
 
 
 def _close(vec: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:

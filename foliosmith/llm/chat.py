@@ -21,6 +21,8 @@ from math import ceil
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .storage import frugal
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 _INNER = r"\|im_start\|>|\|im_end\|>|\|(?:image|audio|document|attachment)_\d+\|>|/?s>|</?SYS>>|/SYS>>|<SYS>>"
 _CONTROL = re.compile(r"<(\\*)(" + _INNER + r")|\[(\\*)(/?INST\])")
@@ -116,7 +118,7 @@ def format_chats(turns: DataFrame, parts: Column, conv_col: str = "conv_id", tur
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(roles), pa.array([d[0] for d in done], pa.string()), pa.array(loss, pa.bool_()), pa.array([d[1] for d in done], kind)], names=["conv_id", "turn", "role", "body", "loss", "attachments"])
 
     id_type = rows.schema["conv_id"].dataType.simpleString()
-    flat = rows.mapInArrow(run, f"conv_id {id_type}, turn long, role string, body string, loss boolean, attachments array<struct<index:bigint,kind:string,ref:string,tokens:bigint>>")
+    flat = rows.mapInArrow(frugal(run), f"conv_id {id_type}, turn long, role string, body string, loss boolean, attachments array<struct<index:bigint,kind:string,ref:string,tokens:bigint>>")
     turn_key = F.struct(F.coalesce(F.col("turn"), F.lit(-(2**63)).cast("bigint")).alias("turn"), F.col("role"), F.col("body"), F.col("loss"), F.col("attachments"))
     whole = flat.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn_key)).alias("turns"))
     marked = F.transform("turns", lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"), t["body"], F.lit(CLOSE)))

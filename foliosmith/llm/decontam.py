@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .storage import written
+from .storage import frugal, written
 
 RATE, EXACT_BELOW, BLOCK_CHARS = 0.08, 24, 2_000_000
 
@@ -177,7 +177,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, exac
                 columns = list(zip(*rows)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), *[pa.array(c, pa.int64()) for c in columns]], names=schema.names)
 
-        return shown.mapInArrow(run, schema)
+        return shown.mapInArrow(frugal(run), schema)
 
     out = None
     for items in blocks(benchmark, item_id, item_text, block_chars):
@@ -199,7 +199,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, exact_below
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.search(text.as_py()) for text in batch.column(at)], pa.bool_()))
 
-        return rows.mapInArrow(run, rows.schema)
+        return rows.mapInArrow(frugal(run), rows.schema)
 
     out = docs
     for k, items in enumerate(blocks(benchmark, item_id, item_text, block_chars)):

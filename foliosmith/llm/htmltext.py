@@ -33,6 +33,8 @@ from math import e, log
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .storage import frugal
+
 # Element names of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
@@ -315,4 +317,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
                 texts = [main_text(x.as_py()) for x in part.column(len(wanted))]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(wanted)], pa.array(texts, pa.string())], names=[*wanted, "text"])
 
-    return shown.mapInArrow(run, schema)
+    return shown.mapInArrow(frugal(run), schema)

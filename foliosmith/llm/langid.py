@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .storage import frugal
 from .words import text_bytes
 
 UND = "und"
@@ -238,4 +239,4 @@ def predict(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col:
                 langs, score = predict_column(model, part.column(place), tables)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(wanted)], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    return shown.mapInArrow(run, schema)
+    return shown.mapInArrow(frugal(run), schema)

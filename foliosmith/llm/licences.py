@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .storage import frugal
 from .words import Chunk, gram_hashes, word_hashes, word_chunks
 
 UNIT, RUN, COVER, BITS = 24, 4, 0.6, 16
@@ -338,4 +339,4 @@ def scan(docs: DataFrame, model: LicenceModel, least: float = 0.6, id_col: str =
                 kinds = [pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=schema.names)
 
-    return shown.mapInArrow(run, schema)
+    return shown.mapInArrow(frugal(run), schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components, near_roots
-from .storage import small_or_not, written
+from .storage import frugal, small_or_not, written
 from .words import gram_hashes, word_chunks, word_hashes
 
 ELL = 3
@@ -77,7 +77,7 @@ def hot_shingles(docs: DataFrame, n: int, percent: int, hot: int, most_hot: int,
         if size:
             yield out()
 
-    counts = docs.select(F.col(text_col)).mapInArrow(run, "shingle long, texts long").groupBy("shingle").agg(F.sum("texts").alias("texts")).filter(F.col("texts") >= hot)
+    counts = docs.select(F.col(text_col)).mapInArrow(frugal(run), "shingle long, texts long").groupBy("shingle").agg(F.sum("texts").alias("texts")).filter(F.col("texts") >= hot)
     counts = written(counts, "hot")
     least = hot
     while counts.filter(F.col("texts") >= least).count() > most_hot:
@@ -107,7 +107,7 @@ def described(docs: DataFrame, n: int, percent: int, hot: np.ndarray, id_col: st
                     marks.append(hashlib.blake2b(prefixes[-1].tobytes(), digest_size=16).digest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(marks, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "size", "digest", "mark", "prefix"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, size long, digest binary, mark binary, prefix array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(frugal(run), "doc_id long, size long, digest binary, mark binary, prefix array<long>")
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -129,7 +129,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: s
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), n)], pa.binary())], names=["class_id", "shingles"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("class_id"), F.col(text_col).alias("__text")).join(small_or_not(wanted), "class_id", "left_semi")
-    return rows.select("class_id", "__text").mapInArrow(run, "class_id long, shingles binary")
+    return rows.select("class_id", "__text").mapInArrow(frugal(run), "class_id long, shingles binary")
 
 
 def shingle_lists(postings: DataFrame, longest: int) -> DataFrame:
@@ -182,7 +182,7 @@ def shingle_lists(postings: DataFrame, longest: int) -> DataFrame:
             yield out(held, False)
 
     count = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return postings.select(*names[:3]).repartition(count, "shingle").sortWithinPartitions("shingle").mapInArrow(run, "shingle long, group_id long, info long, long boolean")
+    return postings.select(*names[:3]).repartition(count, "shingle").sortWithinPartitions("shingle").mapInArrow(frugal(run), "shingle long, group_id long, info long, long boolean")
 
 
 def group_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -333,7 +333,7 @@ def block_links(lists: DataFrame, roots: DataFrame, sets: DataFrame, percent: in
     dealt = rows.select("class_id", "joined", F.explode(F.when(F.col("joined"), with_bulk).otherwise(F.concat(with_bulk, among))).alias("cell"))
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shown = dealt.join(sets, "class_id").repartition(count, "cell").sortWithinPartitions("cell", "class_id").select("cell", "class_id", "joined", "shingles")
-    return shown.mapInArrow(_verify_blocks(percent), "a long, b long")
+    return shown.mapInArrow(frugal(_verify_blocks(percent)), "a long, b long")
 
 
 def _with_sets(some: DataFrame, sets: DataFrame) -> DataFrame:
@@ -369,7 +369,7 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int, longest: int,
     star = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(long_lists.join(centres, "shingle").filter("a < class_id").select("a", F.col("class_id").alias("b")).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).unionByName(long_lists.select("class_id")).distinct()
     sets = written(sets_of(docs, written(wanted, "wanted"), n, id_col, text_col), "sets")
-    verified = lambda some: _with_sets(written(some, "star"), sets).mapInArrow(_verify_pairs(percent), "a long, b long")
+    verified = lambda some: _with_sets(written(some, "star"), sets).mapInArrow(frugal(_verify_pairs(percent)), "a long, b long")
     near = written(verified(star), "near")
     roots = near_roots(near)
     root = lambda s: roots.select(F.col("id").alias(s), F.col("root").alias(f"root_{s}"))

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .storage import frugal
+
 #: Bytes that an entry of a cache takes besides its contents.
 ENTRY = 180
 _SIMPLE = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+\Z")
@@ -45,7 +47,7 @@ class WordTokenizer:
     Chunks of plain Latin letters, digits and signs go straight to the vocabulary's merges; all others to the full tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 96_000_000, longest: int = 64, stretch: int = 100_000):
+    def __init__(self, path: str, limit: int = 64_000_000, longest: int = 64, stretch: int = 100_000):
         """``limit``: bytes that the caches may hold, about; ``longest``: bytes of a chunk or word that is kept; ``stretch``: chunks looked up at once."""
         from tokenizers import Tokenizer
 
@@ -260,4 +262,4 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, size: int = 4096, ma
             rows += packer.finish()
             yield table()
 
-    return shown.mapInArrow(run, schema)
+    return shown.mapInArrow(frugal(run), schema)

@@ -11,13 +11,12 @@ extra columns stay (one with the name of the output is replaced).  Spans of diff
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import let
+from ..functions.text import walk
 
 # Characters of an account number by country, from the public IBAN registry.
 IBAN_LENGTHS = {
@@ -58,28 +57,9 @@ CONTEXT = {
 AGAINST = r"(?i)\b(?:version|release|example|order|invoice|isbn|serial)\b"
 AROUND = 40
 
-BLOCK = 512
 _SPAN = "struct<start:bigint,end:bigint,text:string>"
 
 
-def walked(items: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
-    """All outputs, in order, of a walk over items that carries a position: ``step(at, item)`` is (at, out), out being an array of ``kind``.
-
-    The walk goes block by block, so that no long array is copied at each item.
-    """
-    start = F.lit(0).cast("bigint").alias("at")
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int") + F.when(F.size(items) == 0, 1).otherwise(0)), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
-
-    def one(acc: Column, item: Column) -> Column:
-        return let(step(acc["at"], item), lambda done: F.struct(done["at"].alias("at"), F.concat(acc["out"], done["out"]).alias("out")))
-
-    def block(acc: Column, part: Column) -> Column:
-        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("out")), one)
-        return let(inner, lambda done: F.struct(done["at"].alias("at"), F.array_append(acc["out"], done["out"]).alias("out")))
-
-    return F.aggregate(blocks, F.struct(start, F.array().cast(f"array<array<{kind}>>").alias("out")), block, lambda acc: F.flatten(acc["out"]))
-
-
 def spans_of(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as (start, end, text), in code points."""
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.split(text, pattern, -1).alias("gap"))
@@ -87,9 +67,9 @@ def spans_of(text: Column, pattern: str) -> Column:
     def step(at: Column, pair: Column) -> Column:
         start = at + F.length(pair["gap"])
         end = start + F.length(pair["hit"])
-        return F.struct(end.alias("at"), F.array(F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("text"))).alias("out"))
+        return F.struct(end.alias("state"), F.array(F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("text"))).alias("out"))
 
-    return walked(F.filter(pairs, lambda pair: pair["hit"].isNotNull()), step, _SPAN)
+    return walk(F.filter(pairs, lambda pair: pair["hit"].isNotNull()), F.lit(0).cast("bigint"), step, _SPAN)["out"]
 
 
 def _digits(text: Column) -> Column:
@@ -158,8 +138,8 @@ def redact(docs: DataFrame, text_col: str = "text", pii_col: str = "pii", least_
     def step(at: Column, s: Column) -> Column:
         kept = F.substring(text, (at + 1).cast("int"), (s["start"] - at).cast("int"))
         tag = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(at, s["end"]).alias("at"), F.when(s["start"] >= at, F.array(kept, tag)).otherwise(F.array().cast("array<string>")).alias("out"))
+        return F.struct(F.greatest(at, s["end"]).alias("state"), F.when(s["start"] >= at, F.array(kept, tag)).otherwise(F.array().cast("array<string>")).alias("out"))
 
     last = F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0).cast("bigint"))
-    clean = F.concat(F.array_join(walked(spans, step, "string"), ""), F.substring(text, (last + 1).cast("int"), F.length(text)))
+    clean = F.concat(F.array_join(walk(spans, F.lit(0).cast("bigint"), step, "string")["out"], ""), F.substring(text, (last + 1).cast("int"), F.length(text)))
     return docs.withColumn(text_col, F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(clean))

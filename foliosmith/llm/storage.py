@@ -1,31 +1,14 @@
-"""The shared folder for checkpoints: the one the cluster names, or a new one of this process where none is named and Spark runs in this process alone."""
+"""Durable tables, checked broadcasts, and Python workers that give back what they no longer need."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Where checkpoints go; sets a temporary folder only where nothing is set and the master is local, as in tests."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if named is None and context._jsc.sc().getCheckpointDir().isEmpty():
-        if not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return named or context._jsc.sc().getCheckpointDir().get()
-
-
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet in the shared folder and read again: cuts lineage, and survives lost executors."""
-    spark = frame.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
+from ..sources.durable import checkpoint_dir, durable as written  # noqa: F401
 
 #: Rows of a table of ids that may be broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -34,3 +17,23 @@ BROADCAST_ROWS = 1_000_000
 def small_or_not(frame: DataFrame) -> DataFrame:
     """Marked for broadcast if it is small: at most ``BROADCAST_ROWS`` rows, counted; a plain join otherwise."""
     return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after which the worker, which lives on for other tasks, returns free memory to the system."""
+
+    def trimmed(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return trimmed

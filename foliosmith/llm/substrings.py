@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .fmindex import FMIndex
 from .ngramjoin import shingle_lists
-from .storage import small_or_not, written
+from .storage import frugal, small_or_not, written
 from .words import _power, gram_hashes, gram_valid, mix, word_chunks, word_hashes
 
 GRAM, SHARD, LONGEST, MOST_RUN = 6, 150_000, 1_000, 1_000
@@ -110,7 +110,7 @@ def runs_of(docs: DataFrame, length: int) -> DataFrame:
             gone[live] = _later_copies(hashes[live], ids[live], starts[live])
             yield pa.RecordBatch.from_arrays([pa.array(gone), pa.array(least), pa.array(ids), pa.array(starts.astype(np.int32)), pa.array(sizes.astype(np.int32))], names=["gone", "minimizer", "doc_id", "start", "windows"])
 
-    return docs.filter("doc_id is not null").mapInArrow(run, "gone boolean, minimizer long, doc_id long, start int, windows int")
+    return docs.filter("doc_id is not null").mapInArrow(frugal(run), "gone boolean, minimizer long, doc_id long, start int, windows int")
 
 
 def hot_minimizers(runs: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def hot_minimizers(runs: DataFrame) -> DataFrame:
         if size:
             yield out()
 
-    return runs.filter("not gone").select("minimizer").mapInArrow(run, "minimizer long").distinct()
+    return runs.filter("not gone").select("minimizer").mapInArrow(frugal(run), "minimizer long").distinct()
 
 
 def _segments(length: int):
@@ -237,8 +237,8 @@ def repeated_windows(docs: DataFrame, length: int = 20, shard: int = SHARD) -> D
     hot = small_or_not(written(hot_minimizers(runs), "hot").withColumnRenamed("minimizer", "shingle"))
     met = written(shingle_lists(live.join(hot, "shingle", "left_anti"), LONGEST).unionByName(live.join(hot, "shingle", "left_semi").withColumn("long", F.lit(True))), "met")
     by_doc = met.groupBy(F.col("group_id").alias("doc_id")).agg(F.collect_list(F.struct("info", "shingle", "long")).alias("runs"))
-    segments = docs.join(by_doc, "doc_id").select("doc_id", "text", "runs").mapInArrow(_segments(length), "key long, hash long, doc_id long, start int, windows int, codes binary")
-    found = segments.repartition(count, "key").sortWithinPartitions("key", "hash", "doc_id", "start").mapInArrow(_shards(length, shard), "doc_id long, start long, windows long")
+    segments = docs.join(by_doc, "doc_id").select("doc_id", "text", "runs").mapInArrow(frugal(_segments(length)), "key long, hash long, doc_id long, start int, windows int, codes binary")
+    found = segments.repartition(count, "key").sortWithinPartitions("key", "hash", "doc_id", "start").mapInArrow(frugal(_shards(length, shard)), "doc_id long, start long, windows long")
     return found.unionByName(runs.filter("gone").select("doc_id", F.col("start").cast("long").alias("start"), F.col("windows").cast("long").alias("windows")))
 
 
@@ -269,4 +269,4 @@ def deduplicate(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_
                     kept.append(b" ".join([w for a, b in zip(edges[::2], edges[1::2]) for w in found[a:b]]).decode())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "removed", "kept"])
 
-    return rows.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept string")
+    return rows.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(frugal(run), "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept string")
