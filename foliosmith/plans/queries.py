@@ -407,6 +407,34 @@ _NOTE = "chr(10) || chr(10) || '---' || chr(10) || chr(10) || '*Transcribed with
 _FIGURE_BLOCK = """'![' || replace(replace(coalesce(text, 'fig_p' || page_number || '_' || figure), '[', chr(92) || '['), ']', chr(92) || ']') || '](figures/fig_p' || page_number || '_' || figure || '.png)' || chr(10) || chr(10)
  || CASE WHEN doc_id % 9 <> 0 THEN '> **Image description.** Line one of fig_p' || page_number || '_' || figure || chr(10) || '>' || chr(10) || '>  line two' ELSE '> **Image description.** [figure description unavailable]' END || chr(10)"""
 
+_CANDIDATE = lambda x: f"""CASE WHEN contains({x}, '⟦FIG:') OR regexp_matches({_strip(x)}, '^(\\||> |!\\[|Figure |(?i:<center>figure ))') OR length({_strip(x)}) > 80 THEN NULL ELSE nullif(regexp_replace({_strip(x)}, '\\d+', '#', 'g'), '') END"""
+#: A whole run in SQL: pages of four rows a document, the stub's descriptions, chrome, stitching, joined words, blocks for tokens.
+_RUN = (
+    _BLOCKS.replace("@RAW@", RAW.replace("doc_id % 7 + 1 AS page_number", "doc_id % 4 + 1 AS page_number"))
+    + rf""", m AS (SELECT doc_id, string_agg({_KEEP}, chr(10) || chr(10) ORDER BY i) AS md FROM z GROUP BY doc_id),
+pg AS (SELECT d.doc_id // 4 AS doc, d.doc_id, d.page_number, sha256(raw) AS raster, CASE WHEN m.doc_id IS NULL THEN {_strip('raw')} ELSE coalesce(md, '') END AS md FROM d LEFT JOIN m USING (doc_id)),
+fg AS (SELECT pg.doc, z.page_number, z.figure, pg.raster, {_strip("regexp_replace(pg.md, '⟦FIG:[^⟧]+⟧', '', 'g')")} AS plain, """
+    + ", ".join(f"{_PAD(v, side, sign).replace('0.01', '0.02')} AS {name}" for v, side, sign, name in (("z.x1", "z.width_px", "-", "pa"), ("z.y1", "z.height_px", "-", "pb"), ("z.x2", "z.width_px", "+", "pc"), ("z.y2", "z.height_px", "+", "pd")))
+    + r""" FROM z JOIN pg USING (doc_id) WHERE fig),
+fx AS (SELECT *, 'Describe what this image shows: its kind, its parts, and every text in it.' || chr(10) || chr(10) || 'The text around it, for names and terms only:' || chr(10) || 'This image appears on page ' || page_number || '. The surrounding page content follows.' || chr(10) || chr(10)
+  || CASE WHEN length(plain) > 2000 THEN left(plain, 1997) || '...' ELSE plain END || chr(10) || 'Put the description inside <img_desc> and </img_desc>.' AS prompt FROM fg),
+bl AS (SELECT doc, 'fig_p' || page_number || '_' || figure AS fid, '> **Image description.** ' || CASE WHEN pc - pa >= 2 AND pd - pb >= 2
+  THEN 'Stub description ' || left(sha256(raster || '#' || pa || ',' || pb || ',' || pc || ',' || pd || chr(10) || prompt), 12) || '.' ELSE '[figure description unavailable]' END AS block FROM fx),
+"""
+    + rf"""ln AS (SELECT *, string_split(md, chr(10)) AS ls FROM pg), sp AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: trim(ls[i]) <> '') AS spots FROM ln),
+ed AS (SELECT *, coalesce(ls[spots[1]], '') AS t, coalesce(ls[spots[len(spots)]], '') AS bt, count(*) OVER (PARTITION BY doc) AS n FROM sp), k AS (SELECT *, {_CANDIDATE('t')} AS tn, {_CANDIDATE('bt')} AS bn FROM ed),
+h AS (SELECT doc, 'top' AS place, tn AS line, count(*) AS pages, max(n) AS n FROM k WHERE tn IS NOT NULL GROUP BY 1, 3 UNION ALL SELECT doc, 'bottom', bn, count(*), max(n) FROM k WHERE bn IS NOT NULL GROUP BY 1, 3),
+ch AS (SELECT * FROM h WHERE n >= 3 AND pages >= greatest(2, ceil(round(n * 0.6, 9)))),
+y AS (SELECT k.*, EXISTS (SELECT 1 FROM ch WHERE ch.doc = k.doc) AS any_chrome, EXISTS (SELECT 1 FROM ch WHERE ch.doc = k.doc AND place = 'top' AND line = tn) AS cut_top, EXISTS (SELECT 1 FROM ch WHERE ch.doc = k.doc AND place = 'bottom' AND line = bn) AS cut_bottom FROM k),
+cl AS (SELECT doc, page_number, CASE WHEN any_chrome THEN array_to_string(list_filter(ls, lambda x, j: NOT (cut_top AND j = spots[1]) AND NOT (cut_bottom AND j = spots[len(spots)])), chr(10)) ELSE md END AS md FROM y),
+st AS (SELECT doc, string_agg(regexp_replace(regexp_replace(md, '\n{{3,}}', chr(10) || chr(10), 'g'), '\A\n+|\n+\z', '', 'g'), chr(10) || chr(10) ORDER BY page_number) AS md FROM cl GROUP BY doc),
+dh AS (SELECT doc, regexp_replace(md, '([\p{{L}}\p{{M}}\p{{N}}_])-\n\s*([\p{{L}}\p{{M}}\p{{N}}_])', '\1\2', 'g') AS md FROM st),
+gp AS (SELECT doc, string_split_regex(md, '⟦FIG:[^⟧]+⟧') AS gaps, regexp_extract_all(md, '⟦FIG:([^⟧]+)⟧', 1) AS ids FROM dh), pc AS (SELECT doc, gaps, ids, unnest(range(1, len(gaps) + 1)) AS k FROM gp),
+ot AS (SELECT pc.doc, string_agg(gaps[k] || CASE WHEN k > len(ids) THEN '' ELSE coalesce(block, '> **Image description.** [figure description unavailable]') END, '' ORDER BY k) AS md FROM pc LEFT JOIN bl ON bl.doc = pc.doc AND bl.fid = ids[k] GROUP BY pc.doc),
+fn AS (SELECT doc, {_strip(r"regexp_replace(md, '\n{3,}', chr(10) || chr(10), 'g')")} || chr(10) AS md FROM ot)
+SELECT CAST(doc AS VARCHAR) AS doc_id, sha256(md) AS markdown_sha256, CAST(length(md) AS INT) AS n_chars FROM fn"""
+)
+
 ORACLE_SQL: dict[str, str] = {
     name: _oracle(sql, RAW=RAW, PAGES=PAGES, DOCS=DOCS, TABLE_ROWS=TABLE_ROWS, URLS=URLS, ANSWERS=ANSWERS, CITED=CITED, WHOLE=WHOLE)
     for name, sql in {
@@ -430,6 +458,7 @@ ORACLE_SQL: dict[str, str] = {
         "settled_answers": _SANITIZED + r""", u AS (SELECT l_orderkey, l_linenumber, 'table' AS way, CASE WHEN l_linenumber % 3 <> 0 THEN accepted END AS used FROM b
             UNION ALL SELECT l_orderkey, l_linenumber, 'description', CASE WHEN l_linenumber % 3 = 0 THEN bare || ' [...]' ELSE bare END FROM b)
             SELECT l_orderkey, l_linenumber, way, used, used AS memoised FROM u""",
+        "transcribe_documents": _RUN,
         "output_files": """WITH d AS (SELECT doc_id, '# T' || chr(10) || text AS md, CASE WHEN doc_id % 3 = 2 THEN 'key' || doc_id ELSE 'My_paper_no_' || doc_id END AS base FROM documents),
             f AS (SELECT doc_id, 'full' AS part, base || '.md' AS file, md AS content FROM d UNION ALL SELECT doc_id, 'bib', base || '.bib', '@misc{key' || doc_id || ',' || chr(10) || '}' || chr(10) FROM d WHERE doc_id % 3 <> 0)
             SELECT doc_id, part, file, sha256(content) AS content_sha256, CAST(length(content) AS INT) AS n_chars FROM f""",
