@@ -26,10 +26,19 @@ def least_score(n_langs: int) -> float:
     return 1 / n_langs + (1 - 1 / n_langs) * LEAST_GAIN if n_langs > 1 else 0.0
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, F.lit(True))
-    seen = langid.predict(docs, model, keep=docs.columns, names=("__lang", "__sure"))
-    return seen.filter((F.col("__lang") != langid.UND) & (F.col("__sure") >= least_score(len(model.langs)))).select(*docs.columns)
+    lang, sure = unused(docs, "__lang"), unused(docs, "__sure")
+    seen = langid.predict(docs, model, keep=docs.columns, names=(lang, sure))
+    return seen.filter((F.col(lang) != langid.UND) & (F.col(sure) >= least_score(len(model.langs)))).select(*docs.columns)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +50,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = pii.redact(pii.find_pii(docs, out_col="__pii"), pii_col="__pii")
+    found = unused(docs, "__pii")
+    clean = pii.redact(pii.find_pii(docs, out_col=found), pii_col=found)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean.select(*docs.columns)
