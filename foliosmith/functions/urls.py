@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from .text import let, strip
 
+# Fixed value: how an identifier stands in a path.
 IDENTIFIER = r"/(?:abs|pdf|html)/([\w.-]+/?\d+|\d+\.\d+)"
 
 

@@ -16,6 +16,17 @@ def parse_pages(pages: DataFrame, raw: str = "raw", page: str = "page_number") -
     return parsed.withColumn("regions", L.regions(F.col("blocks"))).withColumn("markdown", L.page_markdown(F.col(raw), F.col("blocks"), F.col(page)))
 
 
+def zipped(pages: DataFrame, results: DataFrame, *keys: str) -> DataFrame:
+    """Each page with its one result.  A page without one, a result without a page, or several of either are an error that names one of them."""
+    count = lambda rows, name: rows.groupBy(*keys).agg(F.count("*").alias(name))
+    both = count(pages, "__pages").join(count(results, "__results"), list(keys), "full")
+    wrong = both.filter((F.coalesce("__pages", F.lit(0)) != 1) | (F.coalesce("__results", F.lit(0)) != 1)).orderBy(*keys).limit(1).collect()
+    if wrong:
+        row = wrong[0].asDict()
+        raise ValueError(f"{', '.join(f'{k} {row[k]}' for k in keys)}: {row['__pages'] or 0} pages and {row['__results'] or 0} results")
+    return pages.join(results, list(keys))
+
+
 def layout_blocks(parsed: DataFrame, *keys: str) -> DataFrame:
     """(keys, block_idx, label, bbox, text, figure): one row a region, in page order from 0."""
     return parsed.select(*keys, F.posexplode("regions").alias("block_idx", "r")).select(*keys, "block_idx", "r.label", "r.bbox", "r.text", "r.figure")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import foliosmith.__main__ as command
-from foliosmith.operators import cite, memo, parts
+from foliosmith.operators import cite, memo, pages, parts
 from foliosmith.plans import config, inference, transcribe
 from foliosmith.sources import files
 
@@ -152,7 +152,7 @@ def test_a_run_to_files(spark, tmp_path, monkeypatch):
     for doc, base in want.items():
         assert [rows[doc, part]["file"] for part in ("full", "main", "backmatter", "bib")] == [f"{base}_full.md", f"{base}_main.md", f"{base}_backmatter.md", f"{base}.bib"]
         text = rows[doc, "full"]["content"]
-        assert text.startswith("```\n@") and PIPE in text and "> **Image description.** A bird." in text and "OCR and VLMs; text, tables, and figure descriptions" in text
+        assert text.startswith("```\n") and PIPE in text and "> **Image description.** A bird." in text and "OCR and VLMs; text, tables, and figure descriptions" in text
     root = tmp_path / "out"
     told = files.write_texts(made, str(root))
     assert told.count() == len(rows) and sorted(p.name for p in root.iterdir()) == sorted(r["file"] for r in rows.values())
@@ -200,6 +200,14 @@ def test_parts_need_one_main(spark):
             files.one_main_each(spark.createDataFrame(rows, schema))
 
 
+def test_pages_and_results_meet_one_to_one(spark):
+    left, right = (spark.createDataFrame([(1, n), (2, n)], f"page int, {n} string") for n in "ab")
+    assert pages.zipped(left, right, "page").count() == 2
+    for wrong in (right.filter("page = 1"), right.unionAll(right.filter("page = 2")), right.unionAll(right.selectExpr("page + 5", "b"))):
+        with pytest.raises(ValueError, match="page [26]: "):
+            pages.zipped(left, wrong, "page")
+
+
 def test_downloads_and_page_images(spark):
     inputs = spark.createDataFrame([("https://arxiv.org/abs/1907.00042",), ("https://arxiv.org/abs/1907.00043",), ("local.pdf",)], "value string")
 
