@@ -6,8 +6,8 @@ number of tokens it expands to.  Turns are written as ``<|im_start|>role\\ntext<
 inside a text gets one backslash after its first character (one more if it has some already), which ``unescape`` takes away again, so
 parsing gives back every role and text.  The loss mask is the list of code point spans of the assistants' texts.
 
-Defined results: a null text or part list counts as empty, a null role as the empty role; turns go by (turn, role, text), a null turn first,
-repeated rows are kept; rows with a null conversation id form one conversation; an empty input gives an empty output; extra columns are ignored.
+Defined results: a null text or part list counts as empty, a null role as the empty role; turns go by (turn, role, text), roles and texts as they are written
+(with their escapes), a null turn first, repeated rows are kept; rows with a null conversation id form one conversation; an empty input gives an empty output; extra columns are ignored.
 A conversation becomes one row, so one row is as large as one conversation.
 """
 

@@ -185,9 +185,9 @@ ORACLE_SQL: dict[str, str] = {
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}'))
         SELECT conv_id, count(*) AS n_turns,
-            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, {_ESCAPE.format('text')})) AS turns_sha256,
             CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-            sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+            sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, {_ESCAPE.format('text')})) AS loss_sha256,
             CAST(sum(length('<|im_start|>') + length(role) + 1 + length({_ESCAPE.format('text')}) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
         FROM turns GROUP BY conv_id""",
 }
