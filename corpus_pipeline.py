@@ -6,6 +6,7 @@
 4. pii: replaces personal data by the name of its kind.
 5. packing: packs token ids into sequences.
 
+Stages that send whole texts to Python take small Arrow batches, so that executors' memory is bounded by their heap and little more.
 All stages but the last return the columns they are given.  Null texts go at the first stage (they have no language); empty tables pass through.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliosmith.llm import decontam, langid, ngramjoin, packing, pii
 from foliosmith.llm.queries import public_vocabulary, table
-from foliosmith.llm.storage import written
+from foliosmith.llm.storage import rows_a_batch, written
 
 #: A language is rejected below this part of the way from chance to certainty: 0.3 with four languages, 0.53 with two.
 LEAST_GAIN = 1 / 15
@@ -35,6 +36,7 @@ def unused(docs: DataFrame, name: str) -> str:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows_a_batch(spark, whole_texts=True)
     model = langid.fit(docs, F.lit(True))
     lang, sure = unused(docs, "__lang"), unused(docs, "__sure")
     seen = langid.predict(docs, model, keep=docs.columns, names=(lang, sure))
@@ -42,10 +44,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows_a_batch(spark, whole_texts=False)
     return ngramjoin.keep_one(docs, n=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows_a_batch(spark, whole_texts=True)
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -58,6 +62,7 @@ def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows_a_batch(spark, whole_texts=True)
     return packing.pack(docs, public_vocabulary())
 
 

@@ -6,7 +6,7 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.durable import checkpoint_dir, durable as written  # noqa: F401
 
@@ -37,3 +37,14 @@ def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
             _trim()
 
     return trimmed
+
+
+#: Rows of an Arrow batch: Spark's own default, and for whole texts, of which a batch of that many takes tens of megabytes in the JVM and again in Python.
+BATCH, TEXT_BATCH = "10000", "2000"
+
+
+def rows_a_batch(spark: SparkSession, whole_texts: bool) -> None:
+    """Sets the rows of an Arrow batch of the session for what runs next, unless the session has a value of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) in (BATCH, TEXT_BATCH):
+        spark.conf.set(name, TEXT_BATCH if whole_texts else BATCH)
