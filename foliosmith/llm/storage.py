@@ -19,6 +19,20 @@ def small_or_not(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
+#: Bytes of rows that may be broadcast.
+BROADCAST_BYTES = 48_000_000
+
+
+def light_or_not(frame: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast if its rows take at most ``limit`` bytes, counted; a plain join otherwise."""
+    width = F.lit(8 * (len(frame.columns) + 1))
+    for name, kind in frame.dtypes:
+        if kind in ("string", "binary"):
+            width = width + 8 + F.coalesce(F.octet_length(name), F.lit(0))
+    size = frame.agg(F.sum(width.cast("bigint")).alias("size")).first()["size"] or 0
+    return F.broadcast(frame) if size <= limit else frame
+
+
 def _trim() -> None:
     pa.default_memory_pool().release_unused()
     try:

@@ -85,6 +85,22 @@ def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int
         lo = hi
 
 
+def cut_points(solid: np.ndarray, limit: int) -> list[int]:
+    """Ends of slices of at most ``limit`` bytes where a byte of no term is there to cut at, or else of more."""
+    ends, at = [], 0
+    while len(solid) - at > limit:
+        back = np.flatnonzero(~solid[at : at + limit])
+        if len(back):
+            at += int(back[-1]) + 1
+        else:
+            ahead = np.flatnonzero(~solid[at + limit :])
+            if not len(ahead):
+                break
+            at += limit + int(ahead[0]) + 1
+        ends.append(at)
+    return [*ends, len(solid)] if not ends or ends[-1] < len(solid) else ends
+
+
 def word_chunks(column: pa.Array, lower: bool = False, limit: int = CHUNK) -> Iterator[Chunk]:
     """The words of each text; ``lower`` folds A-Z first."""
     for lo, hi, offsets, data in text_chunks(column, limit):
