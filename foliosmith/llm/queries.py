@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import capfilters, chat, decontam, htmltext, langid, licences, ngramjoin, packing, pii, substrings
+from . import bestfit, capfilters, chat, decontam, divergence, htmltext, importance, langid, licences, ngramjoin, packing, pii, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,19 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = bestfit.pack(table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_ngram_join": op10_ngram_join,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_importance_resampling": op13_importance_resampling,
     "pipeline": pipeline,
 }
 
@@ -180,6 +196,36 @@ ORACLE_SQL: dict[str, str] = {
         nodes AS (SELECT doc_id AS id FROM sets),
         {_REACH}
         SELECT id AS doc_id, (SELECT len(g) FROM sets WHERE doc_id = id) AS n_shingles, min(other) AS component_id FROM reach GROUP BY id""",
+    "op11_source_divergence": r"""
+        WITH docs AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        words AS (SELECT row, lang, source, unnest(w) AS term FROM docs),
+        counts AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL),
+        kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        cells AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        sizes AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total, sum(lang_n) OVER (PARTITION BY lang, source) AS lang_total, count(*) OVER (PARTITION BY lang, source) AS v FROM cells),
+        prices AS (SELECT lang, source, term, n, 1 + (1000000000 * CAST(n + 5 AS HUGEINT)) // CAST(total + 5 * v AS HUGEINT) AS p, 1 + (1000000000 * CAST(lang_n + 5 AS HUGEINT)) // CAST(lang_total + 5 * v AS HUGEINT) AS q FROM sizes),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce((SELECT sum(abs(x.p - y.p)) FROM prices x JOIN prices y ON x.term = y.term WHERE x.lang = a.lang AND y.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+        found AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM prices WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found
+        QUALIFY part = 'pair' OR rank <= 50""",
+    "op13_importance_resampling": r"""
+        WITH steps AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS step),
+        words AS (SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+            UNION ALL SELECT 'b', NULL, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+        bytes AS (SELECT word, list_transform(range(strlen(word)), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT)) AS raw FROM (SELECT DISTINCT word FROM words)),
+        hashed AS (SELECT word, xor(4294967295, list_reduce(raw, lambda c, b: xor(c >> 8, list_extract(step, (xor(c, b) & 255) + 1)), CAST(4294967295 AS BIGINT))) % 10000 AS bucket FROM bytes, steps),
+        counts AS (SELECT side, doc_id, bucket, count(*) AS n FROM words JOIN hashed USING (word) GROUP BY ALL),
+        sums AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 'd'), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 'b'), 0) AS t FROM counts GROUP BY bucket),
+        gains AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * CAST((SELECT sum(s) FROM sums) + 10000 AS DOUBLE)) / (CAST(s + 1 AS DOUBLE) * CAST((SELECT sum(t) FROM sums) + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM sums),
+        weights AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM counts JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+        weighed AS (SELECT d.doc_id, coalesce(n_features, 0) AS n_features, CASE WHEN n_features IS NULL THEN 0 ELSE (total - ((total % n_features) + n_features) % n_features) // n_features END AS weight FROM documents d LEFT JOIN weights w ON w.doc_id = d.doc_id),
+        scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM weighed),
+        ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+        SELECT s.doc_id, s.n_features, CAST(s.weight AS BIGINT) AS weight, CAST(s.score AS BIGINT) AS score, r.rank
+        FROM scored s LEFT JOIN ranked r ON r.doc_id = s.doc_id AND r.rank <= (SELECT count(*) * 10 // 100 FROM ranked)""",
     "op9_chat_formatting": f"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
