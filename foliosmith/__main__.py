@@ -7,6 +7,7 @@ Outputs are UTF-8 files in the output folder, the memo is a table that grows by
 from __future__ import annotations
 
 import argparse
+import datetime
 import json
 import sys
 from typing import Any
@@ -18,7 +19,7 @@ FLAGS = (
     ("--ocr-backend", "ocr", "backend", None), ("--ocr-model", "ocr", "model", None), ("--ocr-mmproj", "ocr", "mmproj", None), ("--ocr-resolution", "ocr", "resolution", None), ("--ocr-ngl", "ocr", "n_gpu_layers", None),
     ("--ocr-endpoint", "ocr", "endpoint", None), ("--vlm-backend", "vlm", "backend", None), ("--vlm-model", "vlm", "model", None), ("--vlm-mmproj", "vlm", "mmproj", None), ("--vlm-ngl", "vlm", "n_gpu_layers", None),
     ("--vlm-endpoint", "vlm", "endpoint", None), ("--llama-bin-dir", "llama", "bin_dir", None), ("--host", "llama", "host", None), ("--port", "llama", "port", None), ("--ctx", "llama", "ctx_size", None),
-    ("--server-timeout", "llama", "server_start_timeout", None), ("--mode", "inference", "mode", None), ("--figure-detect", "figure", "detect", None), ("--no-figures", "figure", "detect", "none"), ("--figure-mode", "figure", "mode", None),
+    ("--server-timeout", "llama", "server_start_timeout", None), ("--mode", "inference", "mode", None), ("--in-flight", "inference", "in_flight", None), ("--figure-detect", "figure", "detect", None), ("--no-figures", "figure", "detect", "none"), ("--figure-mode", "figure", "mode", None),
     ("--crop-padding", "figure", "crop_padding", None), ("--context-chars", "figure", "context_chars", None), ("--no-table-refine", "table", "refine", False), ("--output-dir", "output", "dir", None),
     ("--no-bibtex-name", "output", "name_from_bibtex", False), ("--no-full-suffix", "output", "full_suffix", False), ("--no-split", "output", "split", False), ("--page-numbers", "output", "page_numbers", True),
     ("--page-separators", "output", "page_separators", True), ("--no-clean", "output", "clean", False), ("--no-normalize-breaks", "output", "normalize_line_breaks", False), ("--no-clobber", "output", "clobber", False),
@@ -27,6 +28,11 @@ FLAGS = (
 )
 
 
+#: Catalog tables and their columns.
+_PAPER = "struct<title:string,authors:array<string>,year:string,venue:string,doi:string,url:string>"
+CATALOGS = {"papers": f"arxiv_id string, paper {_PAPER}", "exports": "arxiv_id string, title string, authors array<string>, year string, primary_class string", "titles": f"query string, rank int, paper {_PAPER}"}
+
+
 def _number(text: str) -> Any:
     """A whole number or a number where the text is one."""
     for kind in (int, float):
@@ -46,7 +52,12 @@ def parser() -> argparse.ArgumentParser:
         if name != "config":
             sub.add_argument("input")
             sub.add_argument("--master", help="Spark master; without it, that of the environment")
-            sub.add_argument("--memo", help="memo table")
+            sub.add_argument("--memo", help="memo table; beside it, answers of a run that did not end are kept until one does")
+            sub.add_argument("--manifests", action="store_true", help="bundles are folders with a manifest, one a document, not a table")
+            sub.add_argument("--crops", help="folder of the crops that documents keep")
+            for catalog in CATALOGS:
+                sub.add_argument(f"--{catalog}", help="catalog table in place of a citation service")
+            sub.add_argument("--today", default=datetime.date.today().isoformat(), help="date that entries tell")
         sub.add_argument("-c", "--config")
         sub.add_argument("--name")
         sub.add_argument("--pages")
@@ -77,23 +88,26 @@ def _session(master: str | None):
 
 
 def _memo(spark, path: str | None):
-    from .sources import files
+    from .sources import files, memo_table
 
-    if path:
-        try:
-            return files.read_memo(spark, path).where("key is not null")
-        except Exception:  # no table yet: an empty memo
-            pass
-    return spark.createDataFrame([], files.MEMO)
+    return memo_table.read_memo(spark, path) if path else spark.createDataFrame([], files.MEMO)
 
 
-def _raw(spark, pages, memo, config):
+def _catalogs(spark, arguments: argparse.Namespace):
+    """The catalogs that are named; one that is not is empty, so that entries come from what is left."""
+    from .plans import transcribe
+
+    tables = [spark.read.schema(schema).parquet(path) if (path := getattr(arguments, name)) else spark.createDataFrame([], schema) for name, schema in CATALOGS.items()]
+    return transcribe.Catalogs(*tables, arguments.today, arguments.today[:4])
+
+
+def _raw(spark, pages, memo, config, journal):
     """Raw pages of page images, where they are not raw pages already, and the new memo entries."""
     from .plans import transcribe
 
     if "raw" in pages.columns:
         return pages, memo.limit(0)
-    return transcribe.read_pages(pages, memo, config)
+    return transcribe.read_pages(pages, memo, config, journal)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -110,7 +124,8 @@ def main(argv: list[str] | None = None) -> int:
 
     from .operators import parts as parts_op
     from .plans import transcribe
-    from .sources import files
+    from .sources import bundles, files, memo_table
+    from .sources.journal import Journal
 
     spark, root = _session(arguments.master), config.output.dir
     if arguments.command == "join":
@@ -118,24 +133,34 @@ def main(argv: list[str] | None = None) -> int:
         suffix = "_full.md" if config.output.full_suffix else ".md"
         done = files.write_texts(whole.select(F.concat("base", F.lit(suffix)).alias("file"), F.col("full").alias("content")), root, config.output.clobber)
     else:
-        memo = _memo(spark, arguments.memo)
+        memo, journal = _memo(spark, arguments.memo), Journal(f"{arguments.memo.rstrip('/')}-journal") if arguments.memo else None
         if arguments.command == "describe":
             reason = F.when(F.coalesce("truncated", F.lit(False)), F.lit("length")).otherwise(F.lit("stop"))
-            pages = files.read_bundle(spark, arguments.input).select("doc_id", "page_number", "width_px", "height_px", "raster_sha256", "raw", reason.alias("finish_reason"))
-            entries = memo.limit(0)
+            read = bundles.read_bundles(spark, arguments.input) if arguments.manifests else files.read_bundle(spark, arguments.input)
+            kept = ["doc_id", "page_number", "width_px", "height_px", "raster_sha256", "raw"] + ["url", "name"] * arguments.manifests
+            pages, entries = read.select(*kept, reason.alias("finish_reason")), memo.limit(0)
         else:
-            pages, entries = _raw(spark, spark.read.parquet(arguments.input), memo, config)
+            pages, entries = _raw(spark, spark.read.parquet(arguments.input), memo, config, journal)
         if arguments.command == "ocr":
-            files.write_bundle(transcribe.ocr_pass(pages, config), root)
+            parsed = transcribe.ocr_pass(pages, config)
+            if arguments.manifests:
+                told = {"backend": config.ocr.backend, "model": config.ocr.model, "resolution": config.ocr.resolution}
+                files.write_texts(bundles.manifests(parsed, arguments.today, told, config.figure.detect, config.figure.crop_padding), root, config.output.clobber)
+            else:
+                files.write_bundle(parsed, root)
             done = None
         else:
             names = pages.select("doc_id").distinct().select("doc_id", F.lit(None).cast("string").alias("url"), F.col("doc_id").cast("string").alias("name"))
             sources = pages.groupBy("doc_id").agg(F.first("url").alias("url"), F.first("name").alias("name")) if {"url", "name"} <= set(pages.columns) else names
-            made, more = transcribe.run_to_files(pages, sources, memo, None, config)
+            made, crops, more = transcribe.run_whole(pages, sources, memo, _catalogs(spark, arguments), config, journal)
+            for name in transcribe.doubtful_names(made, config):
+                print(f"{name}.md ends like a part of another document", file=sys.stderr)
             entries = entries.unionByName(more, allowMissingColumns=True)
-            done = files.write_texts(made, root, config.output.clobber)
+            there = files.present(crops, arguments.crops, "crop_path") if arguments.crops else None
+            done = files.write_output(made, there, arguments.crops or "", root, config.output.clobber)
         if arguments.memo and config.cache.enabled:
-            files.append_memo(entries, arguments.memo)
+            memo_table.append_memo(entries, arguments.memo)
+            journal.clear()
     if done is not None:
         print(f"{done.count()} files in {root}")
     return 0

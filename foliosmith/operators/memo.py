@@ -37,36 +37,63 @@ def table_key(prompt: Column, raster_sha256: Column, bbox: Column, padding: floa
     return key_of("table", identity, prompt=prompt, raster=raster_sha256, bbox=bbox, padding=F.when(bbox.isNotNull(), F.lit(float(padding))))
 
 
+def newest(entries: DataFrame, value_schema: int, key: str = "key") -> DataFrame:
+    """(key, ``text``, ``truncated``) of the newest entry of each key; entries of another schema and those without a text are none."""
+    cut = F.coalesce("truncated", F.lit(False)) if "truncated" in entries.columns else F.lit(False)
+    last = F.max_by(F.struct("text", cut.alias("truncated")), F.struct("written_at", "text")).alias("__newest")
+    sound = entries.filter((F.col("value_schema") == value_schema) & F.col("text").isNotNull())
+    return sound.groupBy(F.col(key)).agg(last).select(key, "__newest.text", "__newest.truncated")
+
+
+def look_up(items: DataFrame, memo: DataFrame, value_schema: int, key: str = "key") -> DataFrame:
+    """The items with ``text`` and ``truncated`` of their entries, and whether there is one (``__hit``); written, so the memo is read once.
+
+    Only entries of keys that are asked for are grouped: the keys are written first, so that a few of them are broadcast to the memo's rows.  Of a
+    memo that is bucketed by its key no row is shuffled either way.
+    """
+    keys = durable(items.select(key).distinct(), "asked")
+    found = newest(memo.join(keys, key, "left_semi"), value_schema, key).withColumn("__hit", F.lit(True))
+    return durable(items.join(found, key, "left").withColumn("__hit", F.col("__hit").isNotNull()), "looked-up")
+
+
 def split_hits(items: DataFrame, memo: DataFrame, value_schema: int, key: str = "key") -> tuple[DataFrame, DataFrame]:
     """(hits with ``text`` and ``truncated``, misses): entries of another schema don't count; of several entries of a key the newest does."""
-    cut = F.coalesce("truncated", F.lit(False)) if "truncated" in memo.columns else F.lit(False)
-    newest = F.max_by(F.struct("text", cut.alias("truncated")), F.struct("written_at", "text")).alias("__newest")
-    valid = memo.filter(F.col("value_schema") == value_schema).groupBy(F.col(key)).agg(newest).select(key, "__newest.text", "__newest.truncated")
-    return items.join(valid, key), items.join(valid, key, "left_anti")
+    seen = look_up(items, memo, value_schema, key)
+    return seen.filter("__hit").drop("__hit"), seen.filter("not __hit").select(*items.columns)
 
 
 def memoised(
     items: DataFrame, memo: DataFrame, infer: Callable[[DataFrame], DataFrame], value_schema: int, key: str = "key", refresh: bool = False, enabled: bool = True,
-    settle: Callable[[Column, Column], Column] | None = None,
+    settle: Callable[[Column, Column], Column] | None = None, logged: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(items with ``text``, ``truncated`` and ``error``, new memo entries): equal keys are inferred once.
 
     ``infer`` takes distinct misses and returns (key, text, finish_reason, error).  Its answers are written to the shared folder at once, and both results
-    are read from there, so a model is asked once however often they are read, and what is memoised is what was used.  ``settle(text, truncated)`` makes an answer
+    are read from there, so a model is asked once however often they are read, and what is memoised is what was used.  ``logged`` has answers
+    (key, text, finish_reason) of runs that did not end, which are not asked again unless ``refresh``.  ``settle(text, truncated)`` makes an answer
     what is used, or null to refuse it; it may use the columns of the items, as far as equal keys agree in them.  Failed and refused answers never become entries.
     """
     if refresh or not enabled:
         hits, misses = items.limit(0).withColumns({"text": F.lit(None).cast("string"), "truncated": F.lit(False)}), items
     else:
         hits, misses = split_hits(items, memo, value_schema, key)
-    fresh = durable(infer(misses.dropDuplicates([key])).select(key, "text", "finish_reason", "error"), "answers")
+    asked = misses.dropDuplicates([key])
+    none = F.lit(None).cast("string")
+    if logged is None or refresh:
+        answers = infer(asked).select(key, "text", "finish_reason", "error")
+    else:
+        told = logged.select(key, F.col("text").alias("__text"), F.col("finish_reason").alias("__reason"), F.lit(True).alias("__told"))
+        both = durable(asked.join(told, key, "left"), "replayed")
+        rest = infer(both.filter("__told is null").select(*asked.columns)).select(key, "text", "finish_reason", "error")
+        answers = both.filter("__told").select(key, F.col("__text").alias("text"), F.col("__reason").alias("finish_reason"), none.alias("error")).unionByName(rest)
+    fresh = durable(answers, "answers")
     cut = F.coalesce(F.col("finish_reason") != "stop", F.lit(False))
     done = misses.join(fresh, key, "left").withColumn("truncated", cut).drop("finish_reason")
     if settle:
-        done = done.withColumn("text", settle(F.col("text"), F.col("truncated")))
+        done = durable(done.withColumn("text", settle(F.col("text"), F.col("truncated"))), "settled")
     used = done.filter("error is null and text is not null").groupBy(key).agg(F.first("text").alias("text"), F.first("truncated").alias("truncated"))
     entries = used.select(key, F.lit(value_schema).alias("value_schema"), "text", F.current_timestamp().alias("written_at"), "truncated")
-    return hits.withColumn("error", F.lit(None).cast("string")).unionByName(done), entries if enabled else entries.limit(0)
+    return hits.withColumn("error", none).unionByName(done), entries if enabled else entries.limit(0)
 
 
 def missing_references(rows: DataFrame, files: DataFrame, path: str, on: Sequence[str] = ("path",)) -> DataFrame:

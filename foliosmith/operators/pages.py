@@ -39,7 +39,7 @@ def figures(parsed: DataFrame, *keys: str, page: str = "page_number", width: str
 
 
 def select_figures(parsed: DataFrame, detect: str, supports_grounding: bool = True) -> DataFrame:
-    """Keeps the regions of a detection mode: ``none``, ``grounding``, ``pdf-embedded`` (column ``embedded``) or ``auto``."""
+    """Keeps the regions of a detection mode: ``none``, ``grounding``, ``auto``, or ``pdf-embedded``: boxes of the column ``embedded``, clamped to the page, from top to bottom, are the figures after the page's own regions, of which none is a figure then."""
     if detect == "auto":
         detect = "grounding" if supports_grounding else "pdf-embedded"
     if detect == "none":
@@ -49,8 +49,11 @@ def select_figures(parsed: DataFrame, detect: str, supports_grounding: bool = Tr
             raise ValueError("this backend does not ground figures")
         return parsed
     if detect == "pdf-embedded":
-        ranked = F.array_sort(F.transform("embedded", lambda b, i: F.struct(b["y1"].alias("y1"), i.alias("i"), b.alias("bbox"))))
-        return parsed.withColumn("regions", F.transform(ranked, lambda r, i: F.struct(F.lit("figure").alias("label"), r["bbox"].alias("bbox"), F.lit(None).cast("string").alias("text"), (i + 1).alias("figure"))))
+        clamped = lambda b: F.struct(*[F.greatest(F.least(b[c], F.lit(1.0)), F.lit(0.0)).alias(c) for c in ("x1", "y1", "x2", "y2")])
+        ranked = F.array_sort(F.transform("embedded", lambda b, i: X.let(clamped(b), lambda c: F.struct(c["y1"].alias("y1"), i.alias("i"), c.alias("bbox")))))
+        found = F.transform(ranked, lambda r, i: F.struct(F.lit("image").alias("label"), r["bbox"].alias("bbox"), F.lit(None).cast("string").alias("text"), (i + 1).alias("figure")))
+        plain = F.transform("regions", lambda r: F.struct(r["label"].alias("label"), r["bbox"].alias("bbox"), r["text"].alias("text"), F.lit(None).cast("int").alias("figure")))
+        return parsed.withColumn("regions", F.concat(plain, F.coalesce(found, F.array().cast(parsed.schema["regions"].dataType))))
     raise ValueError(f"unknown figure detection: {detect}")
 
 

@@ -19,7 +19,7 @@ class ConfigError(ValueError):
 # Sections, keys and defaults of the configuration (backends: those of this engine).
 KEYS: dict[str, dict[str, Any]] = {
     "llama": {"bin_dir": "", "host": "127.0.0.1", "port": 0, "server_start_timeout": 120, "ctx_size": 16384},
-    "inference": {"mode": "sequential"},
+    "inference": {"mode": "sequential", "in_flight": 1},
     "ocr": {"backend": "stub", "model": "", "mmproj": "", "resolution": "gundam", "n_gpu_layers": "auto", "endpoint": ""},
     "vlm": {"backend": "stub", "model": "", "mmproj": "", "n_gpu_layers": "auto", "endpoint": ""},
     "figure": {"detect": "auto", "mode": "describe-only", "crop_padding": 0.02, "context_chars": 2000},
@@ -39,7 +39,7 @@ CHOICES = {
 }
 RANGES = {
     ("llama", "port"): (int, 0, 65535), ("llama", "ctx_size"): (int, 1, None), ("llama", "server_start_timeout"): (int, 1, None),
-    ("figure", "crop_padding"): (float, 0, 1), ("figure", "context_chars"): (int, 0, None),
+    ("inference", "in_flight"): (int, 1, None), ("figure", "crop_padding"): (float, 0, 1), ("figure", "context_chars"): (int, 0, None),
 }
 
 

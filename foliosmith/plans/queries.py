@@ -5,13 +5,15 @@ The tables hold none of the signs these operators look for, so each query first
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import citations as C, layout as L, sections as S, tables as T, text as X, urls as U
 from ..operators import cite as cite_op, figures as figures_op, memo as memo_op, pages as pages_op, parts as parts_op, tables as tables_op, titles as titles_op
-from ..sources import files
+from ..sources import bundles, files, memo_table
+from ..sources.durable import checkpoint_dir
 from . import config, transcribe
 
 TABLES = ("documents", "conversations", "pages", "lineitem", "orders", "events")
@@ -285,6 +287,37 @@ def memo_hits_misses(spark, sf_dir):
     return hits.select("doc_id", F.col("text").alias("found")).unionByName(misses.select("doc_id", F.lit(None).cast("string").alias("found")))
 
 
+def memo_table_lookup(spark, sf_dir):
+    """The same of a memo in a bucketed folder, written twice: an older answer, an entry without a text and one of an older schema don't count."""
+    items = frame(spark, sf_dir, "SELECT doc_id, text, lang FROM {documents}").withColumn("key", memo_op.key_of("probe", text=F.col("text"), lang=F.col("lang")))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/memo-{uuid.uuid4().hex}"
+    entry = lambda rows, text, day, schema=2: rows.select("key", F.lit(schema).alias("value_schema"), text.cast("string").alias("text"), F.lit(day).cast("timestamp").alias("written_at"))
+    keys = items.groupBy("key").agg(F.min(F.col("doc_id") % 3).alias("r"))
+    third, rest = keys.filter("r = 0"), keys.filter("r = 1")
+    memo_table.append_memo(entry(third, F.concat(F.lit("v"), "key"), "2024-01-02").unionByName(entry(rest, F.lit(None), "2024-01-02")), path)
+    memo_table.append_memo(entry(third, F.lit("old"), "2024-01-01").unionByName(entry(rest, F.lit("v1"), "2024-01-03", 1)), path)
+    hits, misses = memo_op.split_hits(items.select("doc_id", "key"), memo_table.read_memo(spark, path), 2)
+    return hits.select("doc_id", (F.col("text") == F.concat(F.lit("v"), "key")).alias("found")).unionByName(misses.select("doc_id", F.lit(False).alias("found")))
+
+
+def embedded_figures(spark, sf_dir):
+    """Regions of pages that hold a table and a figure of their own, with embedded images: those are the figures, clamped and from top to bottom, and the table keeps its box."""
+    rows = frame(spark, sf_dir, "SELECT l_orderkey, l_linenumber, CAST(l_orderkey % 9 AS INT) AS a, CAST(max(l_partkey) % 7 AS INT) AS b FROM {lineitem} GROUP BY l_orderkey, l_linenumber")
+    box = lambda *c: F.struct(*[(F.expr(v) / 4).cast("double").alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), c)])
+    region = lambda label, figure, *c: F.struct(F.lit(label).alias("label"), box(*c).alias("bbox"), F.lit("t").alias("text"), F.lit(figure).cast("int").alias("figure"))
+    own = rows.withColumns({"regions": F.array(region("table", None, "a", "b", "a + 1", "b + 1"), region("image", 1, "0", "0", "1", "1")), "embedded": F.array(box("a - 2", "b - 3", "a", "b"), box("1", "a - 4", "2", "a"), box("b", "2", "b + 1", "3"))})
+    chosen = pages_op.select_figures(own, "pdf-embedded").select("l_orderkey", "l_linenumber", F.posexplode("regions").alias("idx", "r"))
+    return chosen.select("l_orderkey", "l_linenumber", "idx", "r.label", "r.figure", *[F.col(f"r.bbox.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+def bundle_pages(spark, sf_dir):
+    """Documents as pages of bundles of fifty, written as folders with a manifest each and read again."""
+    rows = frame(spark, sf_dir, "SELECT CAST(doc_id DIV 50 AS STRING) AS doc_id, CAST(doc_id % 50 + 1 AS INT) AS page_number, text AS markdown, 'Bundle ' || CAST(doc_id DIV 50 AS STRING) AS name FROM {documents}")
+    root = f"{checkpoint_dir(spark).rstrip('/')}/bundles-{uuid.uuid4().hex}"
+    files.write_texts(bundles.manifests(rows.withColumn("regions", F.array().cast(f"array<{bundles.REGION}>")), "2024-01-01"), root, clobber=False)
+    return bundles.read_bundles(spark, root).select("doc_id", "page_number", "name", digest(F.col("markdown")).alias("md_sha256"))
+
+
 def prompts(spark, sf_dir):
     rows = frame(spark, sf_dir, "SELECT doc_id, text FROM {documents}")
     context = X.page_context(F.col("doc_id"), F.col("text"))
@@ -351,7 +384,7 @@ def output_files(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         section_split, section_boundaries, layout_blocks, page_markdown, pixel_boxes, figure_inject, stitch, stitch_numbered, running_chrome, strip_chrome, clean_text, table_guard, table_blobs, table_splice, match_table_regions,
-        notice_flags, description_spacing, url_route, probe_parse, citation_entry, title_match, title_links, source_chain, memo_hits_misses, prompts, whole_texts, page_ranges, base_names, join_splits, transcribe_documents, output_parts, output_files, settled_answers,
+        notice_flags, description_spacing, url_route, probe_parse, citation_entry, title_match, title_links, source_chain, memo_hits_misses, memo_table_lookup, embedded_figures, bundle_pages, prompts, whole_texts, page_ranges, base_names, join_splits, transcribe_documents, output_parts, output_files, settled_answers,
     )
 }
 
@@ -499,6 +532,15 @@ ORACLE_SQL: dict[str, str] = {
         "citation_entry": f"WITH c AS (@CITED@), k AS (SELECT *, {_KEY} AS cite_key FROM c) SELECT doc_id, cite_key, '% NOTE: Best-effort entry generated from the document''s own front matter' || chr(10) || '% (no citation database was consulted). Verify before use.' || chr(10) || '%' || chr(10) || '@misc{{' || cite_key || ',' || chr(10) || '  title={{' || {_ESCAPED('title')} || '}},' || chr(10) || '  author={{' || {_ESCAPED('author')} || '}},' || chr(10) || '  year={{' || year || '}},' || chr(10) || '  note={{' || {_ESCAPED('venue')} || '}}' || chr(10) || '}}' AS bibtex FROM k".replace("{{", "{").replace("}}", "}"),
         "title_match": f"""WITH r AS (SELECT doc_id, {_NORM('text')} AS t, left(text, 60) AS head FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.t AS ta, b.t AS tb, string_split(a.t, ' ') AS wa, list_distinct(string_split(b.t, ' ')) AS wb FROM r a JOIN r b ON a.head = b.head AND a.doc_id < b.doc_id)
             SELECT a, b, CASE WHEN length(ta) < 10 OR length(tb) < 10 THEN ta = tb ELSE len(list_filter(wa, lambda w: list_contains(wb, w))) / greatest(len(wa), len(wb)) > 0.75 END AS matches FROM p""",
+        "memo_table_lookup": "SELECT doc_id, min(doc_id % 3) OVER (PARTITION BY text, lang) = 0 AS found FROM documents",
+        "embedded_figures": """
+            WITH p AS (SELECT l_orderkey, l_linenumber, CAST(l_orderkey % 9 AS DOUBLE) AS a, CAST(max(l_partkey) % 7 AS DOUBLE) AS b FROM lineitem GROUP BY l_orderkey, l_linenumber),
+            e AS (SELECT l_orderkey, l_linenumber, 1 AS i, a - 2 AS x1, b - 3 AS y1, a AS x2, b AS y2 FROM p UNION ALL SELECT l_orderkey, l_linenumber, 2, 1, a - 4, 2, a FROM p UNION ALL SELECT l_orderkey, l_linenumber, 3, b, 2, b + 1, 3 FROM p),
+            c AS (SELECT l_orderkey, l_linenumber, i, greatest(least(x1 / 4, 1), 0) AS x1, greatest(least(y1 / 4, 1), 0) AS y1, greatest(least(x2 / 4, 1), 0) AS x2, greatest(least(y2 / 4, 1), 0) AS y2 FROM e),
+            n AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY y1, i) AS INT) AS figure FROM c)
+            SELECT l_orderkey, l_linenumber, CAST(figure + 1 AS INT) AS idx, 'image' AS label, figure, x1, y1, x2, y2 FROM n
+            UNION ALL SELECT l_orderkey, l_linenumber, 0, 'table', NULL, a / 4, b / 4, (a + 1) / 4, (b + 1) / 4 FROM p UNION ALL SELECT l_orderkey, l_linenumber, 1, 'image', NULL, 0, 0, 0.25, 0.25 FROM p""",
+        "bundle_pages": "SELECT CAST(doc_id // 50 AS VARCHAR) AS doc_id, CAST(doc_id % 50 + 1 AS INT) AS page_number, 'Bundle ' || (doc_id // 50) AS name, sha256(text) AS md_sha256 FROM documents",
         "memo_hits_misses": "SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM documents m WHERE m.doc_id % 3 = 0 AND m.text = d.text AND m.lang = d.lang) THEN 'v2' END AS found FROM documents d",
         "prompts": rf"""WITH a AS (SELECT doc_id, text, CASE WHEN doc_id % 3 <> 0 THEN {_strip("CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 50) || ' ' ELSE substr(text, 1, 50) END")} ELSE {_strip("'ok ' || substr(text, 1, 50) || CASE WHEN doc_id % 2 = 0 THEN ' </img_desc> rest' ELSE '' END")} END AS t FROM documents)
             SELECT doc_id, sha256('This image appears on page ' || doc_id || '. The surrounding page content follows.' || chr(10) || chr(10) || CASE WHEN length(text) > 2000 THEN left(text, 1997) || '...' ELSE text END) AS context_sha256, CAST(least(length({_strip('text')}), 3000) AS INT) AS probe_chars,

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import layout as L, text as X, urls as U
 from ..operators import memo as memo_op
+from . import sink, stores
 from .durable import durable
 
 BUNDLE_SCHEMA = 1
@@ -125,92 +126,48 @@ def one_main_each(parts: DataFrame) -> DataFrame:
     return parts
 
 
-def _store(root: str):
-    """The file system of a path or URI, and the folder in it."""
-    from pyarrow import fs
-
-    if "://" in root or root.startswith("file:"):
-        return fs.FileSystem.from_uri(root)
-    return fs.LocalFileSystem(), root
-
-
-def _put(store, folder: str, name: str, data: bytes, clobber: bool) -> str:
-    """Writes a file under a passing name and then moves it into place, so that no reader and no second try of a task sees half of it."""
-    import uuid
-
-    path = f"{folder.rstrip('/')}/{name}"
-    if not clobber and store.get_file_info(path).is_file:
-        raise FileExistsError(f"{path} is there already")
-    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    passing = f"{path}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(passing) as out:
-        out.write(data)
-    store.move(passing, path)
-    return path
-
-
 def write_texts(files: DataFrame, root: str, clobber: bool = True, name: str = "file", content: str = "content") -> DataFrame:
-    """(path) of each text written to ``root``/``name``, in UTF-8 with LF line ends; executors write, so ``root`` is a store or a folder that they all see.
+    """(path) of each text written to ``root``/``name``, in UTF-8 with LF line ends, all or none; executors write, so ``root`` is a store or a folder that they all see.
 
-    Without ``clobber`` a file that is there already is an error, before any is written.
+    Without ``clobber`` a file that is there already is an error, and none is written.
     """
-    if not clobber:
-        names = files.select(name).distinct()
-        taken = names.mapInArrow(_taken(root), "path string").limit(1).collect()
-        if taken:
-            raise FileExistsError(f"{taken[0]['path']} is there already")
+    return write_output(files.select(F.col(name).alias("file"), F.col(content).alias("content")), None, "", root, clobber)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(root)
-        for batch in batches:
-            made = [_put(store, folder, n, (t or "").replace("\r\n", "\n").encode(), True) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["path"])
 
-    return durable(files.select(name, content).mapInArrow(run, "path string"), "written")
+def present(names: DataFrame, folder: str, path: str = "path") -> DataFrame:
+    """(path, there) of names of files below a folder, asked of its store in the tasks."""
 
-
-def _taken(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(root)
+        store, at = stores.opened(folder)
         for batch in batches:
-            paths = [f"{folder.rstrip('/')}/{n}" for n in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([i.path for i in store.get_file_info(paths) if i.is_file], pa.string())], names=["path"])
+            found = store.get_file_info([stores.joined(at, n) for n in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.is_file for f in found], pa.bool_())], names=["path", "there"])
 
-    return run
+    return names.select(F.col(path).alias("path")).mapInArrow(run, "path string, there boolean")
 
 
-def copy_figures(figures: DataFrame, source: str, root: str, clobber: bool = True, path: str = "crop_path") -> DataFrame:
-    """(path, copied) of the crops that descriptions refer to: copied from the bundle's folder to the output's under the same name; a missing one is told, not an error."""
-    names = figures.filter(F.col(path).isNotNull()).select(F.col(path).alias("path")).distinct()
-    if not clobber:
-        taken = names.mapInArrow(_taken(root), "path string").limit(1).collect()
-        if taken:
-            raise FileExistsError(f"{taken[0]['path']} is there already")
+def _crops(figures: DataFrame, source: str, path: str) -> DataFrame:
+    return durable(present(figures.filter(F.col(path).isNotNull()).select(F.col(path).alias("path")).distinct(), source), "crops")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (store, folder), (origin, from_folder) = _store(root), _store(source)
-        for batch in batches:
-            copied = []
-            for name in batch.column(0).to_pylist():
-                at = f"{from_folder.rstrip('/')}/{name}"
-                there = origin.get_file_info(at).is_file
-                if there and (source.rstrip("/") != root.rstrip("/")):
-                    with origin.open_input_stream(at) as data:
-                        _put(store, folder, name, data.read(), True)
-                copied.append(there)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(copied, pa.bool_())], names=["path", "copied"])
 
-    return durable(names.mapInArrow(run, "path string, copied boolean"), "copied")
+def write_output(texts: DataFrame, crops: DataFrame | None, source: str, root: str, clobber: bool = True) -> DataFrame:
+    """(path) of the texts (file, content) and of the crops (path, there) in ``source`` that are there, written in one commit: all or none."""
+    none = F.lit(None).cast("string")
+    rows = texts.select("file", F.coalesce("content", F.lit("")).alias("content"), none.alias("source"))
+    if crops is not None and source.rstrip("/") != root.rstrip("/"):
+        rows = rows.unionByName(crops.filter("there").select(F.col("path").alias("file"), none.alias("content"), F.concat(F.lit(source.rstrip("/") + "/"), "path").alias("source")))
+    sink.publish(rows, root, clobber)
+    return rows.select(F.concat(F.lit(root.rstrip("/") + "/"), "file").alias("path"))
+
+
+def copy_figures(figures: DataFrame, source: str, root: str, clobber: bool = True, path: str = "crop_path") -> DataFrame:
+    """(path, copied) of the crops that descriptions refer to: copied from the bundle's folder to the output's under the same name, all or none; a missing one is told, not an error."""
+    crops = _crops(figures, source, path)
+    if source.rstrip("/") != root.rstrip("/"):
+        write_output(crops.select(F.col("path").alias("file"), F.lit("").alias("content")).limit(0), crops, source, root, clobber)
+    return crops.select("path", F.col("there").alias("copied"))
 
 
 def write_documents(parts: DataFrame, path: str, clobber: bool = False) -> None:
     """Document parts by part, with their output stem; refuses a taken path unless ``clobber``."""
     parts.write.mode("overwrite" if clobber else "errorifexists").partitionBy("part").parquet(path)
-
-
-def read_memo(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MEMO).parquet(path)
-
-
-def append_memo(entries: DataFrame, path: str) -> None:
-    entries.select("key", "value_schema", "text", "written_at", F.col("truncated") if "truncated" in entries.columns else F.lit(False).alias("truncated")).write.mode("append").parquet(path)

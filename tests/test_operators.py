@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foliosmith.operators import memo, pages
 from foliosmith.plans import config, inference, transcribe
-from foliosmith.sources import files
+from foliosmith.sources import files, memo_table
 from foliosmith.streaming import pages as streaming
 
 HEAD, FOOT = "Journal of Tests", "Page %d"
@@ -69,8 +69,8 @@ def test_whole_run(spark, tmp_path):
     docs, entries = transcribe.run(raw_pages(spark), empty)
     text = docs.first()["markdown"]
     assert "Stub description" in text and "⟦" not in text and "hyphens" in text and HEAD not in text and "<table>" in text
-    files.append_memo(entries, str(tmp_path / "memo"))
-    again, fresh = transcribe.run(raw_pages(spark), files.read_memo(spark, str(tmp_path / "memo")))
+    memo_table.append_memo(entries, str(tmp_path / "memo"))
+    again, fresh = transcribe.run(raw_pages(spark), memo_table.read_memo(spark, str(tmp_path / "memo")))
     assert again.first()["markdown"] == text
     parts = transcribe.outputs(docs.withColumn("bibtex", F.lit("@misc{k,\n}"))).collect()
     assert {r["part"] for r in parts} == {"full", "main"} and all("Transcribed with" in r["content"] for r in parts)
