@@ -316,3 +316,15 @@ def test_sliding_min():
 
 def test_luhn_patterns_are_fixed():
     assert set(pii.PATTERNS) == set(pii.KINDS) and re.compile(pii.PATTERNS["phone"]).search("+1 (017) 555-7713")
+
+
+def test_no_sequence_is_cut_before_the_end_of_a_partition(monkeypatch):
+    """30,000 texts of mixed lengths: some hundred sequences stay open, and none is cut into another until the last text is in."""
+    lengths = np.minimum(40_000, np.random.default_rng(5).lognormal(6.5, 1.1, 30_000).astype(int) + 1)
+    packer, ids, most = packing.Packer(), bytes(4 * 40_000), 0
+    monkeypatch.setattr(packer, "_merge", lambda leave: pytest.fail("cut while texts come"))
+    for k, n in enumerate(lengths.tolist()):
+        for _ in packer.add(k, ids[: 4 * n]):
+            pass
+        most = max(most, packer.count)
+    assert 50 < most < 1000
