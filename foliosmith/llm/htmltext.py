@@ -37,10 +37,10 @@ from .storage import frugal
 
 # Element names of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+RAW = set("script style textarea title noscript iframe xmp noembed noframes template svg".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr caption ul".split())
 SPACED = {"br", "td", "th", "img"}
-NEVER = RAW | set("head nav footer aside form button select input menu dialog object audio video canvas map search".split())
+NEVER = RAW | set("annotation annotation-xml head nav footer aside form button select input menu dialog object audio video canvas map search".split())
 CORE = {"article", "main"}
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
 TITLES = {"h1", "h2"}
@@ -54,6 +54,8 @@ LINKED = CONTAINER | {"ul", "ol", "dl"}
 HINT = 0.9
 #: The share of the path's least density that is enough for a container with the class of the path's.
 ALIKE = 0.5
+#: Characters that make a paragraph a long one.
+LONG_PARAGRAPH = 60
 #: The core moves into a container that holds this share of its sum.
 MOST = 0.9
 
@@ -62,6 +64,10 @@ NAMED = set("""ad ads adbox adsense advert adverts advertisement advertisements
  menu menus menubar nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert alerts newsletter subscribe subscription popup popups modal overlay
  share sharing social related recommend recommended recommendation recommendations comment comments commentlist discussion disqus reply replies respond responses widget widgets toolbar
  pagination pager login signup signin search""".split())
+# Words among them that sections of articles are named by too: alone they are a hint only where the element reads like no section.
+DOUBTFUL = set("discussion social reply replies respond responses promotion promotions notice notices alert alerts widget widgets".split())
+# Headings of lists of links that belong to a text.
+SOURCES = set("references reference bibliography sources notes footnotes literature citations literatur quellen quellenangaben einzelnachweise références bibliographie referencias fuentes notas bibliografía".split()) | {"further reading", "external links", "see also", "works cited"}
 TOPS = {"header", "masthead", "topbar"}
 BEFORE_TOP = set("site global main top sticky mobile fixed".split())
 BEFORE = set("site page main left right top bottom header footer user reader readers post article entry blog global primary secondary mobile desktop sticky fixed legal google media inline side the js".split())
@@ -74,17 +80,17 @@ _TOKEN = re.compile(r"""<!--(?:>|->)|<!--.*?(?:--!?>|\Z)|<(?:[!?]|/[^a-zA-Z])[^>
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
-def hinted(label: str) -> tuple[bool, bool]:
-    """Whether a class or id names an element that is no main text, and whether it names a page header."""
+def hinted(label: str, telling: set[str] = NAMED) -> tuple[bool, bool]:
+    """Whether a class or id names an element that is no main text, by one of the ``telling`` words, and whether it names a page header."""
     named = top = False
     for name in label.split():
         words = [w.lower() for w in _SPLIT.findall(_BAR.sub(lambda m: m[1].lower() + "bar", name))]
         words = [w for w in words if not w.isdigit()]
         for at, word in enumerate(words):
             if (word in NAMED or word in TOPS) and all(w in NAMED or w in (BEFORE if word in NAMED else BEFORE_TOP) for w in words[:at]) and all(w in AFTER or w in NAMED for w in words[at + 1 :]):
-                if word in NAMED:
+                if word in telling:
                     named = True
-                else:
+                elif word in TOPS:
                     top = True
     return named, top
 
@@ -164,7 +170,7 @@ class Page:
     def marks(self) -> None:
         """Sets by node: ``gone`` (it or one around it can't be main text), ``header`` (a page header, gone too), ``hint`` (its name is of no main text), ``within`` (an article or main element) and ``kind`` (element and class)."""
         n = len(self.tag)
-        flagged, named, tops, self.kind = [False] * n, [False] * n, [False] * n, list(self.tag)
+        flagged, named, tops, doubtful, self.kind = [False] * n, [False] * n, [False] * n, [], list(self.tag)
         for node in range(1, n):
             name, raw = self.tag[node], self.attrs[node]
             flagged[node] = name in NEVER
@@ -173,11 +179,16 @@ class Page:
                 self.kind[node] = f"{name}.{attrs.get('class', '')}"
                 flagged[node] = "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in _ROLES or bool(re.search(r"display\s*:\s*none", attrs.get("style", "")))
                 if name not in ("html", "body"):
-                    named[node], tops[node] = hinted(f"{attrs.get('class', '')} {attrs.get('id', '')}")
+                    label = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+                    named[node], tops[node] = hinted(label)
+                    if named[node] and not hinted(label, NAMED - DOUBTFUL)[0]:
+                        doubtful.append(node)
         self.within, self.header, self.hint, self.never, core, titled = ([False] * n for _ in range(6))
         for node in range(1, n):
             up = self.parent[node]
             self.within[node] = self.within[up] or self.tag[up] in CORE and not named[up]
+        for node in self._sections(doubtful) if doubtful else ():
+            named[node] = not self.within[node]
         for node in range(n - 1, 0, -1):
             name = self.tag[node]
             holds = core[node] or titled[node]
@@ -193,6 +204,23 @@ class Page:
         for node in range(1, n):
             self.gone[node] |= self.gone[self.parent[node]]
 
+    def _sections(self, nodes: list[int]) -> list[int]:
+        """Those of the nodes that read like sections: a heading or several paragraphs, some of it long, hardly links, no form, and no list of items as of comments."""
+        n = len(self.tag)
+        own = [0] * n
+        for node, text in self.items:
+            own[node] += len("".join(text.split())) if text else 0
+        chars, linked, long, heads, marks = list(own), [0] * n, [0] * n, [0] * n, [0] * n
+        for node in range(n - 1, 0, -1):
+            name, up = self.tag[node], self.parent[node]
+            linked[node] = chars[node] if name == "a" else linked[node]
+            long[node] += name == "p" and chars[node] >= LONG_PARAGRAPH
+            heads[node] += name in HEADING
+            marks[node] += 2 if name in ("form", "input", "textarea", "button", "select") else name in ("li", "article", "time")
+            for counts in (chars, linked, long, heads, marks):
+                counts[up] += counts[node]
+        return [k for k in nodes if long[k] and (heads[k] or long[k] > 1) and marks[k] < 2 and linked[k] <= 0.2 * chars[k]]
+
     def densities(self) -> tuple[list[float], list[float], list[float]]:
         """Composite density of each node, of its own text as a leaf, and its sum."""
         n = len(self.tag)
@@ -270,7 +298,7 @@ class Page:
                 for k in [k for k in plain if tag[k] in TITLES and k < under][-1:]:
                     whole[k] = titled = True
             below = min(below, density[at])
-        on_path = set(path)
+        on_path, cited = set(path), self._cited()
         keep = [False] * n
         for node in range(n):
             up = self.parent[node]
@@ -283,9 +311,28 @@ class Page:
                 if self.hint[node] and density[node] < density[top] and not self.in_hint[top]:
                     keep[node] = whole[node] = False
                 elif tag[node] in LINKED and not self.within[node] and self.links[node] > 2 and self.linked[node] >= 0.98 * self.chars[node] > 0:
-                    keep[node] = whole[node] = False
+                    keep[node] = whole[node] = node in cited
         return keep
 
+    def _cited(self) -> set[int]:
+        """Nodes that stand right after a heading of references."""
+        heading, said = [0] * len(self.tag), {}
+        for node in range(1, len(self.tag)):
+            heading[node] = node if self.tag[node] in HEADING else heading[self.parent[node]]
+        for node, text in self.items:
+            if text and heading[node]:
+                said.setdefault(heading[node], []).append(text)
+        heads = {k for k, parts in said.items() if " ".join("".join(parts).split()).strip(":.").lower() in SOURCES}
+        found, before = set(), {}
+        if heads:
+            for node in range(1, len(self.tag)):
+                up = self.parent[node]
+                if before.get(up) in heads:
+                    found.add(node)
+                if self.chars[node]:
+                    before[up] = node
+        return found
+
     def text(self) -> str:
         keep = self.chosen()
         blocks, now = [], []

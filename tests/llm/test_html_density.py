@@ -88,6 +88,65 @@ PAGES = {
 }
 
 
+@pytest.mark.parametrize("name", ["discussion", "social-post", "reply", "promotion", "alerts", "notice", "widget", "responses"])
+def test_sections_with_names_that_tell_little(name):
+    """A section of an article stays whatever its name; a notice, a thread of items or a box of links of that name goes."""
+    whole = f"T\n{LONG}\nD\n{MORE}"
+    for attribute in ("id", "class"):
+        box = lambda inner: f'<article><h1>T</h1><p>{LONG}</p><section {attribute}="{name}">{inner}</section></article>'  # noqa: E731, B023
+        assert htmltext.main_text(box(f"<h2>D</h2><p>{MORE}</p>")) == whole
+        assert htmltext.main_text(box(f"<p>{MORE}</p><p>{LONG}</p>")) == f"T\n{LONG}\n{MORE}\n{LONG}"
+        for other in ("<p>We have moved.</p>", f"<h2>D</h2><ul><li><p>{MORE}</p></li><li><p>{LONG}</p></li></ul>", f'<h2>D</h2><p><a href="1">{MORE}</a></p>', f"<h2>D</h2><p>{MORE}</p><form><input></form>"):
+            assert htmltext.main_text(box(other)) == f"T\n{LONG}"
+
+
+def test_formulas_stay_in_their_sentences():
+    page = f"<article><p>{LONG}</p><p>So <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>x+1</annotation></math> &lt; 3 holds.</p></article>"
+    assert htmltext.main_text(page) == f"{LONG}\nSo x+1 < 3 holds."
+
+
+@pytest.mark.parametrize("n", [2, 3, 12])
+def test_references_stay(n):
+    links = "".join(f'<li><a href="{k}">Source {k}</a></li>' for k in range(n))
+    page = "<body><div>{menu}</div><div><h1>T</h1><p>{text}</p><p>{more}</p><h2><span>References</span></h2><ul>{links}</ul></div></body>"
+    found = htmltext.main_text(page.format(menu=LINKS, text=LONG, more=MORE, links=links))
+    assert found == "\n".join(["T", LONG, MORE, "References", *[f"Source {k}" for k in range(n)]])
+
+
+def longest_sum(page):
+    """The choice of the core by brute force: every container that may hold the main text, the one with the largest sum."""
+    page.marks()
+    density, _, total = page.densities()
+    able = []
+    for node in range(len(page.tag)):
+        up, good = node, not page.gone[node]
+        while up >= 0:
+            good, up = good and page.tag[up] in htmltext.CONTAINER, page.parent[up]
+        if good:
+            able.append(node)
+    return max(able, key=lambda k: (total[k], page.tag[k] in htmltext.CORE, k)), density, total
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_the_core_is_that_of_brute_force(seed):
+    """On random trees: no container has a larger sum, and the core's own paragraphs are in the text."""
+    import random
+
+    rng = random.Random(seed)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return f"<p>{' '.join(rng.choice(LONG.split()) for _ in range(rng.randint(1, 40)))}</p>" if rng.random() < 0.7 else f"<p>{LINKS}</p>"
+        return "<div>" + "".join(tree(depth - 1) for _ in range(rng.randint(1, 4))) + "</div>"
+
+    source = f"<html><body>{''.join(tree(4) for _ in range(3))}</body></html>"
+    core, density, total = longest_sum(htmltext.Page(source))
+    page = htmltext.Page(source)
+    keep = page.chosen()
+    inside = [k for k in range(len(page.tag)) if page.parent[k] == core and page.tag[k] == "p" and density[k] >= htmltext.MOST * max(density)]
+    assert total[core] == max(t for k, t in enumerate(total) if page.tag[k] in htmltext.CONTAINER) and all(keep[k] for k in inside)
+
+
 @pytest.mark.parametrize("name", PAGES)
 def test_pages(name):
     body, want = PAGES[name]
