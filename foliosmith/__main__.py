@@ -125,6 +125,7 @@ def main(argv: list[str] | None = None) -> int:
     from .operators import parts as parts_op
     from .plans import transcribe
     from .sources import bundles, files, memo_table
+    from .plans.metrics import Metrics
     from .sources.journal import Journal
 
     spark, root = _session(arguments.master), config.output.dir
@@ -133,6 +134,7 @@ def main(argv: list[str] | None = None) -> int:
         suffix = "_full.md" if config.output.full_suffix else ".md"
         done = files.write_texts(whole.select(F.concat("base", F.lit(suffix)).alias("file"), F.col("full").alias("content")), root, config.output.clobber)
     else:
+        counts = Metrics()
         memo, journal = _memo(spark, arguments.memo), Journal(f"{arguments.memo.rstrip('/')}-journal") if arguments.memo else None
         if arguments.command == "describe":
             reason = F.when(F.coalesce("truncated", F.lit(False)), F.lit("length")).otherwise(F.lit("stop"))
@@ -152,7 +154,7 @@ def main(argv: list[str] | None = None) -> int:
         else:
             names = pages.select("doc_id").distinct().select("doc_id", F.lit(None).cast("string").alias("url"), F.col("doc_id").cast("string").alias("name"))
             sources = pages.groupBy("doc_id").agg(F.first("url").alias("url"), F.first("name").alias("name")) if {"url", "name"} <= set(pages.columns) else names
-            made, crops, more = transcribe.run_whole(pages, sources, memo, _catalogs(spark, arguments), config, journal)
+            made, crops, more = transcribe.run_whole(pages, sources, memo, _catalogs(spark, arguments), config, journal, counts)
             for name in transcribe.doubtful_names(made, config):
                 print(f"{name}.md ends like a part of another document", file=sys.stderr)
             entries = entries.unionByName(more, allowMissingColumns=True)
@@ -161,6 +163,8 @@ def main(argv: list[str] | None = None) -> int:
         if arguments.memo and config.cache.enabled:
             memo_table.append_memo(entries, arguments.memo)
             journal.clear()
+        if done is not None:
+            print(", ".join(f"{name.replace('_', ' ')}: {n}" for name, n in counts.told().items()))
     if done is not None:
         print(f"{done.count()} files in {root}")
     return 0

@@ -16,6 +16,7 @@ from ..sources.durable import durable
 from ..sources.journal import Journal
 from . import inference
 from .config import LONG_EDGE, RunConfig
+from .metrics import Metrics
 
 IMAGE_PROMPT = "Describe what this image shows: its kind, its parts, and every text in it.{context_block}\nPut the description inside <img_desc> and </img_desc>."
 CONTEXT_BLOCK = "\n\nThe text around it, for names and terms only:\n"
@@ -37,11 +38,12 @@ def vlm_backend(config: RunConfig) -> inference.Backend:
     return _maker(config, "vlm")()
 
 
-def _asked(items: DataFrame, memo: DataFrame, config: RunConfig, step: str, settle=None, journal: Journal | None = None) -> tuple[DataFrame, DataFrame]:
+def _asked(items: DataFrame, memo: DataFrame, config: RunConfig, step: str, settle=None, journal: Journal | None = None, metrics: Metrics | None = None) -> tuple[DataFrame, DataFrame]:
     """What ``memo_op.memoised`` gives; answers go to the journal as they come, and those of runs that did not end are used."""
     make, kept = _maker(config, step), journal if config.cache.enabled else None
+    watch = {"watch": lambda rows: metrics.watch(rows, hits=F.col("__hit"), misses=~F.col("__hit"))} if metrics else {}
     ask = lambda misses: inference.infer(misses, make, in_flight=config.inference.in_flight, journal=kept)
-    return memo_op.memoised(items, memo, ask, memo_op.SCHEMA[step], refresh=config.cache.refresh, enabled=config.cache.enabled, settle=settle, logged=kept.answers(items.sparkSession) if kept else None)
+    return memo_op.memoised(items, memo, ask, memo_op.SCHEMA[step], refresh=config.cache.refresh, enabled=config.cache.enabled, settle=settle, logged=kept.answers(items.sparkSession) if kept else None, **watch)
 
 
 def in_range(pages: DataFrame, config: RunConfig) -> DataFrame:
@@ -52,7 +54,7 @@ def in_range(pages: DataFrame, config: RunConfig) -> DataFrame:
     return pages.join(total, "doc_id").filter(F.array_contains(X.page_numbers(F.lit(config.pages), F.col("__total")), F.col("page_number").cast("bigint"))).drop("__total")
 
 
-def read_pages(pages: DataFrame, memo: DataFrame, config: RunConfig = RunConfig(), journal: Journal | None = None) -> tuple[DataFrame, DataFrame]:
+def read_pages(pages: DataFrame, memo: DataFrame, config: RunConfig = RunConfig(), journal: Journal | None = None, metrics: Metrics | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages with ``raw``, ``finish_reason`` and ``error``, new memo entries) of page images (doc_id, page_number, raster_sha256, ...).
 
     A failed page is empty and not memoised; a page that was cut off is kept and memoised, with its mark.
@@ -60,7 +62,7 @@ def read_pages(pages: DataFrame, memo: DataFrame, config: RunConfig = RunConfig(
     backend = ocr_backend(config)
     prompt, edge = F.lit(backend.page_prompt()), LONG_EDGE[config.ocr.resolution]
     keyed = in_range(pages, config).withColumns({"prompt": prompt, "image": F.col("raster_sha256"), "key": memo_op.page_key(F.col("raster_sha256"), prompt, edge, backend.identity())})
-    done, entries = _asked(keyed, memo, config, "ocr", journal=journal)
+    done, entries = _asked(keyed, memo, config, "ocr", journal=journal, metrics=metrics)
     raw = F.when(F.col("error").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.lit(""))
     return done.withColumns({"raw": raw, "finish_reason": F.when(F.col("truncated"), F.lit("length")).otherwise(F.lit("stop"))}).select(*pages.columns, "raw", "finish_reason", "error"), entries
 
@@ -79,7 +81,7 @@ def ocr_pass(pages: DataFrame, config: RunConfig = RunConfig()) -> DataFrame:
     return chosen
 
 
-def refine_tables(parsed: DataFrame, memo: DataFrame, config: RunConfig = RunConfig(), journal: Journal | None = None) -> tuple[DataFrame, DataFrame]:
+def refine_tables(parsed: DataFrame, memo: DataFrame, config: RunConfig = RunConfig(), journal: Journal | None = None, metrics: Metrics | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages with restructured tables, new memo entries); a blob without an accepted answer stays, and only accepted tables are memoised.
 
     A blob whose region is known is sent as a crop of its page, any other with the whole page and its number among the page's tables.
@@ -94,7 +96,7 @@ def refine_tables(parsed: DataFrame, memo: DataFrame, config: RunConfig = RunCon
     prompted = placed.withColumn("prompt", X.fill(TABLE_PROMPT, locator=locator, page_text=F.col("page_text"), table_blob=F.col("blob")))
     box = F.when(cropped, F.col("region.bbox"))
     keyed = prompted.withColumns({"key": memo_op.table_key(F.col("prompt"), F.col("raster_sha256"), box, K.TABLE_CROP_PADDING, vlm_backend(config).identity()), "image": image_reference(F.col("raster_sha256"), F.col("px_box"))})
-    done, entries = _asked(keyed, memo, config, "vlm", lambda text, cut: F.when(~cut, T.accepted(F.col("blob"), text)), journal)
+    done, entries = _asked(keyed, memo, config, "vlm", lambda text, cut: F.when(~cut, T.accepted(F.col("blob"), text)), journal, metrics)
     answers = done.select("doc_id", "page_number", "start", "end", "blob", F.col("text").alias("answer"))
     return tables_op.splice_answers(parsed, answers, "doc_id", "page_number"), entries
 
@@ -104,7 +106,7 @@ def image_reference(raster: Column, box: Column) -> Column:
     return F.when(box.isNull(), raster).otherwise(F.concat(raster, F.lit("#"), F.concat_ws(",", *[box[c].cast("string") for c in ("x1", "y1", "x2", "y2")])))
 
 
-def describe_figures(parsed: DataFrame, memo: DataFrame, config: RunConfig = RunConfig(), journal: Journal | None = None) -> tuple[DataFrame, DataFrame]:
+def describe_figures(parsed: DataFrame, memo: DataFrame, config: RunConfig = RunConfig(), journal: Journal | None = None, metrics: Metrics | None = None) -> tuple[DataFrame, DataFrame]:
     """(figures with descriptions, new memo entries).  Figures too small to crop get none; a description that was cut off ends in a mark."""
     found = pages_op.figures(parsed, "doc_id", padding=config.figure.crop_padding)
     context = parsed.select("doc_id", "page_number", "raster_sha256", X.page_context(F.col("page_number"), X.strip_tokens(F.col("markdown")), config.figure.context_chars).alias("context"))
@@ -112,14 +114,14 @@ def describe_figures(parsed: DataFrame, memo: DataFrame, config: RunConfig = Run
     block = F.when(X.present(F.col("context")).isNull(), F.lit("")).otherwise(F.concat(F.lit(CONTEXT_BLOCK), F.col("context")))
     keyed = able.withColumns({"prompt": X.fill(IMAGE_PROMPT, context_block=block), "image": image_reference(F.col("raster_sha256"), F.col("px_box"))})
     keyed = keyed.withColumn("key", memo_op.figure_key(F.col("prompt"), raster_sha256=F.col("raster_sha256"), bbox=F.col("bbox"), padding=F.lit(config.figure.crop_padding), identity=vlm_backend(config).identity()))
-    done, entries = _asked(keyed, memo, config, "vlm", lambda text, cut: X.present(X.mark_truncated(X.rstrip(X.description_from_tags(text)), cut)), journal)
+    done, entries = _asked(keyed, memo, config, "vlm", lambda text, cut: X.present(X.mark_truncated(X.rstrip(X.description_from_tags(text)), cut)), journal, metrics)
     columns = ["doc_id", "page_number", "fig_id", "caption"]
     described = done.select(*columns, F.concat(F.lit("figures/"), F.col("fig_id"), F.lit(".png")).alias("crop_path"), F.col("text").alias("description"))
     small = found.filter("px_box is null").select(*columns, F.lit(None).cast("string").alias("crop_path"), F.lit(None).cast("string").alias("description"))
     return described.unionByName(small), entries
 
 
-def probe_documents(parsed: DataFrame, memo: DataFrame, config: RunConfig = RunConfig(), journal: Journal | None = None) -> tuple[DataFrame, DataFrame]:
+def probe_documents(parsed: DataFrame, memo: DataFrame, config: RunConfig = RunConfig(), journal: Journal | None = None, metrics: Metrics | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, probe) of each document, from its first page, and new memo entries; an answer that was cut off or can't be read is no probe and not memoised."""
     if config.bibtex.mode != "auto":
         return parsed.select("doc_id").distinct().withColumn("probe", C.probe_answer(F.lit(None).cast("string"))), memo.limit(0)
@@ -127,7 +129,7 @@ def probe_documents(parsed: DataFrame, memo: DataFrame, config: RunConfig = RunC
     text = X.truncated(X.strip_tokens(F.col("markdown")), K.PROBE_CHARS)
     keyed = front.select("doc_id", X.fill(PROBE_PROMPT, front=text).alias("prompt"), F.lit(None).cast("string").alias("image"))
     keyed = keyed.withColumn("key", memo_op.key_of("probe", vlm_backend(config).identity(), prompt=F.col("prompt")))
-    done, entries = _asked(keyed, memo, config, "vlm", lambda text, cut: F.when(~cut & C.probe_answer(text).isNotNull(), text), journal)
+    done, entries = _asked(keyed, memo, config, "vlm", lambda text, cut: F.when(~cut & C.probe_answer(text).isNotNull(), text), journal, metrics)
     return done.select("doc_id", C.probe_answer(F.col("text")).alias("probe")), entries
 
 
@@ -217,10 +219,12 @@ def run(pages: DataFrame, memo: DataFrame, config: RunConfig = RunConfig()) -> t
     return assemble(refined, described, config).join(refined_counts, "doc_id"), entries
 
 
-def _passes(pages: DataFrame, memo: DataFrame, config: RunConfig, journal: Journal | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    refined, table_entries = refine_tables(durable(ocr_pass(pages, config), "parsed"), memo, config, journal)
+def _passes(pages: DataFrame, memo: DataFrame, config: RunConfig, journal: Journal | None = None, metrics: Metrics | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    refined, table_entries = refine_tables(durable(ocr_pass(pages, config), "parsed"), memo, config, journal, metrics)
+    if metrics:
+        refined = metrics.watch(refined, pages=F.lit(1), figures=F.size(F.filter("regions", lambda r: r["figure"].isNotNull())), tables_refined=F.col("tables_refined"))
     refined = durable(refined, "refined")
-    described, figure_entries = describe_figures(refined, memo, config, journal)
+    described, figure_entries = describe_figures(refined, memo, config, journal, metrics)
     return refined, described, table_entries.unionByName(figure_entries, allowMissingColumns=True)
 
 
@@ -235,17 +239,19 @@ def crops_to_keep(described: DataFrame, config: RunConfig = RunConfig()) -> Data
     return kept
 
 
-def run_whole(pages: DataFrame, sources: DataFrame, memo: DataFrame, catalogs: Catalogs | None = None, config: RunConfig = RunConfig(), journal: Journal | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run_whole(pages: DataFrame, sources: DataFrame, memo: DataFrame, catalogs: Catalogs | None = None, config: RunConfig = RunConfig(), journal: Journal | None = None, metrics: Metrics | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files as ``finalize`` gives them, crops to keep, new memo entries) of raw pages and sources (doc_id, url, name): passes, probe, assembly, citation, names.
 
     A document is probed only where its entry needs that.  Names that clash are an error, as one file would silently replace the other.
+    ``metrics`` counts pages, figures, tables_refined, hits, misses and files as they are written.
     """
-    refined, described, entries = _passes(pages, memo, config, journal)
+    refined, described, entries = _passes(pages, memo, config, journal, metrics)
     probed = config if catalogs else replace(config, bibtex=replace(config.bibtex, mode="off"))
-    probes, probe_entries = probe_documents(refined, memo, probed, journal)
+    probes, probe_entries = probe_documents(refined, memo, probed, journal, metrics)
     counts = refined.groupBy("doc_id").agg(F.sum("tables_refined").alias("tables_refined"))
     documents = durable(assemble(refined, described, config).join(counts, "doc_id").join(sources.select("doc_id", "url", "name"), "doc_id", "left"), "documents")
-    files = durable(finalize(documents, entries_of(documents, probes, catalogs, config), config), "files")
+    files = finalize(documents, entries_of(documents, probes, catalogs, config), config)
+    files = durable(metrics.watch(files, files=F.lit(1)) if metrics else files, "files")
     taken = clashes(files).limit(1).collect()
     if taken:
         raise ValueError(f"several documents would write {taken[0]['file']}: {', '.join(map(str, taken[0]['documents'][:5]))}")

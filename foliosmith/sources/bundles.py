@@ -66,7 +66,7 @@ def read_bundles(spark: SparkSession, root: str, names: Sequence[str] | None = N
     """
     folders = [f"{root.rstrip('/')}/{n}{FOLDER}" for n in (["*"] if names is None else names)]
     read = spark.read.schema(MANIFEST).option("multiLine", "true").option("mode", "PERMISSIVE").json([f"{f}/manifest.json" for f in folders])
-    at = _plain(F.col("_metadata.file_path"))
+    at = _plain(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
     rows = read.withColumn("bundle", F.regexp_replace(at, r"/manifest\.json\z", ""))
     wrong = F.when(F.col("bundle_schema").isNull(), F.concat(F.col("bundle"), F.lit(": no bundle_schema"))).when(F.col("bundle_schema") > BUNDLE_SCHEMA, F.concat(F.col("bundle"), F.lit(": bundle of a newer schema")))
     gated = rows.withColumn("pages", F.when(wrong.isNotNull(), F.raise_error(wrong).cast(f"array<{PAGE}>")).otherwise(F.col("pages")))

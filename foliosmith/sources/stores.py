@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
+from urllib.parse import quote
 
 from pyarrow import fs
 
 
 def opened(root: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the folder in it."""
-    if "://" in root or root.startswith("file:"):
-        return fs.FileSystem.from_uri(root)
+    """The file system of a path or URI, and the place in it; URIs are as Spark shows them, with plain blanks and letters."""
+    if root.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub(r"\Afile:/+", "/", root)
+    if "://" in root:
+        return fs.FileSystem.from_uri(quote(root, safe="/:@?&=%+,~"))
     return fs.LocalFileSystem(), root
 
 

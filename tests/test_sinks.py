@@ -99,7 +99,7 @@ def bundle_files(root, docs=("a", "b"), pages=2):
 
 
 def test_bundles_round_trip(spark, tmp_path):
-    pages = parsed(spark)
+    pages, tmp_path = parsed(spark), tmp_path / "my bündles"
     files.write_texts(bundles.manifests(pages, "2024-01-01", {"backend": "stub"}, "grounding", 0.02), str(tmp_path))
     bundle_files(tmp_path)
     got = bundles.read_bundles(spark, str(tmp_path))
