@@ -22,7 +22,7 @@ _SETTLED = re.compile(r"[\x00-ɏΑ-ΡΣ-ώЀ-џ‐-‧‰-⁞₠-₵←-⇿ぁ-
 _CUT = re.compile(r"(?<=[!-~])(?=[ \t\n])")
 
 
-def _bytes_of_letters() -> dict[str, int]:
+def bytes_of_letters() -> dict[str, int]:
     """The byte that each letter of the byte-level alphabet stands for: printable Latin-1 for itself, then the rest from 256 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(own)))}
@@ -43,7 +43,7 @@ class BytePairs:
 
     def _fast(self, file: dict):
         """The same merges in the faster library, or nothing if the file has more than merges in the order of ids."""
-        split, model, letters = file.get("pre_tokenizer") or {}, file["model"], _bytes_of_letters()
+        split, model, letters = file.get("pre_tokenizer") or {}, file["model"], bytes_of_letters()
         plain = model.get("type") == "BPE" and not file.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         if not plain or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
             return None

@@ -17,102 +17,94 @@ partition * 2**40 + a count, so it is stable as long as the input partitions are
 from __future__ import annotations
 
 import re
-import struct
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .bytepairs import bytes_of_letters
 from .storage import frugal
 
 #: Bytes that an entry of a cache takes besides its contents.
 ENTRY = 180
-_SIMPLE = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+\Z")
+_SIMPLE = re.compile(r"[\x09-\x0d\x20-\x7eÀ-ÖØ-öø-ÿ]*\Z")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\sa-z\dß-öø-ÿ]+")
-
-
-def _byte_alphabet() -> dict[int, str]:
-    """The byte-level alphabet of public byte-pair vocabularies: printable Latin-1 stands for itself, other bytes come after 255 in order."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+#: Stands for the end of a word in what is merged; texts that hold it are not simple.
+END = "\x01"
+_GAP = re.compile(r"[\x09-\x0d\x20]")
 
 
 class WordTokenizer:
-    """Token ids of whole texts from a vocabulary that drops white space, by a cache of white-space separated chunks.
+    """Token ids of whole texts from a vocabulary that drops white space and marks the ends of words.
 
     The vocabulary's pre-tokenizer never joins text across white space, so the ids of a text are those of its chunks one after the other.
-    Chunks of plain Latin letters, digits and signs go straight to the vocabulary's merges; all others to the full tokenizer.
+    Plain Latin letters, digits and signs are taken apart here and merged by a faster library, many at once: the end of a word is a byte of its own there, which
+    merges with the letter before it first, as those pairs have the lowest ids of all.  Chunks with other characters go to the full tokenizer.
     """
 
     def __init__(self, path: str, limit: int = 64_000_000, longest: int = 64, stretch: int = 100_000):
-        """``limit``: bytes that the caches may hold, about; ``longest``: bytes of a chunk or word that is kept; ``stretch``: chunks looked up at once."""
+        """``limit``: bytes that the cache of other chunks may hold, about; ``longest``: bytes of a chunk that is kept; ``stretch``: characters that are merged at once."""
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.model = self.full.model
-        self.alphabet = _byte_alphabet()
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.limit, self.longest, self.stretch, self.held = limit, longest, stretch, 0
+        letters, suffix = bytes_of_letters(), self.full.model.end_of_word_suffix
         self.special = tuple(t.content for t in self.full.get_added_tokens_decoder().values())
+        ranks = {}
+        for token, k in self.full.get_vocab(with_added_tokens=False).items():
+            plain = token.removesuffix(suffix)
+            ranks[bytes(letters[c] for c in plain) + (END.encode() if plain != token else b"")] = k
+        if max(ranks[bytes([b, 1])] for b in range(256)) >= min(k for raw, k in ranks.items() if len(raw.removesuffix(b"\x01")) > 1):
+            raise ValueError(f"{path} does not merge ends of words first")
+        self.merge = tiktoken.Encoding("words", pat_str=f"[^{END}]+{END}", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.chunks: dict[str, bytes] = {}
+        self.limit, self.longest, self.stretch, self.held = limit, longest, stretch, 0
+
+    def _simple(self, text: str) -> bool:
+        return _SIMPLE.match(text) is not None and ("<" not in text or not any(s in text for s in self.special))
 
-    def _keep(self, cache: dict, key: bytes | str, value: bytes) -> None:
-        """Holds a value; an entry counts as its bytes and those of its objects."""
-        self.held += ENTRY + len(key) + len(value)
-        cache[key] = value
+    def _merged(self, text: str) -> bytes:
+        pieces = _PIECES.findall(text.lower())
+        return np.array(self.merge(END.join(pieces) + END), "<u4").tobytes() if pieces else b""
 
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
+    def _other(self, chunk: str) -> bytes:
+        """Ids of a chunk with other characters; those that are short are kept."""
+        found = self.chunks.get(chunk)
         if found is None:
-            tokens = self.model.tokenize(word if word.isascii() else "".join([self.alphabet[b] for b in word.encode()]))
-            found = _packed(len(tokens)).pack(*[t.id for t in tokens])
-            if len(word) <= self.longest:
-                self._keep(self.words, word, found)
+            found = np.array(self.full.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(chunk) <= self.longest:
+                if self.held > self.limit:
+                    self.chunks.clear()
+                    self.held = 0
+                self.chunks[chunk] = found
+                self.held += ENTRY + 4 * len(chunk) + len(found)
         return found
 
-    def chunk(self, raw: bytes) -> bytes:
-        """Little-endian 32-bit ids of one chunk without ASCII white space."""
-        text = raw.decode()
-        if _SIMPLE.match(text) and ("<" not in text or not any(s in text for s in self.special)):
-            text = text.lower()
-            return self._word(text) if text.isalpha() else b"".join([self._word(w) for w in _PIECES.findall(text)])
-        ids = self.full.encode(text, add_special_tokens=False).ids
-        return _packed(len(ids)).pack(*ids)
+    def _part(self, text: str) -> bytes:
+        if self._simple(text):
+            return self._merged(text)
+        out, run = [], []
+        for chunk in text.encode().split():  # white space of ASCII alone
+            chunk = chunk.decode()
+            if self._simple(chunk):
+                run.append(chunk)
+                continue
+            out += [self._merged(" ".join(run)), self._other(chunk)] if run else [self._other(chunk)]
+            run = []
+        return b"".join([*out, self._merged(" ".join(run))])
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a whole text."""
-        parts = text.encode().split()
-        if len(parts) <= self.stretch:
-            return self._ids(parts)
-        return b"".join([self._ids(parts[lo : lo + self.stretch]) for lo in range(0, len(parts), self.stretch)])
-
-    def _ids(self, parts: list[bytes]) -> bytes:
-        known = self.chunks
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            pass
-        if self.held > self.limit:
-            self.chunks.clear()
-            self.words.clear()
-            self.held = 0
-        long: dict[bytes, bytes] = {}
-        for p in set(parts):
-            if p not in known:
-                if len(p) <= self.longest:
-                    self._keep(known, p, self.chunk(p))
-                else:
-                    long[p] = self.chunk(p)
-        return b"".join([known[p] if p in known else long[p] for p in parts]) if long else b"".join([known[p] for p in parts])
-
-
-@cache
-def _packed(n: int) -> struct.Struct:
-    return struct.Struct(f"<{n}I")
+        out, at = [], 0
+        while len(text) - at > self.stretch:
+            cut = _GAP.search(text, at + self.stretch)
+            if not cut:
+                break
+            out.append(self._part(text[at : cut.start()]))
+            at = cut.start()
+        return b"".join([*out, self._part(text[at:])])
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
