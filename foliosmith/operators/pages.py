@@ -27,6 +27,9 @@ def zipped(pages: DataFrame, results: DataFrame, *keys: str) -> DataFrame:
     return pages.join(results, list(keys))
 
 
+REGIONS = "array<struct<label:string,bbox:struct<x1:double,y1:double,x2:double,y2:double>,text:string,figure:int>>"
+
+
 def layout_blocks(parsed: DataFrame, *keys: str) -> DataFrame:
     """(keys, block_idx, label, bbox, text, figure): one row a region, in page order from 0."""
     return parsed.select(*keys, F.posexplode("regions").alias("block_idx", "r")).select(*keys, "block_idx", "r.label", "r.bbox", "r.text", "r.figure")
@@ -52,8 +55,8 @@ def select_figures(parsed: DataFrame, detect: str, supports_grounding: bool = Tr
         clamped = lambda b: F.struct(*[F.greatest(F.least(b[c], F.lit(1.0)), F.lit(0.0)).alias(c) for c in ("x1", "y1", "x2", "y2")])
         ranked = F.array_sort(F.transform("embedded", lambda b, i: X.let(clamped(b), lambda c: F.struct(c["y1"].alias("y1"), i.alias("i"), c.alias("bbox")))))
         found = F.transform(ranked, lambda r, i: F.struct(F.lit("image").alias("label"), r["bbox"].alias("bbox"), F.lit(None).cast("string").alias("text"), (i + 1).alias("figure")))
-        plain = F.transform("regions", lambda r: F.struct(r["label"].alias("label"), r["bbox"].alias("bbox"), r["text"].alias("text"), F.lit(None).cast("int").alias("figure")))
-        return parsed.withColumn("regions", F.concat(plain, F.coalesce(found, F.array().cast(parsed.schema["regions"].dataType))))
+        plain = F.transform(F.coalesce(F.col("regions").cast(REGIONS), F.array().cast(REGIONS)), lambda r: F.struct(r["label"].alias("label"), r["bbox"].alias("bbox"), r["text"].alias("text"), F.lit(None).cast("int").alias("figure")))
+        return parsed.withColumn("regions", F.concat(plain, F.coalesce(found.cast(REGIONS), F.array().cast(REGIONS))))
     raise ValueError(f"unknown figure detection: {detect}")
 
 
