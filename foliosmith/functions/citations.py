@@ -36,13 +36,21 @@ def title_form(title: Column) -> Column:
     return let(normalize_title(title), lambda t: let(F.split(t, " "), lambda words: F.struct(t.alias("text"), words.alias("words"), F.array_distinct(words).alias("known"))))
 
 
+def shared_words(words: Column, known: Column) -> Column:
+    """How many of ``words``, repeats counted, are among the distinct ``known`` ones: both in one sorted list, each word right after its known twin."""
+    marked = lambda ws, side: F.transform(ws, lambda w: F.struct(w.alias("word"), F.lit(side).alias("side")))
+    state = lambda twin, n: F.struct(twin.alias("twin"), n.alias("n"))
+    step = lambda acc, x: F.when(x["side"] == 0, state(x["word"], acc["n"])).otherwise(state(acc["twin"], acc["n"] + F.coalesce(x["word"] == acc["twin"], F.lit(False)).cast("int")))
+    return F.aggregate(F.sort_array(F.concat(marked(known, 0), marked(words, 1))), state(F.lit(None).cast("string"), F.lit(0)), step, lambda acc: acc["n"])
+
+
 def forms_match(a: Column, b: Column) -> Column:
     """``titles_match`` of two title forms.  Words of a that b lacks are found by hashing; they are counted only if they may be few enough."""
     longest = F.greatest(F.size(a["words"]), F.size(b["known"]))
 
     def counted(unknown: Column) -> Column:
         most = F.size(a["words"]) - F.size(unknown)
-        shared = F.when(F.size(unknown) == 0, F.size(a["words"])).otherwise(F.size(F.filter(a["words"], lambda w: ~F.array_contains(unknown, w))))
+        shared = F.when(F.size(unknown) == 0, F.size(a["words"])).otherwise(shared_words(a["words"], b["known"]))
         return F.when(most / longest <= K.TITLE_SIMILARITY, F.lit(False)).otherwise(shared / longest > K.TITLE_SIMILARITY)
 
     short = (F.length(a["text"]) < K.TITLE_FLOOR) | (F.length(b["text"]) < K.TITLE_FLOOR)

@@ -6,9 +6,11 @@ from pyspark.sql import Column, functions as F
 
 from .. import constants as K
 from .layout import is_table
-from .text import lstrip, present, rstrip, strip, walk
+from .text import let, lstrip, present, rstrip, strip, walk
 
 BLOB = r"(?is)<table\b[^>]*>.*?</table\s*>"
+#: Replacements whose gaps are cut out of one stretch of text.
+SPLICE_BLOCK = 64
 
 
 def find_blobs(text: Column) -> Column:
@@ -36,22 +38,25 @@ def digits(text: Column) -> Column:
 def digit_coverage_ok(blob: Column, table: Column, least: float = K.DIGIT_COVERAGE) -> Column:
     """Whether a candidate keeps enough of a blob's digits, those in tags and entities aside."""
     had = digits(F.regexp_replace(F.regexp_replace(blob, r"<[^>]+>", " "), r"&#?\w+;", " "))
-    return (had == 0) | (digits(table) >= F.lit(least) * had)
+    return let(had, lambda n: (n == 0) | (digits(table) >= F.lit(least) * n))
 
 
 def sanitize(raw: Column) -> Column:
     """A pipe table out of a model's answer, without a code fence around it; null for anything else."""
-    bare = strip(raw)
-    body = F.nullif(F.regexp_extract(bare, r"(?s)\A```[A-Za-z]*\s*\n(.*?)\n?```\s*\z", 1), F.lit(""))
-    lines = F.filter(F.split(F.coalesce(strip(body), bare), "\n"), lambda line: strip(line) != "")
-    good = (F.size(lines) >= 2) & F.forall(lines, lambda line: lstrip(line).startswith("|"))
-    return F.when(good, F.array_join(F.transform(lines, strip), "\n"))
+
+    def unfenced(bare: Column) -> Column:
+        return F.coalesce(strip(present(F.regexp_extract(bare, r"(?s)\A```[A-Za-z]*\s*\n(.*?)\n?```\s*\z", 1))), bare)
+
+    def table(lines: Column) -> Column:
+        good = (F.size(lines) >= 2) & F.forall(lines, lambda line: line.startswith("|"))
+        return F.when(good, F.array_join(lines, "\n"))
+
+    return let(let(strip(raw), unfenced), lambda body: let(F.filter(F.transform(F.split(body, "\n"), strip), lambda line: line != ""), table))
 
 
 def accepted(blob: Column, answer: Column) -> Column:
     """The table to put in place of a blob, or null to keep the blob."""
-    table = sanitize(answer)
-    return F.when(digit_coverage_ok(blob, table), table)
+    return let(sanitize(answer), lambda table: F.when(digit_coverage_ok(blob, table), table))
 
 
 def page_context(text: Column) -> Column:
@@ -69,14 +74,34 @@ def locator(index: Column, count: Column) -> Column:
 
 
 def splice(text: Column, replacements: Column) -> Column:
-    """Puts (start, end, table) replacements in, last first, each parted from its neighbours by a blank line."""
+    """Puts (start, end, table) replacements in, each parted from its neighbours by a blank line.
+
+    The text is a list of segments, the gaps between replacements that don't overlap, and is put together once.  Gaps are cut out of stretches
+    of ``SPLICE_BLOCK`` replacements, as a cut reads its text from the beginning, so the time is in proportion to the page.
+    """
+
+    def segments(rs: Column) -> Column:
+        end = lambda at: F.when(at > 0, F.get(rs, at - 1)["end"]).otherwise(F.lit(0)).cast("int")
+        starts = F.sequence(F.lit(0), F.floor((F.size(rs) - 1) / SPLICE_BLOCK).cast("int"))
+
+        def stretch(k: Column) -> Column:
+            part = F.slice(rs, k * SPLICE_BLOCK + 1, F.lit(SPLICE_BLOCK))
+            base = end(k * SPLICE_BLOCK)
+            cut = F.substring(text, base + 1, end(k * SPLICE_BLOCK + F.size(part)) - base)
+            return let(F.struct(cut.alias("text"), base.alias("base"), part.alias("part")), pieces)
+
+        def pieces(s: Column) -> Column:
+            def one(r: Column, i: Column) -> Column:
+                before = F.when(i > 0, F.get(s["part"], i - 1)["end"]).otherwise(s["base"]).cast("int")
+                gap = F.substring(s["text"], before - s["base"] + 1, r["start"].cast("int") - before)
+                return F.array(present(F.when(before > 0, strip(gap)).otherwise(rstrip(gap))), present(strip(r["table"])))
+
+            return F.flatten(F.transform(s["part"], one))
 
-    def step(acc: Column, r: Column) -> Column:
-        before = rstrip(F.substring(acc, F.lit(1), r["start"].cast("int")))
-        after = lstrip(F.substring(acc, (r["end"] + 1).cast("int"), F.length(acc)))
-        return F.concat_ws("\n\n", present(before), present(strip(r["table"])), present(after))
+        last = present(lstrip(F.substring(text, end(F.size(rs)) + 1, F.length(text))))
+        return F.array_join(F.concat(F.flatten(F.transform(starts, stretch)), F.array(last)), "\n\n")
 
-    return F.aggregate(F.sort_array(replacements, asc=False), text, step)
+    return let(F.sort_array(replacements), lambda rs: F.when(F.size(rs) > 0, segments(rs)).otherwise(text))
 
 
 def match_regions(blobs: Column, regions: Column) -> Column:

@@ -24,8 +24,8 @@ def walk(items: Column, state: Column, step: Callable[[Column, Column], Column],
 
     The walk goes block by block, so that no long array is copied at each item and its time is in proportion to the items.
     """
-    count = F.when(F.size(items) > 0, F.floor((F.size(items) - 1) / WALK_BLOCK)).otherwise(0).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), count), lambda k: F.slice(items, k * WALK_BLOCK + 1, F.lit(WALK_BLOCK)))
+    count = lambda its: F.when(F.size(its) > 0, F.floor((F.size(its) - 1) / WALK_BLOCK)).otherwise(0).cast("int")
+    blocks = let(items, lambda its: F.transform(F.sequence(F.lit(0), count(its)), lambda k: F.slice(its, k * WALK_BLOCK + 1, F.lit(WALK_BLOCK))))
     struct = lambda state, out: F.struct(state.alias("state"), out.alias("out"))
 
     def one(acc: Column, item: Column) -> Column:

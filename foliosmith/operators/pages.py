@@ -32,12 +32,13 @@ REGIONS = "array<struct<label:string,bbox:struct<x1:double,y1:double,x2:double,y
 
 def layout_blocks(parsed: DataFrame, *keys: str) -> DataFrame:
     """(keys, block_idx, label, bbox, text, figure): one row a region, in page order from 0."""
-    return parsed.select(*keys, F.posexplode("regions").alias("block_idx", "r")).select(*keys, "block_idx", "r.label", "r.bbox", "r.text", "r.figure")
+    # An outer explode, as of a plain one the optimizer makes a filter that parses every page again.
+    return parsed.select(*keys, F.posexplode_outer("regions").alias("block_idx", "r")).filter("r is not null").select(*keys, "block_idx", "r.label", "r.bbox", "r.text", "r.figure")
 
 
 def figures(parsed: DataFrame, *keys: str, page: str = "page_number", width: str = "width_px", height: str = "height_px", padding: float = 0.0) -> DataFrame:
     """(keys, page, fig_id, caption, bbox, px_box): figures with their padded pixel box, null if too small to crop."""
-    rows = parsed.select(*keys, page, width, height, F.explode(F.filter("regions", lambda r: r["figure"].isNotNull())).alias("r"))
+    rows = parsed.select(*keys, page, width, height, F.explode_outer(F.filter("regions", lambda r: r["figure"].isNotNull())).alias("r")).filter("r is not null")
     return rows.select(*keys, page, L.figure_id(F.col(page), F.col("r.figure")).alias("fig_id"), F.col("r.text").alias("caption"), F.col("r.bbox").alias("bbox"), L.pixel_box(F.col("r.bbox"), F.col(width), F.col(height), padding).alias("px_box"))
 
 

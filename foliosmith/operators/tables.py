@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
-from ..functions import layout as L, tables as T
+from ..functions import layout as L, tables as T, text as X
 
 
 def page_blobs(pages: DataFrame, *keys: str, text: str = "markdown", regions: str | None = "regions") -> DataFrame:
     """(keys, blob_idx, blobs_on_page, start, end, blob, refinable, region): every blob, numbered from 1 among all of the page; refinable ones with their region."""
-    found = pages.withColumn("__blobs", T.find_blobs(F.col(text)))
-    able = F.filter("__blobs", lambda b: T.is_refinable(b["blob"]))
-    if regions:
+    nothing = F.lit(None).cast("int")
+
+    def placed(bs: Column) -> Column:
+        if not regions:
+            return F.transform(bs, lambda b, i: F.struct((i + 1).alias("at"), b.alias("b"), nothing.alias("r")))
+        able = F.filter(bs, lambda b: b["refinable"])
         matched = T.match_regions(F.transform(able, lambda b: b["blob"]), F.col(regions))
-        pairs = F.arrays_zip(able.alias("b"), matched.alias("r"))
-        found = found.withColumn("__pairs", F.transform(pairs, lambda p: F.struct(p["b"]["start"].alias("start"), p["r"].alias("r"))))
-    else:
-        found = found.withColumn("__pairs", F.transform(able, lambda b: F.struct(b["start"].alias("start"), F.lit(None).cast("int").alias("r"))))
-    rows = found.select(*keys, "__pairs", F.size("__blobs").alias("blobs_on_page"), *([regions] if regions else []), F.posexplode("__blobs").alias("__at", "b"))
-    at = F.get(F.filter("__pairs", lambda p: p["start"] == F.col("b.start")), 0)["r"]
-    region = F.when(at.isNotNull(), F.get(F.col(regions), at)) if regions else F.lit(None).cast("string")
-    return rows.select(*keys, (F.col("__at") + 1).alias("blob_idx"), "blobs_on_page", F.col("b.start").alias("start"), F.col("b.end").alias("end"), F.col("b.blob").alias("blob"), T.is_refinable(F.col("b.blob")).alias("refinable"), region.alias("region"))
+        numbers = lambda m: F.transform(bs, lambda b, i: F.struct((i + 1).alias("at"), b.alias("b"), F.when(b["refinable"], F.element_at(m, b["start"])).alias("r")))
+        return X.let(F.map_from_arrays(F.transform(able, lambda b: b["start"]), matched), numbers)
+
+    guarded = F.transform(T.find_blobs(F.col(text)), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["blob"].alias("blob"), T.is_refinable(b["blob"]).alias("refinable")))
+    # An outer explode, as of a plain one the optimizer makes a filter that finds all blobs again.
+    rows = pages.select(*keys, *([regions] if regions else []), F.explode_outer(X.let(guarded, lambda bs: X.let(placed(bs), lambda p: F.transform(p, lambda x: F.struct(x["at"].alias("blob_idx"), F.size(p).alias("blobs_on_page"), x["b"].alias("b"), x["r"].alias("r")))))).alias("__x")).filter("__x is not null")
+    region = F.when(F.col("__x.r").isNotNull(), F.get(F.col(regions), F.col("__x.r"))) if regions else F.lit(None).cast("string")
+    return rows.select(*keys, "__x.blob_idx", "__x.blobs_on_page", "__x.b.start", "__x.b.end", "__x.b.blob", "__x.b.refinable", region.alias("region"))
 
 
 def crop_boxes(blobs: DataFrame, width: str = "width_px", height: str = "height_px") -> DataFrame:
@@ -31,8 +34,8 @@ def crop_boxes(blobs: DataFrame, width: str = "width_px", height: str = "height_
 
 def splice_answers(pages: DataFrame, answers: DataFrame, *keys: str, text: str = "markdown") -> DataFrame:
     """Puts the accepted answers (keys, start, end, blob, answer) in place of their blobs; a rejected answer keeps its blob.  Adds ``tables_refined``."""
-    table = T.accepted(F.col("blob"), F.col("answer"))
-    good = answers.withColumn("table", table).filter("table is not null").groupBy(*keys).agg(F.collect_list(F.struct("start", "end", "table")).alias("__tables"))
+    table = X.let(T.accepted(F.col("blob"), F.col("answer")), lambda t: F.when(t.isNotNull(), F.struct("start", "end", t.alias("table"))))
+    good = answers.groupBy(*keys).agg(F.collect_list(table).alias("__tables"))
     joined = pages.join(good, list(keys), "left")
-    done = F.when(F.col("__tables").isNull(), F.col(text)).otherwise(T.splice(F.col(text), F.col("__tables")))
+    done = F.when(F.coalesce(F.size("__tables"), F.lit(0)) == 0, F.col(text)).otherwise(T.splice(F.col(text), F.col("__tables")))
     return joined.withColumn(text, done).withColumn("tables_refined", F.coalesce(F.size("__tables"), F.lit(0))).select(*pages.columns, "tables_refined")

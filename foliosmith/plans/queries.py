@@ -253,13 +253,16 @@ def citation_entry(spark, sf_dir):
     return rows.select("doc_id", C.citation_key(F.col("title"), authors, F.col("year")).alias("cite_key"), C.best_effort_entry(F.col("title"), authors, F.col("year"), F.col("venue"), "2024").alias("bibtex"))
 
 
+HITS = """
+SELECT doc_id, 'doubled' AS hit, text || ' ' || text AS title, text AS cited FROM {documents}
+UNION ALL SELECT doc_id, 'next', a.text, b.text FROM {documents} AS a JOIN (SELECT doc_id - 1 AS doc_id, text FROM {documents}) AS b USING (doc_id)
+UNION ALL SELECT doc_id, 'spaced', text, '  ' || replace(text, ' ', '  ') || '!!' FROM {documents}
+UNION ALL SELECT doc_id, 'thinned', text, replace(text, 'e ', 'e') FROM {documents}"""
+
+
 def title_match(spark, sf_dir):
-    """Every pair a < b of documents with the same first 60 characters, and whether it matches: a sample of ``title_links``, quadratic in such a group."""
-    rows = frame(spark, sf_dir, "SELECT doc_id, text, left(text, 60) AS head FROM {documents}")
-    several = rows.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head")
-    formed = rows.join(several, "head").select("doc_id", "head", C.title_form(F.col("text")).alias("form"))
-    a, b = formed.select(F.col("doc_id").alias("a"), F.col("form").alias("fa"), "head"), formed.select(F.col("doc_id").alias("b"), F.col("form").alias("fb"), "head")
-    return a.join(b, "head").filter("a < b").select("a", "b", C.forms_match(F.col("fa"), F.col("fb")).alias("matches"))
+    """Each whole text as a title against four hits of a search for it: half of it, the next text, itself in other spacing, itself with words run together."""
+    return frame(spark, sf_dir, HITS).select("doc_id", "hit", C.titles_match(F.col("title"), F.col("cited")).alias("matches"))
 
 
 def title_links(spark, sf_dir):
@@ -469,7 +472,7 @@ SELECT CAST(doc AS VARCHAR) AS doc_id, sha256(md) AS markdown_sha256, CAST(lengt
 )
 
 ORACLE_SQL: dict[str, str] = {
-    name: _oracle(sql, RAW=RAW, PAGES=PAGES, DOCS=DOCS, TABLE_ROWS=TABLE_ROWS, URLS=URLS, ANSWERS=ANSWERS, CITED=CITED, WHOLE=WHOLE)
+    name: _oracle(sql, RAW=RAW, PAGES=PAGES, DOCS=DOCS, TABLE_ROWS=TABLE_ROWS, URLS=URLS, ANSWERS=ANSWERS, CITED=CITED, WHOLE=WHOLE, HITS=HITS)
     for name, sql in {
         "layout_blocks": _BLOCKS + "SELECT doc_id, CAST(i - 1 AS INT) AS block_idx, label, round(x1, 9) AS x1, round(y1, 9) AS y1, round(x2, 9) AS x2, round(y2, 9) AS y2, sha256(coalesce(text, '')) AS text_sha256, CAST(length(text) AS INT) AS n_chars, figure FROM z",
         "page_markdown": _MARKDOWN + "SELECT doc_id, sha256(md) AS markdown_sha256, CAST(length(md) AS INT) AS n_chars FROM p",
@@ -530,8 +533,8 @@ ORACLE_SQL: dict[str, str] = {
         "probe_parse": """SELECT event_id, CASE event_id % 8 WHEN 0 THEN true WHEN 2 THEN false WHEN 7 THEN true END AS citable, CASE event_id % 8 WHEN 0 THEN 'T' || event_id WHEN 7 THEN 'x' END AS title,
             CASE event_id % 8 WHEN 0 THEN 'A' WHEN 2 THEN '' WHEN 7 THEN '' END AS authors, CASE event_id % 8 WHEN 0 THEN '2023' WHEN 2 THEN '1999' END AS year, CASE event_id % 8 WHEN 2 THEN 'V' WHEN 7 THEN event_type END AS venue FROM events""",
         "citation_entry": f"WITH c AS (@CITED@), k AS (SELECT *, {_KEY} AS cite_key FROM c) SELECT doc_id, cite_key, '% NOTE: Best-effort entry generated from the document''s own front matter' || chr(10) || '% (no citation database was consulted). Verify before use.' || chr(10) || '%' || chr(10) || '@misc{{' || cite_key || ',' || chr(10) || '  title={{' || {_ESCAPED('title')} || '}},' || chr(10) || '  author={{' || {_ESCAPED('author')} || '}},' || chr(10) || '  year={{' || year || '}},' || chr(10) || '  note={{' || {_ESCAPED('venue')} || '}}' || chr(10) || '}}' AS bibtex FROM k".replace("{{", "{").replace("}}", "}"),
-        "title_match": f"""WITH r AS (SELECT doc_id, {_NORM('text')} AS t, left(text, 60) AS head FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.t AS ta, b.t AS tb, string_split(a.t, ' ') AS wa, list_distinct(string_split(b.t, ' ')) AS wb FROM r a JOIN r b ON a.head = b.head AND a.doc_id < b.doc_id)
-            SELECT a, b, CASE WHEN length(ta) < 10 OR length(tb) < 10 THEN ta = tb ELSE len(list_filter(wa, lambda w: list_contains(wb, w))) / greatest(len(wa), len(wb)) > 0.75 END AS matches FROM p""",
+        "title_match": f"""WITH h AS (@HITS@), r AS (SELECT doc_id, hit, {_NORM("coalesce(title, '')")} AS ta, {_NORM("coalesce(cited, '')")} AS tb FROM h), p AS (SELECT *, string_split(ta, ' ') AS wa, list_distinct(string_split(tb, ' ')) AS wb FROM r)
+            SELECT doc_id, hit, CASE WHEN length(ta) < 10 OR length(tb) < 10 THEN ta = tb ELSE len(list_filter(wa, lambda w: list_contains(wb, w))) / greatest(len(wa), len(wb)) > 0.75 END AS matches FROM p""",
         "memo_table_lookup": "SELECT doc_id, min(doc_id % 3) OVER (PARTITION BY text, lang) = 0 AS found FROM documents",
         "embedded_figures": """
             WITH p AS (SELECT l_orderkey, l_linenumber, CAST(l_orderkey % 9 AS DOUBLE) AS a, CAST(max(l_partkey) % 7 AS DOUBLE) AS b FROM lineitem GROUP BY l_orderkey, l_linenumber),
