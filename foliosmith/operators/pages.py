@@ -63,12 +63,19 @@ def select_figures(parsed: DataFrame, detect: str, supports_grounding: bool = Tr
 
 def stitch_pages(pages: DataFrame, doc: str, page: str, text: str, page_numbers: bool = False, page_separators: bool = False, normalize: bool = True) -> DataFrame:
     """(doc, markdown): pages in order, each stripped of outer line ends, parted by a blank line or a rule."""
-    body = X.strip_newlines(X.normalize_line_breaks(F.col(text)) if normalize else F.col(text))
-    if page_numbers:
-        body = F.concat(F.lit("#### Page "), F.col(page).cast("string"), F.lit("\n\n"), body)
-    made = pages.select(doc, F.col(page).alias("__page"), body.alias("__body"))
+    made = pages.select(doc, F.col(page).alias("__page"), page_body(F.col(text), F.col(page), page_numbers, normalize).alias("__body"))
     ordered = F.array_sort(F.collect_list(F.struct("__page", "__body")))
-    return made.groupBy(doc).agg(F.array_join(F.transform(ordered, lambda p: p["__body"]), "\n\n---\n\n" if page_separators else "\n\n").alias("markdown"))
+    return made.groupBy(doc).agg(joined_bodies(F.transform(ordered, lambda p: p["__body"]), page_separators).alias("markdown"))
+
+
+def page_body(text: Column, page: Column, page_numbers: bool = False, normalize: bool = True) -> Column:
+    """What a page adds to its document."""
+    body = X.strip_newlines(X.normalize_line_breaks(text) if normalize else text)
+    return F.concat(F.lit("#### Page "), page.cast("string"), F.lit("\n\n"), body) if page_numbers else body
+
+
+def joined_bodies(bodies: Column, page_separators: bool = False) -> Column:
+    return F.array_join(bodies, "\n\n---\n\n" if page_separators else "\n\n")
 
 
 def _ends(text: Column) -> tuple[Column, Column]:
