@@ -18,7 +18,7 @@ component with its many are compared with all of the list: where texts share a r
 Sets are compared by 64-bit hashes of their shingles.
 
 Defined results: null, empty and blank texts have an empty set, size 0, and link with nothing, as do rows with a null id; repeated
-rows are in one class (an id names one text); an empty input gives an empty output; extra columns are ignored.
+rows are in one class (an id names one text) and count as one posting and one set; an empty input gives an empty output; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def unpack(raw: pa.Buffer) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(class_id, shingles as sorted 64-bit hashes) of the wanted ids; a row for each row of a repeated id."""
+    """(class_id, shingles as sorted 64-bit hashes) of the wanted ids, one row an id; only sets of ids that come again are shuffled for that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,18 +129,24 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: s
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), n)], pa.binary())], names=["class_id", "shingles"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("class_id"), F.col(text_col).alias("__text")).join(small_or_not(wanted), "class_id", "left_semi")
-    return rows.select("class_id", "__text").mapInArrow(frugal(run), "class_id long, shingles binary")
+    sets = written(rows.select("class_id", "__text").mapInArrow(frugal(run), "class_id long, shingles binary"), "sets")
+    again = written(sets.groupBy("class_id").agg(F.count("*").alias("n")).filter("n > 1").select("class_id"), "again")
+    if again.isEmpty():
+        return sets
+    few = small_or_not(again)
+    one = sets.join(few, "class_id", "left_semi").groupBy("class_id").agg(F.min("shingles").alias("shingles"))
+    return written(sets.join(few, "class_id", "left_anti").unionByName(one), "sets")
 
 
 def shingle_lists(postings: DataFrame, longest: int) -> DataFrame:
-    """(shingle, group_id, info, long) of the shingles that several groups have, or one group of several classes.
+    """(shingle, group_id, info, long) of the shingles that several groups have, or one group of several classes; one row for each group, however many rows its id has.
 
     Sorted streams: a list is held only up to ``longest`` rows; from then on its rows pass through, marked long.
     """
     names = ["shingle", "group_id", "info", "long"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, mark, passed = [], None, False
+        held, mark, passed, seen = [], None, False, None
 
         def out(parts: list, flag: bool) -> pa.RecordBatch:
             whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
@@ -150,7 +156,16 @@ def shingle_lists(postings: DataFrame, longest: int) -> DataFrame:
             return (part.column(2).to_numpy() & 1) == 0
 
         for batch in batches:
-            keys = batch.column(0).to_numpy()
+            keys, owners = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(keys):
+                continue
+            fresh = np.concatenate([[(keys[0], owners[0]) != seen], (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])])
+            seen = keys[-1], owners[-1]
+            if not fresh.all():
+                batch = batch.filter(pa.array(fresh))
+                keys = batch.column(0).to_numpy()
+                if not len(keys):
+                    continue
             cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             low, high = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
             if mark is not None and keys[0] != mark:
@@ -182,7 +197,7 @@ def shingle_lists(postings: DataFrame, longest: int) -> DataFrame:
             yield out(held, False)
 
     count = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return postings.select(*names[:3]).repartition(count, "shingle").sortWithinPartitions("shingle").mapInArrow(frugal(run), "shingle long, group_id long, info long, long boolean")
+    return postings.select(*names[:3]).repartition(count, "shingle").sortWithinPartitions("shingle", "group_id").mapInArrow(frugal(run), "shingle long, group_id long, info long, long boolean")
 
 
 def group_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -368,7 +383,7 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int, longest: int,
     centres = written(long_lists.groupBy("shingle").agg(F.min("class_id").alias("a")), "centres")
     star = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(long_lists.join(centres, "shingle").filter("a < class_id").select("a", F.col("class_id").alias("b")).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).unionByName(long_lists.select("class_id")).distinct()
-    sets = written(sets_of(docs, written(wanted, "wanted"), n, id_col, text_col), "sets")
+    sets = sets_of(docs, written(wanted, "wanted"), n, id_col, text_col)
     verified = lambda some: _with_sets(written(some, "star"), sets).mapInArrow(frugal(_verify_pairs(percent)), "a long, b long")
     near = written(verified(star), "near")
     roots = near_roots(near)
