@@ -138,8 +138,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: s
     return written(sets.join(few, "class_id", "left_anti").unionByName(one), "sets")
 
 
-def shingle_lists(postings: DataFrame, longest: int) -> DataFrame:
-    """(shingle, group_id, info, long) of the shingles that several groups have, or one group of several classes; one row for each group, however many rows its id has.
+def shingle_lists(postings: DataFrame, longest: int, every: bool = False) -> DataFrame:
+    """(shingle, group_id, info, long) of the shingles that several groups have, or one group of several classes; one row for each group, however many rows its id has,
+    or ``every`` row where the rows of a group differ.
 
     Sorted streams: a list is held only up to ``longest`` rows; from then on its rows pass through, marked long.
     """
@@ -155,21 +156,24 @@ def shingle_lists(postings: DataFrame, longest: int) -> DataFrame:
         def lone(part: pa.RecordBatch) -> np.ndarray:
             return (part.column(2).to_numpy() & 1) == 0
 
+        def shared(parts: list) -> bool:
+            return bool(parts) and (parts[0].column(1)[0].as_py() != parts[-1].column(1)[-1].as_py() or not lone(parts[0]).all())
+
         for batch in batches:
             keys, owners = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(keys):
                 continue
             fresh = np.concatenate([[(keys[0], owners[0]) != seen], (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])])
             seen = keys[-1], owners[-1]
-            if not fresh.all():
+            if not every and not fresh.all():
                 batch = batch.filter(pa.array(fresh))
-                keys = batch.column(0).to_numpy()
+                keys, owners = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 if not len(keys):
                     continue
             cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             low, high = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
             if mark is not None and keys[0] != mark:
-                if held and (sum(p.num_rows for p in held) > 1 or not lone(held[0]).all()):
+                if shared(held):
                     yield out(held, False)
                 held, passed = [], False
             ends = high - low
@@ -177,14 +181,15 @@ def shingle_lists(postings: DataFrame, longest: int) -> DataFrame:
             inner[-1] = False
             if held or passed:
                 inner[0] = False
-            lists = inner & (ends <= longest) & ((ends > 1) | ~lone(batch)[low])
-            far = inner & (ends > longest)
+            several = owners[low] != owners[high - 1]
+            lists = inner & (ends <= longest) & (several | ~lone(batch)[low])
+            far = inner & (ends > longest) & several
             for which, flag in ((lists, False), (far, True)):
                 if which.any():
                     yield out([batch.filter(pa.array(np.repeat(which, ends)))], flag)
             for k in sorted({0, len(low) - 1} - set(np.flatnonzero(inner).tolist())):
                 if mark is not None and keys[low[k]] != mark:
-                    if held and (sum(p.num_rows for p in held) > 1 or not lone(held[0]).all()):
+                    if shared(held):
                         yield out(held, False)
                     held, passed = [], False
                 mark = keys[low[k]]
@@ -193,7 +198,7 @@ def shingle_lists(postings: DataFrame, longest: int) -> DataFrame:
                     yield out(held, True)
                     held, passed = [], True
             mark = keys[-1]
-        if held and (sum(p.num_rows for p in held) > 1 or not lone(held[0]).all()):
+        if shared(held):
             yield out(held, False)
 
     count = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -5,15 +5,15 @@ A window is ``length`` consecutive words of one text; a word goes if a window ov
 
 1. Runs: each window belongs to the least hash among its ``GRAM``-word grams, so equal windows have equal minimizers.  Consecutive windows of one minimizer form a run.
    What repeats within a text, or as a whole run within a task's batch, is settled on the spot; only first copies go on.
-2. Sorted streams by minimizer keep the runs whose minimizer several runs have.  Where very many have it, their windows go on one by one; a minimizer that
+2. Sorted streams by minimizer keep every run, also those of one text, whose minimizer several texts have.  Where very many have it, their windows go on one by one; a minimizer that
    a task sees very often does not enter those streams, so a passage that many texts have in differing surroundings is no hot key.
 3. The words of those runs come from the texts, as 32-bit codes, and are dealt to shards by minimizer (single windows: by their own hash).  Whole copies are settled by sorting.
 4. Each shard of about ``SHARD`` words gets a compressed FM-index: backward search over its wavelet matrix gives each window's matching statistics and
    suffix interval; a window goes if its interval holds an earlier start.  Intervals of words above the threshold go back to their texts.
 
 So a text meets only shards that can match it, and cost stays in proportion to the input.  No group is held in full: streams hold at most a shard, and of equal windows
-a task's batch ships the words once.  Words are told apart by 64-bit hashes, within a minimizer's or window's shard by 32 bits of them.  Defined results: null and empty texts have no words; rows with a null id lose only nothing and
-remove nothing; an id names one text (repeated rows are the same place); an empty input gives an empty output; extra columns are ignored.
+a task's batch ships the words once.  Words are told apart by 64-bit hashes, within a minimizer's or window's shard by 32 bits of them.  Defined results: null and empty texts have no words; rows with a null id lose only
+what repeats within them and remove nothing elsewhere; an id names one text (repeated rows are the same place); an empty input gives an empty output; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,11 +89,12 @@ def find_runs(ids: pa.Array, texts: pa.Array, length: int) -> Iterator[tuple[np.
 
 
 def _later_copies(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which entries have an equal hash at an earlier place."""
+    """Which entries have an equal hash at an earlier place; entries of one place are none to each other."""
     order = np.lexsort((starts, ids, hashes))
-    same = hashes[order][1:] == hashes[order][:-1]
+    new = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])[: len(order)]
+    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
     later = np.zeros(len(hashes), dtype=bool)
-    later[order[1:]] = same
+    later[order] = (ids[order] != ids[head]) | (starts[order] != starts[head])
     return later
 
 
@@ -204,10 +205,12 @@ def _shards(length: int, shard: int):
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(ids, np.int64)), pa.array(np.asarray(starts, np.int64)), pa.array(np.asarray(sizes, np.int64))], names=["doc_id", "start", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, starts, sizes, codes, total, last = [], [], [], [], 0, (None, None)
+        ids, starts, sizes, codes, total, last, place = [], [], [], [], 0, (None, None), (None, None)
         for batch in batches:
             gone: tuple[list, list, list] = ([], [], [])
             for key, mark, doc, start, size, code in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5)):
+                if (key, mark) == last and (doc, start) == place:
+                    continue
                 if not code.is_valid or (key, mark) == last:
                     for column, value in zip(gone, (doc, start, size)):
                         column.append(value)
@@ -215,7 +218,7 @@ def _shards(length: int, shard: int):
                 if total >= shard and key != last[0]:
                     yield rows(*search_shard(np.array(ids), np.array(starts), np.array(sizes), codes, length))
                     ids, starts, sizes, codes, total = [], [], [], [], 0
-                last = (key, mark)
+                last, place = (key, mark), (doc, start)
                 ids.append(doc)
                 starts.append(start)
                 sizes.append(size)
@@ -235,7 +238,7 @@ def repeated_windows(docs: DataFrame, length: int = 20, shard: int = SHARD) -> D
     runs = written(runs_of(docs, length), "runs")
     live = runs.filter("not gone").select(F.col("minimizer").alias("shingle"), F.col("doc_id").alias("group_id"), F.shiftleft(F.col("start").cast("long"), 22).bitwiseOR(F.shiftleft(F.col("windows").cast("long"), 1)).alias("info"))
     hot = small_or_not(written(hot_minimizers(runs), "hot").withColumnRenamed("minimizer", "shingle"))
-    met = written(shingle_lists(live.join(hot, "shingle", "left_anti"), LONGEST).unionByName(live.join(hot, "shingle", "left_semi").withColumn("long", F.lit(True))), "met")
+    met = written(shingle_lists(live.join(hot, "shingle", "left_anti"), LONGEST, every=True).unionByName(live.join(hot, "shingle", "left_semi").withColumn("long", F.lit(True))), "met")
     by_doc = met.groupBy(F.col("group_id").alias("doc_id")).agg(F.collect_list(F.struct("info", "shingle", "long")).alias("runs"))
     segments = docs.join(by_doc, "doc_id").select("doc_id", "text", "runs").mapInArrow(frugal(_segments(length)), "key long, hash long, doc_id long, start int, windows int, codes binary")
     found = segments.repartition(count, "key").sortWithinPartitions("key", "hash", "doc_id", "start").mapInArrow(frugal(_shards(length, shard)), "doc_id long, start long, windows long")
@@ -252,16 +255,18 @@ def deduplicate(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 words, removed, spans, kept = [], [], [], []
-                for text, gone in zip(part.column(1), part.column(2)):
+                for doc, text, gone in zip(*part.columns):
                     found = (text.as_py() or "").encode().split()
                     merged: list[list[int]] = []
-                    if gone.is_valid:
-                        flat = gone.values
-                        for a, b in sorted(zip(flat.field(0).to_pylist(), flat.field(1).to_pylist())):
-                            if merged and a <= merged[-1][1]:
-                                merged[-1][1] = max(b, merged[-1][1])
-                            else:
-                                merged.append([a, b])
+                    if not doc.is_valid:
+                        lost = [(a, a + n + length - 1) for again, _, _, start, size, _ in find_runs(pa.array([0]), pa.array([text.as_py()], pa.string()), length) for a, n in zip(start[again].tolist(), size[again].tolist())]
+                    else:
+                        lost = zip(gone.values.field(0).to_pylist(), gone.values.field(1).to_pylist()) if gone.is_valid else []
+                    for a, b in sorted(lost):
+                        if merged and a <= merged[-1][1]:
+                            merged[-1][1] = max(b, merged[-1][1])
+                        else:
+                            merged.append([a, b])
                     words.append(len(found))
                     removed.append(sum(b - a for a, b in merged))
                     spans.append([{"start": a, "end": b} for a, b in merged])
