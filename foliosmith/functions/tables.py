@@ -104,6 +104,12 @@ def splice(text: Column, replacements: Column) -> Column:
     return let(F.sort_array(replacements), lambda rs: F.when(F.size(rs) > 0, segments(rs)).otherwise(text))
 
 
+def region_texts(regions: Column) -> Column:
+    """The regions with the texts that ``match_regions`` and figures' captions need: of tables, of what follows a table, and of figures."""
+    needed = lambda r, i: r["figure"].isNotNull() | is_table(r["label"]) | ((i > 0) & F.coalesce(is_table(F.get(regions, i - 1)["label"]), F.lit(False)))
+    return F.transform(regions, lambda r, i: r.withField("text", F.when(F.coalesce(needed(r, i), F.lit(False)), r["text"])))
+
+
 def match_regions(blobs: Column, regions: Column) -> Column:
     """For each blob, in order, the region it belongs to, or null: of the unused table regions with a wide enough box, the first
     whose anchor (its text, else the following region's) equals the blob, else the first whose anchor holds it.  A fold over the blobs."""

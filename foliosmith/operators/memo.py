@@ -45,7 +45,7 @@ def newest(entries: DataFrame, value_schema: int, key: str = "key") -> DataFrame
     return sound.groupBy(F.col(key)).agg(last).select(key, "__newest.text", "__newest.truncated")
 
 
-def look_up(items: DataFrame, memo: DataFrame, value_schema: int, key: str = "key", watch: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+def look_up(items: DataFrame, memo: DataFrame, value_schema: int, key: str = "key", watch: Callable[[DataFrame], DataFrame] = lambda rows: rows, compression: str | None = None) -> DataFrame:
     """The items with ``text`` and ``truncated`` of their entries, and whether there is one (``__hit``); written, so the memo is read once.
 
     Only entries of keys that are asked for are grouped: the keys are written first, so that a few of them are broadcast to the memo's rows.  Of a
@@ -53,18 +53,19 @@ def look_up(items: DataFrame, memo: DataFrame, value_schema: int, key: str = "ke
     """
     keys = durable(items.select(key).distinct(), "asked")
     found = newest(memo.join(keys, key, "left_semi"), value_schema, key).withColumn("__hit", F.lit(True))
-    return durable(watch(items.join(found, key, "left").withColumn("__hit", F.col("__hit").isNotNull())), "looked-up")
+    return durable(watch(items.join(found, key, "left").withColumn("__hit", F.col("__hit").isNotNull())), "looked-up", compression)
 
 
-def split_hits(items: DataFrame, memo: DataFrame, value_schema: int, key: str = "key", watch: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[DataFrame, DataFrame]:
+def split_hits(items: DataFrame, memo: DataFrame, value_schema: int, key: str = "key", watch: Callable[[DataFrame], DataFrame] = lambda rows: rows, compression: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits with ``text`` and ``truncated``, misses): entries of another schema don't count; of several entries of a key the newest does."""
-    seen = look_up(items, memo, value_schema, key, watch)
+    seen = look_up(items, memo, value_schema, key, watch, compression)
     return seen.filter("__hit").drop("__hit"), seen.filter("not __hit").select(*items.columns)
 
 
 def memoised(
     items: DataFrame, memo: DataFrame, infer: Callable[[DataFrame], DataFrame], value_schema: int, key: str = "key", refresh: bool = False, enabled: bool = True,
     settle: Callable[[Column, Column], Column] | None = None, logged: DataFrame | None = None, watch: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    requests: Sequence[str] = (), compression: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(items with ``text``, ``truncated`` and ``error``, new memo entries): equal keys are inferred once.
 
@@ -72,11 +73,12 @@ def memoised(
     are read from there, so a model is asked once however often they are read, and what is memoised is what was used.  ``logged`` has answers
     (key, text, finish_reason) of runs that did not end, which are not asked again unless ``refresh``.  ``settle(text, truncated)`` makes an answer
     what is used, or null to refuse it; it may use the columns of the items, as far as equal keys agree in them.  ``watch`` sees the items with ``__hit`` as they are written.  Failed and refused answers never become entries.
+    ``requests`` are columns of the items that only ``infer`` reads; they are neither shuffled nor written again with the answers.
     """
     if refresh or not enabled:
         hits, misses = items.limit(0).withColumns({"text": F.lit(None).cast("string"), "truncated": F.lit(False)}), items
     else:
-        hits, misses = split_hits(items, memo, value_schema, key, watch)
+        hits, misses = split_hits(items, memo, value_schema, key, watch, compression)
     asked = misses.dropDuplicates([key])
     none = F.lit(None).cast("string")
     if logged is None or refresh:
@@ -88,12 +90,12 @@ def memoised(
         answers = both.filter("__told").select(key, F.col("__text").alias("text"), F.col("__reason").alias("finish_reason"), none.alias("error")).unionByName(rest)
     fresh = durable(answers, "answers")
     cut = F.coalesce(F.col("finish_reason") != "stop", F.lit(False))
-    done = misses.join(fresh, key, "left").withColumn("truncated", cut).drop("finish_reason")
+    done = misses.drop(*requests).join(fresh, key, "left").withColumn("truncated", cut).drop("finish_reason")
     if settle:
-        done = durable(done.withColumn("text", settle(F.col("text"), F.col("truncated"))), "settled")
+        done = durable(done.withColumn("text", settle(F.col("text"), F.col("truncated"))), "settled", compression)
     used = done.filter("error is null and text is not null").groupBy(key).agg(F.first("text").alias("text"), F.first("truncated").alias("truncated"))
     entries = used.select(key, F.lit(value_schema).alias("value_schema"), "text", F.current_timestamp().alias("written_at"), "truncated")
-    return hits.withColumn("error", none).unionByName(done), entries if enabled else entries.limit(0)
+    return hits.drop(*requests).withColumn("error", none).unionByName(done), entries if enabled else entries.limit(0)
 
 
 def missing_references(rows: DataFrame, files: DataFrame, path: str, on: Sequence[str] = ("path",)) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -109,12 +110,13 @@ def _drop(lines: Column, chrome: Column, last: bool) -> Column:
     return X.let(lines, lambda ls: X.let(at(ls), lambda k: F.filter(ls, lambda _, i: k.isNull() | (i != k))))
 
 
-def strip_chrome(pages: DataFrame, doc: str, text: str, min_pages: int = K.CHROME_MIN_PAGES, min_fraction: float = K.CHROME_FRACTION) -> DataFrame:
+def strip_chrome(pages: DataFrame, doc: str, text: str, min_pages: int = K.CHROME_MIN_PAGES, min_fraction: float = K.CHROME_FRACTION, keep: Callable[[DataFrame], DataFrame] = lambda lists: lists) -> DataFrame:
     """The pages without running headers and footers; documents without any are untouched.  Counts are aggregated by line, so a document of
-    very many pages is no hot spot, and come back by one join on the document."""
+    very many pages is no hot spot, and come back by one join on the document.  ``keep`` may write the lists of lines first, so that the optimizer
+    knows their bytes and shuffles no page where they are few."""
     found = running_chrome(pages, doc, text, min_pages, min_fraction)
     lists = found.groupBy(F.col(doc).alias("__doc")).agg(F.collect_set(F.when(F.col("place") == "top", F.col("line"))).alias("__tops"), F.collect_set(F.when(F.col("place") == "bottom", F.col("line"))).alias("__bottoms"))
-    joined = pages.join(lists, F.col(doc).eqNullSafe(F.col("__doc")), "left")
+    joined = pages.join(keep(lists), F.col(doc).eqNullSafe(F.col("__doc")), "left")
     lines = _drop(_drop(F.split(F.col(text), "\n"), F.col("__tops"), False), F.col("__bottoms"), True)
     clean = X.strip_newlines(F.array_join(lines, "\n"))
     return joined.withColumn(text, F.when(F.col("__tops").isNull(), F.col(text)).otherwise(clean)).select(*pages.columns)

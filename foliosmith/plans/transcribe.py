@@ -21,6 +21,8 @@ from .metrics import Metrics
 IMAGE_PROMPT = "Describe what this image shows: its kind, its parts, and every text in it.{context_block}\nPut the description inside <img_desc> and </img_desc>."
 CONTEXT_BLOCK = "\n\nThe text around it, for names and terms only:\n"
 TABLE_PROMPT = "Write this one table as a pipe table of Markdown, with every value of the text below.\n{locator}\n\nPage:\n{page_text}\n\nTable:\n{table_blob}"
+#: Codec of the written tables that hold whole texts.
+PACKED = "zstd"
 CROPPED = "The image shows just this table, cut out of its page; its edges may show some of what is around it."
 PROBE_PROMPT = 'Can this document be cited as a published work? Answer with one JSON object: {"citable": true or false, "title": text or null, "authors": [text], "year": text or null, "venue": text or null}.\n\nIts first page:\n{front}'
 
@@ -43,7 +45,9 @@ def _asked(items: DataFrame, memo: DataFrame, config: RunConfig, step: str, sett
     make, kept = _maker(config, step), journal if config.cache.enabled else None
     watch = {"watch": lambda rows: metrics.watch(rows, hits=F.col("__hit"), misses=~F.col("__hit"))} if metrics else {}
     ask = lambda misses: inference.infer(misses, make, in_flight=config.inference.in_flight, journal=kept)
-    return memo_op.memoised(items, memo, ask, memo_op.SCHEMA[step], refresh=config.cache.refresh, enabled=config.cache.enabled, settle=settle, logged=kept.answers(items.sparkSession) if kept else None, **watch)
+    return memo_op.memoised(
+        items, memo, ask, memo_op.SCHEMA[step], refresh=config.cache.refresh, enabled=config.cache.enabled, settle=settle, logged=kept.answers(items.sparkSession) if kept else None, **watch,
+        requests=("prompt", "image"), compression=PACKED)
 
 
 def in_range(pages: DataFrame, config: RunConfig) -> DataFrame:
@@ -88,15 +92,15 @@ def refine_tables(parsed: DataFrame, memo: DataFrame, config: RunConfig = RunCon
     """
     if not config.table.refine:
         return parsed.withColumn("tables_refined", F.lit(0)), memo.limit(0)
-    blobs = tables_op.page_blobs(parsed, "doc_id", "page_number").filter("refinable")
-    context = parsed.select("doc_id", "page_number", "raster_sha256", "width_px", "height_px", T.page_context(F.col("markdown")).alias("page_text"))
-    placed = tables_op.crop_boxes(blobs.join(context, ["doc_id", "page_number"]))
+    # What a prompt needs of its page goes along with the blob, so no page is shuffled.
+    blobs = tables_op.page_blobs(parsed.withColumn("page_text", T.page_context(F.col("markdown"))), "doc_id", "page_number", "raster_sha256", "width_px", "height_px", "page_text").filter("refinable")
+    placed = tables_op.crop_boxes(blobs)
     cropped = F.col("px_box").isNotNull()
     locator = F.when(cropped, F.lit(CROPPED)).otherwise(T.locator(F.col("blob_idx"), F.col("blobs_on_page")))
     prompted = placed.withColumn("prompt", X.fill(TABLE_PROMPT, locator=locator, page_text=F.col("page_text"), table_blob=F.col("blob")))
     box = F.when(cropped, F.col("region.bbox"))
     keyed = prompted.withColumns({"key": memo_op.table_key(F.col("prompt"), F.col("raster_sha256"), box, K.TABLE_CROP_PADDING, vlm_backend(config).identity()), "image": image_reference(F.col("raster_sha256"), F.col("px_box"))})
-    done, entries = _asked(keyed, memo, config, "vlm", lambda text, cut: F.when(~cut, T.accepted(F.col("blob"), text)), journal, metrics)
+    done, entries = _asked(keyed.drop("page_text"), memo, config, "vlm", lambda text, cut: F.when(~cut, T.accepted(F.col("blob"), text)), journal, metrics)
     answers = done.select("doc_id", "page_number", "start", "end", "blob", F.col("text").alias("answer"))
     return tables_op.splice_answers(parsed, answers, "doc_id", "page_number"), entries
 
@@ -108,13 +112,13 @@ def image_reference(raster: Column, box: Column) -> Column:
 
 def describe_figures(parsed: DataFrame, memo: DataFrame, config: RunConfig = RunConfig(), journal: Journal | None = None, metrics: Metrics | None = None) -> tuple[DataFrame, DataFrame]:
     """(figures with descriptions, new memo entries).  Figures too small to crop get none; a description that was cut off ends in a mark."""
-    found = pages_op.figures(parsed, "doc_id", padding=config.figure.crop_padding)
-    context = parsed.select("doc_id", "page_number", "raster_sha256", X.page_context(F.col("page_number"), X.strip_tokens(F.col("markdown")), config.figure.context_chars).alias("context"))
-    able = found.filter("px_box is not null").join(context, ["doc_id", "page_number"])
+    context = X.page_context(F.col("page_number"), X.strip_tokens(F.col("markdown")), config.figure.context_chars)
+    found = pages_op.figures(parsed.withColumn("context", context), "doc_id", "raster_sha256", "context", padding=config.figure.crop_padding)
+    able = found.filter("px_box is not null")
     block = F.when(X.present(F.col("context")).isNull(), F.lit("")).otherwise(F.concat(F.lit(CONTEXT_BLOCK), F.col("context")))
     keyed = able.withColumns({"prompt": X.fill(IMAGE_PROMPT, context_block=block), "image": image_reference(F.col("raster_sha256"), F.col("px_box"))})
     keyed = keyed.withColumn("key", memo_op.figure_key(F.col("prompt"), raster_sha256=F.col("raster_sha256"), bbox=F.col("bbox"), padding=F.lit(config.figure.crop_padding), identity=vlm_backend(config).identity()))
-    done, entries = _asked(keyed, memo, config, "vlm", lambda text, cut: X.present(X.mark_truncated(X.rstrip(X.description_from_tags(text)), cut)), journal, metrics)
+    done, entries = _asked(keyed.drop("context"), memo, config, "vlm", lambda text, cut: X.present(X.mark_truncated(X.rstrip(X.description_from_tags(text)), cut)), journal, metrics)
     columns = ["doc_id", "page_number", "fig_id", "caption"]
     described = done.select(*columns, F.concat(F.lit("figures/"), F.col("fig_id"), F.lit(".png")).alias("crop_path"), F.col("text").alias("description"))
     small = found.filter("px_box is null").select(*columns, F.lit(None).cast("string").alias("crop_path"), F.lit(None).cast("string").alias("description"))
@@ -138,7 +142,7 @@ def assemble(parsed: DataFrame, described: DataFrame, config: RunConfig = RunCon
     out = config.output
     pages = parsed.select("doc_id", "page_number", "markdown")
     if out.clean:
-        pages = pages_op.strip_chrome(pages, "doc_id", "markdown")
+        pages = pages_op.strip_chrome(pages, "doc_id", "markdown", keep=lambda lists: durable(lists, "chrome"))
     docs = pages_op.stitch_pages(pages, "doc_id", "page_number", "markdown", out.page_numbers, out.page_separators, out.normalize_line_breaks)
     if out.clean:
         docs = docs.withColumn("markdown", X.dehyphenate(F.col("markdown")))
@@ -220,10 +224,13 @@ def run(pages: DataFrame, memo: DataFrame, config: RunConfig = RunConfig()) -> t
 
 
 def _passes(pages: DataFrame, memo: DataFrame, config: RunConfig, journal: Journal | None = None, metrics: Metrics | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    refined, table_entries = refine_tables(durable(ocr_pass(pages, config), "parsed"), memo, config, journal, metrics)
+    """Of a page only its text and regions are written, after the tables only the regions that are figures."""
+    parsed = ocr_pass(pages, config).select("doc_id", "page_number", "width_px", "height_px", "raster_sha256", "regions", "markdown")
+    refined, table_entries = refine_tables(durable(parsed.withColumn("regions", T.region_texts(F.col("regions"))), "parsed", PACKED), memo, config, journal, metrics)
+    refined = refined.withColumn("regions", F.filter("regions", lambda r: r["figure"].isNotNull()))
     if metrics:
-        refined = metrics.watch(refined, pages=F.lit(1), figures=F.size(F.filter("regions", lambda r: r["figure"].isNotNull())), tables_refined=F.col("tables_refined"))
-    refined = durable(refined, "refined")
+        refined = metrics.watch(refined, pages=F.lit(1), figures=F.size("regions"), tables_refined=F.col("tables_refined"))
+    refined = durable(refined, "refined", PACKED)
     described, figure_entries = describe_figures(refined, memo, config, journal, metrics)
     return refined, described, table_entries.unionByName(figure_entries, allowMissingColumns=True)
 

@@ -19,9 +19,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named or context._jsc.sc().getCheckpointDir().get()
 
 
-def durable(frame: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet in the shared folder and read again."""
+def durable(frame: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """The rows written as Parquet in the shared folder and read again; ``compression`` is the session's if not named."""
     spark = frame.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression=compression)
     return spark.read.schema(frame.schema).parquet(path)
