@@ -228,7 +228,7 @@ def bundle_name(base: Column) -> Column:
 
 def base_name(name: Column) -> Column:
     """A safe output stem."""
-    safe = F.regexp_replace(F.regexp_replace(name, r"(?U)[^\w\-]+", "_"), r"\A_+|_+\z", "")
+    safe = F.regexp_replace(F.regexp_replace(name, r"[^\p{L}\p{M}\p{N}_\-]+", "_"), r"\A_+|_+\z", "")
     return F.when(safe == "", F.lit("paper")).when(safe.rlike(r"(?i)\A(?:CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])\z"), F.concat(safe, F.lit("_"))).otherwise(safe)
 
 
